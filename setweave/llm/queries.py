@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality_rules, secret_scan, sentencepiece_codec
+from . import pii, quality_rules, secret_scan, sentencepiece_codec, toxicity
 
 QUERIES = {
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op5_pii": pii.op5_pii,
     "op6_secret_scan": secret_scan.op6_secret_scan,
     "op9_sentencepiece": sentencepiece_codec.op9_sentencepiece,
     "op10_quality_rules": quality_rules.op10_quality_rules,
