@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import pii, quality_rules, secret_scan, sentencepiece_codec, toxicity
+from . import near_dedup, pii, quality_rules, secret_scan, sentencepiece_codec, toxicity
 
 QUERIES = {
+    "op1_near_dedup": near_dedup.op1_near_dedup,
     "op3_toxicity": toxicity.op3_toxicity,
     "op5_pii": pii.op5_pii,
     "op6_secret_scan": secret_scan.op6_secret_scan,
@@ -12,6 +13,7 @@ QUERIES = {
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLES = {
+    "op1_near_dedup": near_dedup.SQL,
     "op6_secret_scan": secret_scan.SQL,
     "op10_quality_rules": quality_rules.SQL,
 }
