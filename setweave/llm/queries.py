@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import near_dedup, pii, quality_rules, secret_scan, sentencepiece_codec, toxicity
+from . import near_dedup, pii, quality_rules, secret_scan, sentencepiece_codec, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_toxicity": toxicity.op3_toxicity,
     "op5_pii": pii.op5_pii,
     "op6_secret_scan": secret_scan.op6_secret_scan,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_near_dedup": near_dedup.SQL,
+    "op2_suffix_dedup": suffix_dedup.SQL,
     "op6_secret_scan": secret_scan.SQL,
     "op10_quality_rules": quality_rules.SQL,
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -45,6 +46,12 @@ def discard(*tables: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver drop plans that nothing refers to any more, so that their shuffle files go."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def project(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns (with whatever names) can't clash."""
     return df.select(*[F.col(f"`{n}`") for n in names])
