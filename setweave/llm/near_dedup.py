@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import minhash, shared
@@ -12,34 +14,35 @@ BANDS, ROWS = 32, 4  # misses a pair at the threshold once in 190,000
 SALTS = 16
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text; other columns aren't read).
-
-    Documents with equal sets are one item from the start.  A null or empty text has no shingles and
-    is linked with nothing.  Rows with one doc_id twice are one document if their sets are equal; else
-    both count under that id.  A null doc_id is linked with nothing and kept, with a null component.
-    An empty table gives an empty one.
-    """
-    minima = Minima(BANDS, ROWS)
-    items = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    rows = shared.materialize(minhash.scan(items, minima), "scan")
+def with_components(rows: DataFrame, text_of: Callable[[DataFrame], DataFrame], minima: Minima, percent: int) -> DataFrame:
+    """id, n_shingles, component of every row of a written ``minhash.scan``; items with equal sets are one from the start."""
     full = rows.filter("n_shingles > 0 and id is not null")
     keys = ["n_shingles", "set_key", "set_key2"]
     classes = shared.materialize(full.groupBy(*keys).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
 
     reps = full.join(classes.select("rep").distinct(), F.col("id") == F.col("rep"), "left_semi").dropDuplicates(["id", *keys])
-    found = minhash.link_components(
-        reps.select("id", "sig", "bands"), lambda ids: items.join(ids, "id", "left_semi"), minima, percent
-    )
-    # one row for each class that isn't a single unlinked document; salted, as a class may hold a third of all rows
+    found = minhash.link_components(reps.select("id", "sig", "bands"), text_of, minima, percent)
+    # one row for each class that isn't a single unlinked item; salted, as a class may hold a third of all rows
     linked = classes.join(found, F.col("rep") == F.col("id"), "left").filter("n > 1 or component is not null")
     linked = linked.select(*keys, F.coalesce("component", "rep").alias("component"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     out = rows.select("id", *keys).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
     out = out.join(linked, [*keys, "salt"], "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return out.select(
-        F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept")
-    )
+    return out.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text; other columns aren't read).
+
+    A null or empty text has no shingles and is linked with nothing.  Rows with one doc_id twice are
+    one document if their sets are equal; else both count under that id.  A null doc_id is linked with
+    nothing and kept, with a null component.  An empty table gives an empty one.
+    """
+    minima = Minima(BANDS, ROWS)
+    items = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    rows = shared.materialize(minhash.scan(items, minima), "scan")
+    out = with_components(rows, lambda ids: shared.rows_with(items, ids, "id"), minima, percent)
+    kept = F.coalesce(F.col("id") == F.col("component"), F.lit(True))
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), kept.alias("kept"))
 
 
 def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -52,6 +52,17 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+#: Keys (of 8 bytes) that a semi join may broadcast; counted before it does.
+MOST_BROADCAST_KEYS = 500_000
+
+
+def rows_with(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """Rows of ``df`` whose ``column`` is in ``keys``: few keys go to the rows, else both are shuffled."""
+    if keys.count() <= MOST_BROADCAST_KEYS:
+        keys = F.broadcast(keys)
+    return df.join(keys, column, "left_semi")
+
+
 def project(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns (with whatever names) can't clash."""
     return df.select(*[F.col(f"`{n}`") for n in names])
