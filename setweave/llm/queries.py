@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import near_dedup, paragraph_dedup, pii, quality_rules, secret_scan, sentencepiece_codec, suffix_dedup, toxicity
+from . import decontaminate, near_dedup, paragraph_dedup, pii, quality_rules, secret_scan, sentencepiece_codec, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op5_pii": pii.op5_pii,
     "op6_secret_scan": secret_scan.op6_secret_scan,
+    "op7_decontamination": decontaminate.op7_decontamination,
     "op8_paragraph_dedup": paragraph_dedup.op8_paragraph_dedup,
     "op9_sentencepiece": sentencepiece_codec.op9_sentencepiece,
     "op10_quality_rules": quality_rules.op10_quality_rules,
