@@ -1,73 +1,44 @@
 """Removal of repeated paragraphs (operator 8): MinHash banding on paragraphs, exact Jaccard, components.
 
-Paragraphs are the \\n-separated parts of a text that have WORDS words or more.  Of each component
+Paragraphs are the \\n-separated parts of a text that have five words or more.  Of each component
 of alike paragraphs the first (by doc_id, then place) stays and the others go.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import minhash, near_dedup, shared
-from .shingles import WORDS, Minima
+from . import minhash, near_dedup, pieces, shared
+from .shingles import Minima
 
 PERCENT = 75
 BANDS, ROWS = 16, 3  # tuned for recall: misses a pair at the threshold once in 6,000
-PLACE_BITS, MOST_DOC = 20, 1 << 43
-LONG_ENOUGH = rf"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){{{WORDS - 1}}}[^\x20\x09-\x0D]"
-
-
-def _paragraph_id(doc: Column, place: Column) -> Column:
-    """doc_id and place in one number that sorts as they do; outside its room, a (negative) 63-bit hash."""
-    fits = (doc >= 0) & (doc < MOST_DOC) & (place < 1 << PLACE_BITS)
-    return F.when(fits, F.shiftleft(doc, PLACE_BITS) + place).otherwise(F.xxhash64(doc, place).bitwiseOR(F.lit(-(2**63)).cast("long")))
-
-
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """(id, doc_id, place, text) of the paragraphs that are long enough."""
-    d = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("place", "text"))
-    return d.filter(F.col("text").rlike(LONG_ENOUGH)).select(_paragraph_id(F.col("doc_id"), F.col("place")).alias("id"), "doc_id", "place", "text")
 
 
 def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id and the sorted places of its paragraphs that go."""
     minima = Minima(BANDS, ROWS)
-    every = paragraphs(docs)
-    rows = shared.materialize(minhash.scan(every.select("id", "text"), minima), "paragraphs")
-
-    def text_of(ids: DataFrame) -> DataFrame:
-        return shared.rows_with(every.select("id", "text"), ids, "id")
-
-    found = near_dedup.with_components(rows, text_of, minima, percent).filter("id <> component").select("id")
-    # ids are found again rather than taken apart, so that hashed ones work too
-    places = every.select("id", "doc_id", "place")
-    packed = found.filter("id >= 0").select(F.shiftright("id", PLACE_BITS).alias("doc_id"), F.col("id").bitwiseAND((1 << PLACE_BITS) - 1).cast("int").alias("place"))
-    hashed = places.filter("id < 0").join(found.filter("id < 0"), "id", "left_semi").select("doc_id", "place")
-    return packed.unionByName(hashed).groupBy("doc_id").agg(F.sort_array(F.collect_set("place")).alias("places"))  # as many as one text has
+    every = pieces.pieces(docs).select("id", "text")
+    rows = shared.materialize(minhash.scan(every, minima), "paragraphs")
+    found = near_dedup.with_components(rows, lambda ids: shared.rows_with(every, ids, "id"), minima, percent)
+    return pieces.places_of(docs, found.filter("id <> component").select("id"))
 
 
 def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``docs`` (all columns) with text cut, and _paragraphs, _removed: how many it had and lost.
+    """``docs`` (all columns) with text cut, and _pieces, _removed: how many paragraphs it had and lost.
 
-    A null text stays null and has no paragraphs; short paragraphs (fewer than WORDS words) always
+    A null text stays null and has no paragraphs; short paragraphs (fewer than five words) always
     stay; a null doc_id is left whole and supplies nothing; rows that share a doc_id are one document
     given more than once.  An empty table gives an empty one.
     """
-    gone = repeated_paragraphs(docs, percent).select(F.col("doc_id").alias("_gone_id"), F.col("places").alias("_places"))
-    d = docs.join(gone, F.col("doc_id") == F.col("_gone_id"), "left")
-    parts = F.split("text", "\n")
-    kept = F.filter(F.transform(parts, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda y: ~F.array_contains("_places", y["i"]))
-    text = F.when(F.col("_places").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda y: y["x"]), "\n"))
-    n = F.coalesce(F.size("_places"), F.lit(0))
-    out = d.withColumn("_paragraphs", F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long"))
-    return out.withColumn("_removed", F.greatest(n, F.lit(0)).cast("long")).withColumn("text", text).drop("_gone_id", "_places")
+    return pieces.cut(docs, repeated_paragraphs(docs, percent))
 
 
 def op8_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = deduplicate(shared.project(shared.read_table(spark, sf_dir, "documents"), "doc_id", "text"))
     return out.select(
         "doc_id",
-        F.col("_paragraphs").alias("n_paragraphs"),
+        F.col("_pieces").alias("n_paragraphs"),
         F.col("_removed").alias("n_removed"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
     )

@@ -52,15 +52,22 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-#: Keys (of 8 bytes) that a semi join may broadcast; counted before it does.
-MOST_BROADCAST_KEYS = 500_000
+#: Keys (of 8 bytes) that a semi or anti join may broadcast; counted before it does.
+MOST_BROADCAST_KEYS = 2_000_000
+
+
+def few(keys: DataFrame) -> DataFrame:
+    """``keys`` (one written column of longs), marked for broadcast if they are few enough."""
+    return F.broadcast(keys) if keys.count() <= MOST_BROADCAST_KEYS else keys
 
 
 def rows_with(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     """Rows of ``df`` whose ``column`` is in ``keys``: few keys go to the rows, else both are shuffled."""
-    if keys.count() <= MOST_BROADCAST_KEYS:
-        keys = F.broadcast(keys)
-    return df.join(keys, column, "left_semi")
+    return df.join(few(keys), column, "left_semi")
+
+
+def rows_without(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    return df.join(few(keys), column, "left_anti")
 
 
 def project(df: DataFrame, *names: str) -> DataFrame:
