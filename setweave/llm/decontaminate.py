@@ -181,26 +181,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MA
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` (all columns) without the documents that some item contaminates."""
+    """``docs`` (all columns) without the documents that some item contaminates; one filter for each block of items."""
     for items in _blocks(benchmark, BLOCK_BYTES):
-        index = docs.sparkSession.sparkContext.broadcast((items, MIN_MATCH, COVERAGE))
-
-        def clean(texts, index=index):
-            import pandas as pd
-
-            own = Benchmark(*index.value)
-            for part in texts:
-                yield pd.Series([not own.find(t) for t in part], dtype=bool)
-
-        docs = docs.filter(F.pandas_udf(_typed(clean), "boolean")(F.col("text")))
+        docs = docs.filter(_clean(docs.sparkSession.sparkContext.broadcast((items, MIN_MATCH, COVERAGE)))(F.col("text")))
     return docs
 
 
-def _typed(f):
+def _clean(index):
     import pandas as pd
 
-    f.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return f
+    def clean(texts):
+        own = Benchmark(*index.value)
+        for part in texts:
+            yield pd.Series([not own.find(t) for t in part], dtype=bool)
+
+    clean.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(clean, "boolean")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,9 +46,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``docs`` (all columns) with the first document of each component only."""
-    drop = near_duplicates(docs, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("_drop"))
-    return docs.dropDuplicates(["doc_id"]).join(drop, F.col("doc_id") == F.col("_drop"), "left_anti")
+    """``docs`` (all columns) with one row of each component only: its least doc_id.
+
+    Of rows that share a doc_id one stays; all rows without a doc_id stay.
+    """
+    gone = near_duplicates(docs, percent).filter(~F.col("kept")).select("doc_id").distinct()
+    rest = shared.rows_without(docs, shared.materialize(gone, "gone"), "doc_id")
+    twice = shared.materialize(docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"), "twice")
+    return shared.rows_without(rest, twice, "doc_id").unionByName(shared.rows_with(rest, twice, "doc_id").dropDuplicates(["doc_id"]))
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
