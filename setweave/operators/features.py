@@ -69,7 +69,7 @@ def structural_features(nodes: DataFrame, edges: DataFrame, block: str = "basic"
             d = ranking.rank_gauss(d, c, f"_{c}").drop(c).withColumnRenamed(f"_{c}", c)
     elif how != "none":
         d = ranking.scaled(d.select("id", *columns), columns, how)
-    return d.select("id", F.array(*columns).alias("v"))
+    return graph.cut(d.select("id", F.array(*columns).alias("v")))
 
 
 RECIPES = {

@@ -103,7 +103,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         new = labels.join(near, "id", "left").select("id", F.least("c", F.coalesce("m", "c")).alias("c"))
         hop = new.select(F.col("id").alias("c"), F.col("c").alias("cc"))
         new = new.join(hop, "c", "left").select("id", F.least("c", F.coalesce("cc", "c")).alias("c"))
-        new = _cut(new)
+        new = cut(new)
         changed = new.join(labels.withColumnRenamed("c", "old"), "id").filter("c <> old").limit(1).count()
         labels = new
         if not changed:
@@ -112,7 +112,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return labels.select("id", F.col("c").alias("component"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint, in a folder of its own only where the session names none."""
     sc = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -136,8 +136,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, rounds: in
         lost = rank.join(hung, "id").agg(F.coalesce(F.sum("r"), F.lit(0.0)).alias("lost"))
         rank = base.join(got, "id", "left").crossJoin(F.broadcast(lost)).select("id", (alpha * (F.coalesce("g", F.lit(0.0)) + F.col("lost") / n) + (1 - alpha) / n).alias("r"))
         if k % 8 == 7:
-            rank = _cut(rank)
-    rank = _cut(rank)
+            rank = cut(rank)
+    rank = cut(rank)
     steps.unpersist()
     base.unpersist()
     return rank.select("id", F.col("r").alias("rank"))
@@ -151,7 +151,7 @@ def core_numbers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         seen = both.join(core, F.col("v") == F.col("id")).select("u", "k")
         rk = seen.withColumn("i", F.row_number().over(W.partitionBy("u").orderBy(F.desc("k"))))
         h = rk.groupBy(F.col("u").alias("id")).agg(F.max(F.least("i", "k")).alias("h"))
-        new = _cut(core.join(h, "id", "left").select("id", F.least("k", F.coalesce("h", F.lit(0))).cast("long").alias("k")))
+        new = cut(core.join(h, "id", "left").select("id", F.least("k", F.coalesce("h", F.lit(0))).cast("long").alias("k")))
         changed = new.join(core.withColumnRenamed("k", "old"), "id").filter("k <> old").limit(1).count()
         core = new
         if not changed:
