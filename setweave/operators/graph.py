@@ -123,19 +123,24 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, rounds: int = 20) -> DataFrame:
-    """id, rank after so many weighted power steps from equal ranks; what isolated nodes hold is dealt to all."""
+    """id, rank after so many weighted power steps from equal ranks; what isolated nodes hold is dealt to all.
+
+    Isolated nodes all have one rank, which follows from the last round's alone, so what they deal
+    out is a number that needs no plan.
+    """
     n = nodes.count()
     a = doubled(edges)
     out = a.groupBy("u").agg(F.sum("w").alias("s"))
     steps = a.join(out, "u").select("u", "v", (F.col("w") / F.col("s")).alias("p")).persist()
-    hung = nodes.join(out, F.col("id") == F.col("u"), "left_anti").select("id", F.lit(True).alias("hung"))
-    base = nodes.select("id").join(hung, "id", "left").select("id", F.coalesce("hung", F.lit(False)).alias("hung")).persist()
-    rank = base.select("id", F.lit(1.0 / n).alias("r"))
+    isolated = nodes.join(out, F.col("id") == F.col("u"), "left_anti").count()
+    base = nodes.select("id").persist()
+    rank, one = base.select("id", F.lit(1.0 / n if n else 0.0).alias("r")), 1.0 / n if n else 0.0
     for k in range(rounds):
+        rest = alpha * isolated * one / n + (1 - alpha) / n if n else 0.0
         got = rank.join(steps, F.col("id") == F.col("u")).groupBy(F.col("v").alias("id")).agg(F.sum(F.col("r") * F.col("p")).alias("g"))
-        lost = rank.join(hung, "id").agg(F.coalesce(F.sum("r"), F.lit(0.0)).alias("lost"))
-        rank = base.join(got, "id", "left").crossJoin(F.broadcast(lost)).select("id", (alpha * (F.coalesce("g", F.lit(0.0)) + F.col("lost") / n) + (1 - alpha) / n).alias("r"))
-        if k % 8 == 7:
+        rank = base.join(got, "id", "left").select("id", (alpha * F.coalesce("g", F.lit(0.0)) + rest).alias("r"))
+        one = rest
+        if k % 4 == 3:
             rank = cut(rank)
     rank = cut(rank)
     steps.unpersist()

@@ -133,7 +133,7 @@ def kg_union(spark, sf):
 
 
 @query(f"""WITH {GROUPED}, cv AS (SELECT group_id, edge_type, count(DISTINCT id) AS k FROM (SELECT group_id, edge_type, unnest([a, b]) AS id FROM ge) GROUP BY ALL), z AS (SELECT group_id, count(*) AS n_nodes FROM gm GROUP BY 1)
-SELECT z.group_id, n_nodes, round(coalesce(max(k) FILTER (edge_type = 'gene_overlap'), 0) / n_nodes, 6) AS gene_overlap, round(coalesce(max(k) FILTER (edge_type = 'mesh'), 0) / n_nodes, 6) AS mesh FROM z LEFT JOIN cv USING (group_id) GROUP BY ALL""")
+SELECT z.group_id, n_nodes, round(coalesce(max(k) FILTER (edge_type = 'gene_overlap'), 0) / max(n_nodes), 6) AS gene_overlap, round(coalesce(max(k) FILTER (edge_type = 'mesh'), 0) / max(n_nodes), 6) AS mesh FROM z LEFT JOIN cv USING (group_id) GROUP BY z.group_id, n_nodes""")
 def coverage(spark, sf):
     members, e = _grouped(spark, sf)
     return rounded(kg.coverage(members, e, ("gene_overlap", "mesh")))
