@@ -4,9 +4,11 @@
 2. Items with a key in common share a bucket.  Each bucket's items are paired with three of its
    members (its pivots), not with each other.  Pairs whose signatures agree enough are confirmed
    on the full sets, and confirmed links give components.
-3. Buckets that still span several components are compared in blocks: each block pair compares the
-   signatures of its items of different components in one task, and only pairs that agree leave it.
-   So a bucket of any size is compared completely, without a row for each of its pairs.
+3. Buckets that still span several components are compared in blocks: one task holds the items of a
+   block pair and compares the signatures of those of different components.  Items that agree with
+   another one fetch their full sets, and the same blocks are compared on these.  What leaves a task
+   is one link for each two components that it joins, so a bucket of any size is compared
+   completely, without a row for each of its pairs.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import components, shared
-from .shingles import Minima, WordHashes, shingle_set, words_of
+from .shingles import Minima, WordHashes, shingle_set, shingle_sets, words_of
 
 #: Items of a block; two blocks' signatures are compared by one task at a time.
 BLOCK = 256
@@ -28,29 +30,48 @@ PIVOTS = 3
 SCAN = "id long, n_shingles long, set_key long, set_key2 long, sig binary, bands array<long>"
 
 
+#: Characters of text whose sets are made at once.
+CHUNK_CHARS = 1_000_000
+
+
 def scan(items: DataFrame, minima: Minima) -> DataFrame:
     """``items`` (id long, text): set size, 128-bit key of the set, signature and band keys (null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in batches:
-            out = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = shingle_set(words_of(text), cache)
-                if not len(s):
-                    out.append((i, 0, 0, 0, None, None))
-                    continue
-                m = minima(s)
-                with np.errstate(over="ignore"):
-                    keys = np.bitwise_xor.reduce(s), (s * s + s).sum(dtype=np.uint64)
-                out.append((i, len(s), *[int(k.astype(np.int64)) for k in keys], m.astype(np.uint8).tobytes(), minima.band_keys(m)))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
-            names = ["id", "n_shingles", "set_key", "set_key2", "sig", "bands"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds], names=names)
+            texts, size, first = [], 0, 0
+            for text in batch.column(1).to_pylist():
+                texts.append(text)
+                size += len(text or "")
+                if size >= CHUNK_CHARS:
+                    yield _scanned(batch.column(0).slice(first, len(texts)), texts, minima, cache)
+                    texts, size, first = [], 0, first + len(texts)
+            if texts:
+                yield _scanned(batch.column(0).slice(first, len(texts)), texts, minima, cache)
 
     return items.select("id", "text").mapInArrow(run, SCAN)
 
 
+def _scanned(ids: pa.Array, texts: list[str | None], minima: Minima, cache: WordHashes) -> pa.RecordBatch:
+    h, owner = shingle_sets(texts, cache)
+    n = np.bincount(owner, minlength=len(texts)).astype(np.int64)
+    has = np.flatnonzero(n)
+    start = (np.cumsum(n) - n)[has]
+    keys, sigs, bands = np.zeros((2, len(texts)), np.uint64), [None] * len(texts), [None] * len(texts)
+    if len(has):
+        m = minima(h, start)
+        with np.errstate(over="ignore"):
+            keys[0, has] = np.bitwise_xor.reduceat(h, start)
+            keys[1, has] = np.add.reduceat(h * h + h, start)
+        for i, sig, band in zip(has.tolist(), m.astype(np.uint8), minima.band_keys(m), strict=True):
+            sigs[i], bands[i] = sig.tobytes(), band
+    return pa.RecordBatch.from_arrays(
+        [ids, pa.array(n), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+        names=["id", "n_shingles", "set_key", "set_key2", "sig", "bands"],
+    )
+
+
 def full_sets(items: DataFrame) -> DataFrame:
     """(id, s): the whole shingle set as sorted 64-bit hashes."""
 
@@ -99,31 +120,66 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _block_pairs(members: DataFrame, signatures: DataFrame, least: int) -> DataFrame:
-    """Pairs of different components within a bucket whose signatures agree; members: key, id, c, n."""
+def _in_blocks(members: DataFrame) -> DataFrame:
+    """members (key, id, c, n) dealt over block pairs (key, lo, hi), each item once for each block of its bucket."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     d = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    d = d.select(F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "key", "own", "id", "c")
-    d = d.join(signatures, "id").select("key", "lo", "hi", "own", "id", "c", "sig")
+    return d.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "c")
+
+
+def _others(i: int, comp: np.ndarray, block: np.ndarray, one_block: bool) -> np.ndarray:
+    """Later items of a block pair that item i is to be compared with there."""
+    j = np.arange(i + 1, len(comp))
+    return j[(comp[j] != comp[i]) & ((block[j] != block[i]) | one_block)]
+
+
+def _with_partners(blocks: DataFrame, signatures: DataFrame, least: int) -> DataFrame:
+    """Rows of ``blocks`` whose signature agrees with that of an item of another component there."""
+
+    def run(group):
+        comp, block = group["c"].to_numpy(), group["own"].to_numpy()
+        sig = np.stack([np.frombuffer(x, np.uint8) for x in group["sig"]])
+        one, hit = group["lo"].iloc[0] == group["hi"].iloc[0], np.zeros(len(group), bool)
+        for i in range(len(group) - 1):
+            j = _others(i, comp, block, one)
+            alike = j[(sig[j] == sig[i]).sum(1) >= least]
+            if len(alike):
+                hit[i] = hit[alike] = True
+        return group.loc[hit, ["key", "lo", "hi", "own", "id", "c"]]
+
+    d = blocks.join(signatures, "id").select("key", "lo", "hi", "own", "id", "c", "sig")
+    return d.groupBy("key", "lo", "hi").applyInPandas(run, "key long, lo int, hi int, own int, id long, c long")
+
 
-    def compare(group):
+def _block_links(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) confirmed on full sets that join the components of each block pair: at most one fewer than its items."""
+
+    def run(group):
         import pandas as pd
 
-        group = group.sort_values("id")
         ids, comp, block = group["id"].to_numpy(), group["c"].to_numpy(), group["own"].to_numpy()
-        sig = np.stack([np.frombuffer(x, np.uint8) for x in group["sig"]])
-        lo, hi = group["lo"].iloc[0], group["hi"].iloc[0]
-        found = []
+        one = group["lo"].iloc[0] == group["hi"].iloc[0]
+        sets = [np.frombuffer(x, np.uint64) for x in group["s"]]
+        size = np.array([len(x) for x in sets])
+        start = np.cumsum(size) - size
+        _, number = np.unique(np.concatenate(sets), return_inverse=True)
+        mark = np.zeros(number.max() + 1, np.int64)
+        comp, links = comp.copy(), []
         for i in range(len(ids) - 1):
-            j = np.arange(i + 1, len(ids))
-            j = j[(comp[j] != comp[i]) & ((block[j] != block[i]) | (lo == hi))]
-            if len(j):
-                hit = j[(sig[j] == sig[i]).sum(1) >= least]
-                found += [(ids[i], ids[k]) for k in hit]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+            own = number[start[i] : start[i] + size[i]]
+            mark[own] = 1
+            both = np.add.reduceat(mark[number], start)
+            mark[own] = 0
+            alike = 100 * both >= percent * (size + size[i] - both)
+            for j in _others(i, comp, block, one):
+                if alike[j] and comp[j] != comp[i]:
+                    links.append((ids[i], ids[j]))
+                    comp[comp == comp[j]] = comp[i]
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    return d.groupBy("key", "lo", "hi").applyInPandas(compare, "a long, b long").distinct()
+    d = blocks.join(sets, "id").select("key", "lo", "hi", "own", "id", "c", "s")
+    return d.groupBy("key", "lo", "hi").applyInPandas(run, "a long, b long").distinct()
 
 
 def link_components(scanned: DataFrame, text_of: Callable[[DataFrame], DataFrame], minima: Minima, percent: int) -> DataFrame:
@@ -132,36 +188,32 @@ def link_components(scanned: DataFrame, text_of: Callable[[DataFrame], DataFrame
     ``scanned``: id, sig, bands of items with different non-empty sets.  ``text_of`` gives (id, text)
     of the ids in its argument's column id.
     """
-    least = least_agreeing(minima.bands * minima.rows, percent)
+    least = least_agreeing(minima.size, percent)
     rows = scanned.select("id", F.explode("bands").alias("key"))
-    ranks = [F.min(F.struct(F.xxhash64("id", F.lit(r)), F.col("id"))).getField("id").alias(f"p{r}") for r in range(1, PIVOTS)]
-    shared_keys = rows.groupBy("key").agg(F.min("id").alias("p0"), *ranks, F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared_keys = shared.materialize(shared_keys, "buckets")
-    members = shared.materialize(rows.join(shared_keys, "key").select("key", "id", "n", *[f"p{r}" for r in range(PIVOTS)]), "members")
-
-    pairs = members.select("id", F.explode(F.array_distinct(F.array(*[f"p{r}" for r in range(PIVOTS)]))).alias("p")).filter("id <> p")
+    buckets = shared.materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
+    shared.release(scanned.sparkSession)
+    members = shared.materialize(rows.join(shared.few(buckets), "key").select("key", "id", "n"), "members")
+    pivots = members.groupBy("key").agg(
+        F.min("id").alias("p0"), *[F.min(F.struct(F.xxhash64("id", F.lit(r)), F.col("id"))).getField("id").alias(f"p{r}") for r in range(1, PIVOTS)]
+    )
+    paired = members.join(shared.materialize(pivots, "pivots"), "key")
+
+    pairs = paired.select("id", F.explode(F.array_distinct(F.array(*[f"p{r}" for r in range(PIVOTS)]))).alias("p")).filter("id <> p")
     pairs = pairs.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
     signatures = shared.materialize(scanned.select("id", "sig").join(members.select("id").distinct(), "id", "left_semi"), "signatures")
     alike = shared.materialize(_alike_signatures(pairs, signatures, least), "alike")
 
-    def verify(alike: DataFrame) -> DataFrame:
-        ids = alike.select(F.col("a").alias("id")).unionByName(alike.select(F.col("b").alias("id"))).distinct()
-        sets = shared.materialize(full_sets(text_of(ids)), "sets")
-        links = shared.materialize(_confirmed(alike, sets, percent), "links")
-        shared.discard(sets)
-        return links
-
-    links = verify(alike)
-    first = shared.materialize(components.components(links), "components")
+    links = shared.materialize(_confirmed(alike, _sets_of(alike.select(F.explode(F.array("a", "b")).alias("id")), text_of), percent), "links")
+    found = shared.materialize(components.components(links), "components")
 
-    # buckets whose members aren't all in one component yet
-    labelled = members.select("key", "id", "n").join(first, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
+    # buckets whose members aren't all in one component yet; a bucket of two has had its only pair compared
+    labelled = members.filter("n > 2").join(found, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
     labelled = shared.materialize(labelled, "labelled")
     open_keys = shared.materialize(labelled.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("key"), "open")
-    # a bucket of two has had its only pair compared
-    rest = labelled.filter("n > 2").join(open_keys, "key")
-    more = shared.materialize(_block_pairs(rest, signatures, least), "alike").join(alike, ["a", "b"], "left_anti")
-    more = shared.materialize(more, "alike")
-    if not more.isEmpty():
-        first = components.components(links.unionByName(verify(more)))
-    return first
+    blocks = shared.materialize(_with_partners(_in_blocks(labelled.join(open_keys, "key")), signatures, least), "blocks")
+    more = shared.materialize(_block_links(blocks, _sets_of(blocks.select("id"), text_of), percent), "links")
+    return found if more.isEmpty() else components.components(links.unionByName(more))
+
+
+def _sets_of(ids: DataFrame, text_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    return shared.materialize(full_sets(text_of(shared.materialize(ids.distinct(), "ids"))), "sets")

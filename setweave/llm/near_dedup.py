@@ -20,7 +20,10 @@ def with_components(rows: DataFrame, text_of: Callable[[DataFrame], DataFrame],
     keys = ["n_shingles", "set_key", "set_key2"]
     classes = shared.materialize(full.groupBy(*keys).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
 
-    reps = full.join(classes.select("rep").distinct(), F.col("id") == F.col("rep"), "left_semi").dropDuplicates(["id", *keys])
+    # members of a class beside its first are left out by their ids, so that signatures and band keys aren't moved
+    several = shared.materialize(classes.filter("n > 1"), "several")
+    copies = full.select("id", *keys).join(several, keys).filter("id <> rep").select("id").distinct()
+    reps = shared.rows_without(full, shared.materialize(copies, "copies"), "id")
     found = minhash.link_components(reps.select("id", "sig", "bands"), text_of, minima, percent)
     # one row for each class that isn't a single unlinked item; salted, as a class may hold a third of all rows
     linked = classes.join(found, F.col("rep") == F.col("id"), "left").filter("n > 1 or component is not null")

@@ -47,28 +47,62 @@ def shingle_set(words: list[bytes], cache: WordHashes) -> np.ndarray:
         return np.unique(mix(out))
 
 
+def shingle_sets(texts: list[str | None], cache: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of many texts at once: (hashes, owner), sorted by owner, then hash; owner is the text's place."""
+    words = [words_of(t) for t in texts]
+    n = np.array([len(w) for w in words], np.int64)
+    ids = np.fromiter(map(cache.__getitem__, (x for w in words for x in w)), np.uint64, int(n.sum()))
+    start = np.cumsum(n) - n
+    owner = np.repeat(np.arange(len(n)), n)
+    hashes, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    with np.errstate(over="ignore"):
+        for k in range(1, WORDS + 1):
+            own = np.flatnonzero(n == k) if k < WORDS else None
+            if k < WORDS:
+                at, who = start[own], own
+            else:
+                at = np.flatnonzero(np.arange(len(ids)) - start[owner] <= n[owner] - WORDS)
+                who = owner[at]
+            if len(at):
+                h = np.full(len(at), np.uint64(k))
+                for i in range(k):
+                    h = h * MULTIPLIER + ids[at + i]
+                hashes.append(mix(h))
+                owners.append(who)
+    h, o = np.concatenate(hashes), np.concatenate(owners)
+    order = np.lexsort((h, o))
+    h, o = h[order], o[order]
+    first = np.ones(len(h), bool)
+    first[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
+    return h[first], o[first]
+
+
 class Minima:
-    """``bands * rows`` minima of universal hashes a * x + b (mod 2**64, a odd; the upper half counts)."""
+    """Minima of universal hashes a * x + b (mod 2**64, a odd; the upper half counts).
+
+    The first ``bands * rows`` of them make band keys; all of them, with ``extra`` more, the signature.
+    """
 
-    def __init__(self, bands: int, rows: int, seed: int = 1):
+    def __init__(self, bands: int, rows: int, extra: int = 0, seed: int = 1):
         g = np.random.default_rng(seed)
-        self.bands, self.rows = bands, rows
-        self.a = g.integers(0, 2**63, bands * rows, np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
-        self.b = g.integers(0, 2**63, bands * rows, np.uint64)[:, None]
-
-    def __call__(self, s: np.ndarray) -> np.ndarray:
-        best = None
-        for i in range(0, len(s), 256):
-            part = s[None, i : i + 256] * self.a
-            part += self.b
-            least = part.min(1)
-            best = least if best is None else np.minimum(best, least)
-        return (best >> np.uint64(32)).astype(np.uint32)
+        self.bands, self.rows, self.size = bands, rows, bands * rows + extra
+        self.a = g.integers(0, 2**63, self.size, np.uint64) * np.uint64(2) + np.uint64(1)
+        self.b = g.integers(0, 2**63, self.size, np.uint64)
+
+    def __call__(self, hashes: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """(set, hash function): minima of the sets that begin at ``start``."""
+        out = np.empty((self.size, len(start)), np.uint32)
+        for k in range(self.size):
+            x = hashes * self.a[k]
+            x += self.b[k]
+            out[k] = np.minimum.reduceat(x, start) >> np.uint64(32)
+        return out.T
 
     def band_keys(self, minima: np.ndarray) -> np.ndarray:
-        """One 64-bit key a band, different for equal minima in different bands."""
-        m = minima.reshape(self.bands, self.rows).astype(np.uint64)
-        key = np.arange(1, self.bands + 1, dtype=np.uint64)
-        for i in range(self.rows):
-            key = key * MULTIPLIER + m[:, i]
-        return mix(key).view(np.int64)
+        """(set, band): 64-bit keys, different for equal minima in different bands."""
+        m = minima[:, : self.bands * self.rows].reshape(-1, self.bands, self.rows).astype(np.uint64)
+        key = np.broadcast_to(np.arange(1, self.bands + 1, dtype=np.uint64), m.shape[:2])
+        with np.errstate(over="ignore"):
+            for i in range(self.rows):
+                key = key * MULTIPLIER + m[:, :, i]
+            return mix(key).view(np.int64)
