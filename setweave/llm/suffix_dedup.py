@@ -5,7 +5,8 @@ suffixes is moved between machines: of any LENGTH bytes, at least one of the suf
 chosen by the hash of its first GRAM bytes (the least in the window), alike wherever the bytes occur.
 
 1. Each chosen suffix is sent, by its gram, with a hash of its neighbourhood: all LENGTH-byte
-   windows that hold the gram.  A neighbourhood that occurs earlier is a repeat as a whole.
+   windows that hold the gram.  A neighbourhood that occurs earlier is a repeat as a whole; those
+   that a task sees twice are settled there, so that a common passage isn't sent once a copy.
 2. First occurrences of different neighbourhoods of one gram fetch their bytes.  For each gram they
    come in batches, in corpus order.  A batch gets its suffix array: its windows, sorted by the
    fingerprint of their LENGTH bytes (only equality matters, so fingerprint order serves).  It is
@@ -87,44 +88,60 @@ def _neighbourhoods(b: np.ndarray, at: np.ndarray, length: int, gram: int) -> np
 
 
 def suffixes(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(g, nb, doc_id, pos) of the chosen suffixes of every text."""
+    """(known, g, nb, doc_id, pos) of the chosen suffixes of every text.
+
+    ``known``: the same neighbourhood starts earlier among the rows that the task held with it, so
+    this is a repeat already, and needn't meet the others of its gram (which may be very many).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
+            part, size = [], 0
             for batch in batches:
-                part, size = [], 0
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                     raw = np.frombuffer(text.as_buffer(), np.uint8)
-                    if len(raw) < length:
-                        continue
                     at, g = chosen(raw, length, gram)
-                    part.append((g, _neighbourhoods(raw, at, length, gram), np.full(len(at), doc), at))
+                    part.append((doc, at, g, _neighbourhoods(raw, at, length, gram)))
                     size += len(at)
-                    if size >= 100_000:
+                    if size >= 300_000:
                         yield _suffix_batch(part)
                         part, size = [], 0
-                if part:
-                    yield _suffix_batch(part)
+            if part:
+                yield _suffix_batch(part)
 
     rows = docs.filter("doc_id is not null").selectExpr("cast(doc_id as long) doc_id", "cast(text as binary) b").filter(F.octet_length("b") >= length)
-    return rows.mapInArrow(run, "g long, nb long, doc_id long, pos int")
+    return rows.mapInArrow(run, "known boolean, g long, nb long, doc_id long, pos int")
 
 
 def _suffix_batch(part: list) -> pa.RecordBatch:
-    g, nb, doc, at = (np.concatenate(c) for c in zip(*part, strict=True))
+    part.sort(key=lambda x: x[0])
+    doc = np.repeat(np.array([d for d, _, _, _ in part], np.int64), [len(at) for _, at, _, _ in part])
+    at, g, nb = (np.concatenate([x[k] for x in part]) for k in (1, 2, 3))
+    # rows are in the order (doc_id, pos), and a stable sort leaves the first of each neighbourhood in front
+    order = np.argsort(_mixed(g * np.uint64(MULTIPLIER) + nb), kind="stable")
+    same = (g[order][1:] == g[order][:-1]) & (nb[order][1:] == nb[order][:-1])
+    known = np.zeros(len(g), bool)
+    known[order[1:][same]] = True
+    # a document given twice in a row has equal places, which aren't repeats of each other
+    again = (doc[order][1:] == doc[order][:-1]) & (at[order][1:] == at[order][:-1])
+    known[order[1:][same & again]] = False
     return pa.RecordBatch.from_arrays(
-        [pa.array(g.view(np.int64)), pa.array(nb.view(np.int64)), pa.array(doc, pa.int64()), pa.array(at.astype(np.int32))], names=["g", "nb", "doc_id", "pos"]
+        [pa.array(known), pa.array(g.view(np.int64)), pa.array(nb.view(np.int64)), pa.array(doc), pa.array(at.astype(np.int32))], names=["known", "g", "nb", "doc_id", "pos"]
     )
 
 
 def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in the order (g, nb, doc_id, pos): repeats of a neighbourhood (open false), and first ones of grams that have several (open true)."""
+    """From rows in the order (known, g, nb, doc_id, pos): repeats of a neighbourhood (open false), and first ones of grams that have several (open true)."""
     held = None  # the first row of the only neighbourhood so far of the last gram
-    last_g = last_nb = None
+    last_g = last_nb = last_doc = last_pos = None
     for batch in batches:
+        known = batch.filter(batch.column(0))
+        batch = batch.slice(0, batch.num_rows - known.num_rows)
+        if known.num_rows:
+            yield pa.RecordBatch.from_arrays([known.column(1), known.column(3), known.column(4), pa.array(np.zeros(known.num_rows, bool))], names=["g", "doc_id", "pos", "open"])
         if not batch.num_rows:
             continue
-        g, nb, doc, pos = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        g, nb, doc, pos = (c.to_numpy(zero_copy_only=False) for c in batch.columns[1:])
         new_g, new_nb = np.ones(len(g), bool), np.ones(len(g), bool)
         new_g[1:] = g[1:] != g[:-1]
         new_g[0] = last_g is None or g[0] != last_g
@@ -141,7 +158,11 @@ def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if held is not None and carried and several[0]:
                 yield _flagged([held], True)
             held = None if group[-1] > 0 or several[0] else held
-        wanted = ~first | several[group]
+        # a document given twice has equal rows, which aren't repeats of each other
+        again = np.zeros(len(g), bool)
+        again[1:] = ~first[1:] & (doc[1:] == doc[:-1]) & (pos[1:] == pos[:-1])
+        again[0] = not first[0] and doc[0] == last_doc and pos[0] == last_pos
+        wanted = (~first | several[group]) & ~again
         # the last gram may yet get another neighbourhood
         if group[-1] > 0 and not several[-1]:
             k = np.flatnonzero(new_g)[-1]
@@ -149,7 +170,7 @@ def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.flatnonzero(wanted)
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(g[at]), pa.array(doc[at]), pa.array(pos[at]), pa.array(first[at])], names=["g", "doc_id", "pos", "open"])
-        last_g, last_nb = g[-1], nb[-1]
+        last_g, last_nb, last_doc, last_pos = g[-1], nb[-1], doc[-1], pos[-1]
 
 
 def _flagged(rows: list, is_open: bool) -> pa.RecordBatch:
@@ -314,7 +335,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.T
 def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batch_rows: int = BATCH, hot: int = HOT) -> DataFrame:
     """doc_id and runs: the unordered, possibly overlapping byte intervals that repeat earlier text."""
     spark = docs.sparkSession
-    moved = suffixes(docs, length, gram).repartition("g").sortWithinPartitions("g", "nb", "doc_id", "pos")
+    sent = F.when(F.col("known"), F.xxhash64("doc_id", "pos")).otherwise(F.col("g"))
+    moved = suffixes(docs, length, gram).repartition(sent).sortWithinPartitions("known", "g", "nb", "doc_id", "pos")
     flagged = shared.materialize(moved.mapInArrow(_sorted_out, "g long, doc_id long, pos int, open boolean"), "flagged")
     shared.release(spark)
     near = shared.materialize(_neighbours(docs, flagged, length, gram), "neighbours")
