@@ -6,7 +6,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-MOST_ROUNDS = 100
+#: Rounds after which an iteration is given up with an error, never with a partial result.
+MOST_ROUNDS = 1000
 
 
 def canonical(edges: DataFrame, how: str = "max", a: str = "u", b: str = "v", w: str = "w") -> DataFrame:
@@ -108,6 +109,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         labels = new
         if not changed:
             break
+    else:
+        raise RuntimeError(f"labels still change after {MOST_ROUNDS} rounds")
     both.unpersist()
     return labels.select("id", F.col("c").alias("component"))
 
@@ -161,6 +164,8 @@ def core_numbers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         core = new
         if not changed:
             break
+    else:
+        raise RuntimeError(f"core numbers still change after {MOST_ROUNDS} rounds")
     both.unpersist()
     return core.select("id", F.col("k").alias("core"))
 

@@ -140,8 +140,8 @@ def whitelist_finite(spark, sf):
     return d.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END AS dir_up, CASE WHEN o_orderstatus = 'O' THEN 1.0 ELSE 0.0 END AS dir_dn,
-CASE WHEN o_orderstatus IN ('F', 'O') THEN 0.0 ELSE 1.0 END AS dir_other, CASE WHEN o_totalprice > 300000 THEN 'large' WHEN o_totalprice > 100000 THEN 'medium' ELSE 'small' END AS badge FROM orders""")
+@query("""SELECT o_orderkey, (CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END)::DOUBLE AS dir_up, (CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END)::DOUBLE AS dir_dn,
+(CASE WHEN o_orderstatus IN ('F', 'O') THEN 0 ELSE 1 END)::DOUBLE AS dir_other, CASE WHEN o_totalprice > 300000 THEN 'large' WHEN o_totalprice > 100000 THEN 'medium' ELSE 'small' END AS badge FROM orders""")
 def case_flags(spark, sf):
     status, price = F.col("o_orderstatus"), F.col("o_totalprice")
     direction = F.when(status == "F", "up").when(status == "O", "dn").otherwise("?")
