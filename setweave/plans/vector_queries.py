@@ -246,3 +246,12 @@ def histogram(spark, sf):
     b = F.floor((F.col("v")[0] + 1) / 0.1)
     d = vectors(spark, sf).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     return rounded(d.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy())))
+
+
+@query()
+def method_study(spark, sf):
+    from . import study
+
+    a, b = halves(spark, sf)
+    d = table(spark, sf, "documents").withColumnRenamed("doc_id", "id").join(a.select("id"), "id", "left_semi")
+    return rounded(study.report({"first": a, "second": b}, d.select("id", "text"), d.select("id", F.col("lang").alias("value")), 4, [11, 12, 13]), 4)
