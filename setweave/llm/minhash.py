@@ -23,7 +23,7 @@ from . import components, shared
 from .shingles import Minima, WordHashes, shingle_set, shingle_sets, words_of
 
 #: Items of a block; two blocks' signatures are compared by one task at a time.
-BLOCK = 256
+BLOCK = 1024
 #: Standard errors that a signature may fall short of the threshold before a pair is given up.
 SLACK = 5.0
 PIVOTS = 3
@@ -128,6 +128,11 @@ def _in_blocks(members: DataFrame) -> DataFrame:
     return d.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "c")
 
 
+def _spread(blocks: DataFrame) -> DataFrame:
+    """Block pairs over all shuffle partitions: their work is the square of their rows, so few bytes mustn't mean few tasks."""
+    return blocks.repartition(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "lo", "hi")
+
+
 def _others(i: int, comp: np.ndarray, block: np.ndarray, one_block: bool) -> np.ndarray:
     """Later items of a block pair that item i is to be compared with there."""
     j = np.arange(i + 1, len(comp))
@@ -148,7 +153,7 @@ def _with_partners(blocks: DataFrame, signatures: DataFrame, least: int) -> Data
                 hit[i] = hit[alike] = True
         return group.loc[hit, ["key", "lo", "hi", "own", "id", "c"]]
 
-    d = blocks.join(signatures, "id").select("key", "lo", "hi", "own", "id", "c", "sig")
+    d = _spread(blocks.join(signatures, "id").select("key", "lo", "hi", "own", "id", "c", "sig"))
     return d.groupBy("key", "lo", "hi").applyInPandas(run, "key long, lo int, hi int, own int, id long, c long")
 
 
@@ -172,13 +177,14 @@ def _block_links(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             both = np.add.reduceat(mark[number], start)
             mark[own] = 0
             alike = 100 * both >= percent * (size + size[i] - both)
-            for j in _others(i, comp, block, one):
-                if alike[j] and comp[j] != comp[i]:
+            j = _others(i, comp, block, one)
+            for j in j[alike[j]].tolist():
+                if comp[j] != comp[i]:
                     links.append((ids[i], ids[j]))
                     comp[comp == comp[j]] = comp[i]
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    d = blocks.join(sets, "id").select("key", "lo", "hi", "own", "id", "c", "s")
+    d = _spread(blocks.join(sets, "id").select("key", "lo", "hi", "own", "id", "c", "s"))
     return d.groupBy("key", "lo", "hi").applyInPandas(run, "a long, b long").distinct()
 
 

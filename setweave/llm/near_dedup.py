@@ -23,6 +23,8 @@ def with_components(rows: DataFrame, text_of: Callable[[DataFrame], DataFrame],
     # members of a class beside its first are left out by their ids, so that signatures and band keys aren't moved
     several = shared.materialize(classes.filter("n > 1"), "several")
     copies = full.select("id", *keys).join(several, keys).filter("id <> rep").select("id").distinct()
+    # an id that was given with two sets may be the first of another class, and stays then
+    copies = copies.join(classes.select(F.col("rep").alias("id")), "id", "left_anti")
     reps = shared.rows_without(full, shared.materialize(copies, "copies"), "id")
     found = minhash.link_components(reps.select("id", "sig", "bands"), text_of, minima, percent)
     # one row for each class that isn't a single unlinked item; salted, as a class may hold a third of all rows

@@ -31,19 +31,31 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._setweave_path = path
     return out
 
 
+_written: list[str] = []
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete every table that this process has written to the shared folder; results that read them end too."""
+    while _written:
+        _delete(spark, _written.pop())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete materialized tables that no later plan reads."""
     for t in tables:
-        path = getattr(t, "_setweave_path", None)
-        if path:
-            spark = t.sparkSession
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        if path := getattr(t, "_setweave_path", None):
+            _delete(t.sparkSession, path)
 
 
 def release(spark: SparkSession) -> None:
