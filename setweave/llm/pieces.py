@@ -29,12 +29,20 @@ def places_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def cut(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` (all columns) without the pieces in ``gone`` (doc_id, places), and _pieces, _removed: how many it had and lost."""
-    gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("places").alias("_places"))
-    d = docs.join(gone, F.col("doc_id") == F.col("_gone_id"), "left")
-    parts = F.split("text", "\n")
-    kept = F.filter(F.transform(parts, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda y: ~F.array_contains("_places", y["i"]))
-    text = F.when(F.col("_places").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda y: y["x"]), "\n"))
-    out = d.withColumn("_pieces", F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long"))
-    out = out.withColumn("_removed", F.greatest(F.coalesce(F.size("_places"), F.lit(0)), F.lit(0)).cast("long"))
-    return out.withColumn("text", text).drop("_gone_id", "_places")
+    """``docs`` (all columns) without the pieces in ``gone`` (doc_id, places), and _pieces, _removed: how many it had and lost.
+
+    The columns travel in one struct, so that none of their names can clash; only columns that are
+    called _pieces or _removed already are replaced.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    d = rows.join(gone.select(F.col("doc_id").alias("gone_id"), "places"), F.col("row.doc_id") == F.col("gone_id"), "left")
+    text = F.col("row.text")
+    parts = F.split(text, "\n")
+    left = F.filter(F.transform(parts, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda y: ~F.array_contains("places", y["i"]))
+    new = F.when(F.col("places").isNull(), text).otherwise(F.array_join(F.transform(left, lambda y: y["x"]), "\n"))
+    names = [c for c in docs.columns if c not in ("_pieces", "_removed")]
+    return d.select(
+        *[new.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names],
+        F.when(text.isNull(), 0).otherwise(F.size(parts)).cast("long").alias("_pieces"),
+        F.when(F.col("places").isNull(), 0).otherwise(F.size("places")).cast("long").alias("_removed"),
+    )
