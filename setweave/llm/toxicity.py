@@ -26,7 +26,7 @@ PREFIXES, SUFFIX = (4, 5, 6, 7), 4  # in UTF-8 bytes
 MOST_OF_A_CLASS, MOST_TOKENS = 2000, 1024
 EPOCHS, BATCH_WINDOWS, RATE = 8, 384, 0.01
 STRIP = b".,;:!?|#*$%&\"'()[]<>-_=+/"
-CACHE_WORDS = 150_000
+CACHE_WORDS = 100_000
 CHUNK_TOKENS = 150_000
 
 
@@ -339,23 +339,38 @@ def score(docs: DataFrame, model: bytes) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(model)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scorer([t or "" for t in b.column(1).to_pylist()]), pa.float64())], names=["doc_id", "score"])
+        for batch, scores in _scored(batches, 1, model):
+            yield pa.RecordBatch.from_arrays([batch.column(0), scores], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
 
 
+#: Rows whose texts are turned into Python strings at once, of a batch that may hold many.
+SLICE_ROWS = 256
+
+
+def _scored(batches: Iterator[pa.RecordBatch], column: int, model: bytes) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Slices of the batches with their scores.  What a task has cached goes at its end, as its worker lives on."""
+    scorer = _scorer(model)
+    for b in batches:
+        for k in range(0, b.num_rows, SLICE_ROWS):
+            part = b.slice(k, SLICE_ROWS)
+            yield part, pa.array(scorer([t or "" for t in part.column(column).to_pylist()]), pa.float64())
+    scorer._forget()
+    pa.default_memory_pool().release_unused()
+
+
 def keep_clean(docs: DataFrame, model: bytes, threshold: float = 0.5) -> DataFrame:
     """Rows of ``docs`` (all columns) whose score is under ``threshold``."""
+    import pyarrow.compute as pc
 
-    @F.pandas_udf("double")
-    def rate(texts):
-        import pandas as pd
+    column = docs.columns.index("text")
 
-        return pd.Series(_scorer(model)([t if isinstance(t, str) else "" for t in texts]), dtype="float64")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, scores in _scored(batches, column, model):
+            yield batch.filter(pc.less(scores, threshold))
 
-    return docs.withColumn("_toxicity", rate(F.col("text"))).filter(F.col("_toxicity") < threshold).drop("_toxicity")
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
