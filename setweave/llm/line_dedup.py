@@ -2,12 +2,16 @@
 
 A line's tokens are its five-word shingles.  They are ordered by rarity: by how often the first
 word's hash bucket occurs in the corpus (a shingle is no more frequent than its words), then by
-hash.  Two lines of Jaccard 0.75 or more share a token in the first n - ceil(0.75 n) + 1, so only
-those are sent; pairs that meet there must also pass the length and positional bounds, and are then
-verified on their whole token sets.  A line goes if it is alike an earlier one.
-
-Each line is first held against the earliest line of each of its tokens, which settles groups of
-copies without a row for each pair; only lines that this leaves open meet all earlier ones.
+hash.  Two lines of Jaccard 0.75 or more share SHARED tokens (fewer if they are shorter) in the first
+n - ceil(0.75 n) + SHARED, so only those are sent; pairs that meet there so often must also pass the
+length and positional bounds, and are then verified on their whole token sets.  A line goes if it is
+alike an earlier one.
+
+Each line is first held against two others: the one that most often is the earliest of its tokens,
+and the one that most often is their hub (the line with the most widely shared tokens, such as the
+original of a group of copies).  That settles groups of copies without a row for each pair.  Only
+lines that this leaves open meet earlier ones, and only those whose token bitmaps differ in few
+enough bits: each differing bit is a token that one of the two lacks, so the bound loses no match.
 """
 
 from __future__ import annotations
@@ -18,11 +22,14 @@ from . import pieces, shared
 
 #: Buckets of the word counts: a table of this many bytes, whatever the corpus.
 BUCKETS = 1 << 16
+#: Tokens that a pair's prefixes must have in common.
+SHARED = 3
+#: Longs of a line's token bitmap.
+BITMAP = 4
 
 
 def _words(line: Column) -> Column:
-    lower = F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.split(F.btrim(lower, F.lit(shared.WHITESPACE)), shared.WORD_SPLIT)
+    return F.split(F.btrim(F.lower(line), F.lit(shared.WHITESPACE)), shared.WORD_SPLIT)
 
 
 def _bucket(word: Column) -> Column:
@@ -52,10 +59,15 @@ def token_sets(lines: DataFrame, classes: bytes) -> DataFrame:
     return d.select("id", F.sort_array(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("words") - pieces.WORDS), token))).alias("tokens"))
 
 
+def _least_overlap(n: Column) -> Column:
+    """ceil(3n/4): what a line of n tokens has in common with any line that is alike."""
+    return F.floor((n * 3 + 3) / 4).cast("int")
+
+
 def prefixes(sets: DataFrame) -> DataFrame:
-    """(token, id, n, at): the first n - ceil(3n/4) + 1 tokens of each line, with their place and the line's size."""
+    """(token, id, n, at): the first n - ceil(3n/4) + SHARED tokens of each line, with their place and the line's size."""
     n = F.size("tokens")
-    length = n - F.floor((n * 3 + 3) / 4).cast("int") + 1
+    length = n - _least_overlap(n) + F.least(F.lit(SHARED), _least_overlap(n))
     return sets.select("id", n.alias("n"), F.posexplode(F.slice("tokens", F.lit(1), length)).alias("at", "token")).select("token", "id", "n", "at")
 
 
@@ -66,10 +78,34 @@ def _can_match(n: Column, at: Column, m: Column, to: Column) -> Column:
     return lengths & (7 * most >= 3 * (n + m))
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, classes: bytes) -> DataFrame:
+def _bitmap(tokens: Column) -> Column:
+    """BITMAP longs in which each token sets one bit."""
+
+    def word(w: Column) -> Column:
+        own = F.filter(tokens, lambda t: F.pmod(t, F.lit(BITMAP)) == w)
+        return F.aggregate(own, F.lit(0).cast("long"), lambda a, t: a.bitwiseOR(_bit(t)))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(BITMAP - 1)), word)
+
+
+def _bit(t: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(t, 8).bitwiseAND(63).cast("int"))
+
+
+def _few_differ(x: str, y: str, n: Column, m: Column) -> Column:
+    """At Jaccard 3/4 or more two sets differ in at most a seventh of their sizes' sum."""
+    bits = [F.bit_count(F.col(x)[k].bitwiseXOR(F.col(y)[k])) for k in range(BITMAP)]
+    return 7 * sum(bits[1:], bits[0]) <= n + m
+
+
+def _most_often(rows: DataFrame) -> DataFrame:
+    """(id, x): of the earlier lines x that stand beside a line's tokens, the one that does so most often."""
+    counts = rows.filter(F.col("id") > F.col("x")).groupBy("id", "x").agg(F.count(F.lit(1)).alias("c"))
+    return counts.groupBy("id").agg(F.max_by("x", F.struct(F.col("c"), -F.col("x"))).alias("x"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """id of the pairs' (x earlier, id) later lines whose token sets have 4 |x & y| >= 3 |x | y|."""
-    ids = shared.materialize(pairs.select(F.explode(F.array("id", "x")).alias("id")).distinct(), "line-ids")
-    sets = shared.materialize(token_sets(shared.rows_with(lines, ids, "id"), classes), "line-sets")
     left, right = sets.select("id", F.col("tokens").alias("s")), sets.select(F.col("id").alias("x"), F.col("tokens").alias("t"))
     both = pairs.join(left, "id").join(right, "x").withColumn("o", F.size(F.array_intersect("s", "t")))
     return shared.materialize(both.filter(7 * F.col("o") >= 3 * (F.size("s") + F.size("t"))).select("id").distinct(), "later")
@@ -86,23 +122,47 @@ def later_matches(docs: DataFrame) -> DataFrame:
 
     classes = word_classes(distinct)
     rows = shared.materialize(prefixes(token_sets(distinct, classes)), "prefixes")
-    met = rows.groupBy("token").agg(F.min(F.struct("id", "n", "at")).alias("f"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    met = shared.materialize(met.select("token", "f"), "met")
+    met = shared.materialize(rows.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token"), "met")
     shared.release(docs.sparkSession)
-    small = shared.materialize(met.select("token"), "tokens")
-    rest = shared.materialize(shared.rows_with(rows, small, "token"), "rest")
+    least = F.least(F.lit(SHARED), _least_overlap(F.col("n")))
+    held = shared.rows_with(rows, met, "token").groupBy("id", "n").agg(F.collect_list(F.struct("token", "at")).alias("held"))  # as many as one line has
+    held = shared.materialize(held.filter(F.size("held") >= least), "held")
     shared.discard(rows)
+    shared.release(docs.sparkSession)
+    rest = held.select("id", "n", F.explode("held").alias("h")).select("h.token", "id", "n", "h.at")
+    sets = shared.materialize(token_sets(shared.rows_with(lines, shared.materialize(held.select("id"), "line-ids"), "id"), classes), "line-sets")
+
+    first = shared.materialize(rest.groupBy("token").agg(F.min("id").alias("x"), F.count(F.lit(1)).alias("c")), "first")
+    width = shared.materialize(rest.join(first, "token").groupBy("id").agg(F.sum("c").alias("w")), "width")
+    hub = shared.materialize(rest.join(width, "id").groupBy("token").agg(F.max_by("id", F.struct(F.col("w"), -F.col("id"))).alias("x")), "hub")
+    shared.release(docs.sparkSession)
+    stars = shared.materialize(_most_often(rest.join(first, "token")).unionByName(_most_often(rest.join(hub, "token"))).distinct(), "stars")
+    settled = _verified(stars, sets)
+    shared.release(docs.sparkSession)
+
+    marked = shared.materialize(rest.join(sets.select("id", _bitmap(F.col("tokens")).alias("bits")), "id"), "marked")
+    still = marked.join(settled, "id", "left_anti")
+    earlier = marked.select("token", *[F.col(a).alias(b) for a, b in EARLIER.items()])
+    n, m = F.col("n"), F.col("m")
+    meet = (F.col("id") > F.col("x")) & _can_match(n, F.col("at"), m, F.col("to")) & _few_differ("bits", "other", n, m)
+    # semi joins: a line of a group meets all its earlier ones, but no row is made of a pair
+    later = shared.materialize(_beside(still, earlier, meet), "later")
+    sooner = shared.materialize(_beside(earlier, still, meet), "sooner")
+    later = later.join(sets.select("id", F.col("tokens").alias("s")), "id")
+    sooner = sooner.join(sets.select(F.col("id").alias("x"), F.col("tokens").alias("t")), "x")
+    alike = 7 * F.size(F.array_intersect("s", "t")) >= 3 * (n + m)
+    found = shared.materialize(_beside(later, sooner, meet & alike).select("id").distinct(), "found")
+    return copies.unionByName(settled).unionByName(found)
+
+
+#: Names of a line's columns where it is the earlier one of two.
+EARLIER = {"id": "x", "n": "m", "at": "to", "bits": "other"}
 
-    f = F.col("f")
-    stars = rest.join(met, "token").filter((F.col("id") > f["id"]) & _can_match(F.col("n"), F.col("at"), f["n"], f["at"]))
-    stars = shared.materialize(stars.select("id", f["id"].alias("x")).distinct(), "stars")
-    settled = _verified(stars, lines, classes)
 
-    still = rest.join(settled, "id", "left_anti")
-    earlier = rest.select("token", F.col("id").alias("x"), F.col("n").alias("m"), F.col("at").alias("to"))
-    more = still.join(earlier, "token").filter((F.col("id") > F.col("x")) & _can_match(F.col("n"), F.col("at"), F.col("m"), F.col("to")))
-    more = more.select("id", "x").distinct().join(stars, ["id", "x"], "left_anti")
-    return copies.unionByName(settled).unionByName(_verified(shared.materialize(more, "pairs"), lines, classes))
+def _beside(these: DataFrame, those: DataFrame, condition: Column) -> DataFrame:
+    """Rows of ``these`` for which a row of ``those`` with the same token meets the condition."""
+    d = those.withColumnRenamed("token", "same")
+    return these.join(d, (F.col("token") == F.col("same")) & condition, "left_semi")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
@@ -127,7 +187,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH l AS (
-  SELECT doc_id, i, parts[i] AS line, list_filter(regexp_split_to_array(translate(parts[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  SELECT doc_id, i, parts[i] AS line, list_filter(regexp_split_to_array(lower(parts[i]), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
   FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL), unnest(range(1, len(parts) + 1)) r(i)),
 p AS (SELECT array_to_string(words, ' ') AS t, min((doc_id, i)) AS first, any_value(words) AS words FROM l WHERE len(words) >= 5 GROUP BY 1),
 q AS (SELECT row_number() OVER (ORDER BY first) AS id, * FROM p),
