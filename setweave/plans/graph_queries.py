@@ -11,7 +11,8 @@ from . import kg
 from .registry import query, rounded
 from .relational_queries import CANON, EDGES, edges
 
-#: A sparser graph: suppliers that share an order of large quantities.
+#: An eleventh of the edges, by a modulo of their ends: what the queries with SQL read, so that DuckDB
+#: ends (components takes a seventh of these again).  Queries without SQL read all edges (``whole``).
 SPARSE = f"{EDGES}, {CANON}, s AS (SELECT u, v, w FROM c WHERE (u * 31 + v * 17) % 11 = 0)"
 NODES = "n AS (SELECT s_suppkey AS id FROM supplier)"
 
@@ -20,8 +21,12 @@ def nodes_of(spark, sf) -> DataFrame:
     return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"))
 
 
+def whole(spark, sf) -> DataFrame:
+    return graph.canonical(edges(spark, sf))
+
+
 def sparse(spark, sf) -> DataFrame:
-    return graph.canonical(edges(spark, sf)).filter((F.col("u") * 31 + F.col("v") * 17) % 11 == 0)
+    return whole(spark, sf).filter((F.col("u") * 31 + F.col("v") * 17) % 11 == 0)
 
 
 @query(f"""WITH {SPARSE}, {NODES}, d AS (SELECT id, count(*) AS degree, sum(w) AS strength FROM (SELECT u AS id, w FROM s UNION ALL SELECT v, w FROM s) GROUP BY 1)
@@ -104,15 +109,15 @@ def root_labels(spark, sf):
 
 @query()
 def core_numbers(spark, sf):
-    return graph.core_numbers(nodes_of(spark, sf), sparse(spark, sf))
+    return graph.core_numbers(nodes_of(spark, sf), whole(spark, sf))
 
 
-def _grouped(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """Suppliers in two clusterings (A by nation, B by key), and the typed edges inside each group."""
+def _grouped(spark, sf, read=sparse) -> tuple[DataFrame, DataFrame]:
+    """Suppliers in two clusterings (A by nation, B by key), and the typed edges inside each group; ``read`` gives the overlap edges."""
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_nationkey") % 4).cast("long").alias("a"), (F.col("s_suppkey") % 4).alias("b"))
     members = kg.groups(s, {"A": "a", "B": "b"})
     nation = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), "s_nationkey")
-    e = sparse(spark, sf)
+    e = read(spark, sf)
     relations = [kg.gene_overlap(e, nodes_of(spark, sf)), kg.shared_values(nation, "id", "s_nationkey", "mesh")]
     every, _ = kg.assemble(relations, nodes_of(spark, sf))
     return members, kg.group_edges(every, members)
@@ -159,14 +164,14 @@ def group_kg_stats(spark, sf):
 
 @query()
 def group_centrality(spark, sf):
-    members, e = _grouped(spark, sf)
+    members, e = _grouped(spark, sf, whole)
     simple = e.select("group_id", F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
     return rounded(graph.centrality(simple, members))
 
 
 @query()
 def matched_comparison(spark, sf):
-    members, e = _grouped(spark, sf)
+    members, e = _grouped(spark, sf, whole)
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_nationkey") % 4).cast("long").alias("a"), (F.col("s_suppkey") % 4).alias("b"))
     metrics = kg.coverage(members, e, ("gene_overlap", "mesh"))
     return rounded(kg.matched_comparison(s, "a", "b", metrics, ["gene_overlap", "mesh"]))
@@ -174,7 +179,7 @@ def matched_comparison(spark, sf):
 
 @query()
 def cluster_context(spark, sf):
-    members, e = _grouped(spark, sf)
+    members, e = _grouped(spark, sf, whole)
     meta = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
     terms = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("id"), F.col("p_type").alias("term"))
     from ..sources.connectors import batched_prompts
@@ -187,7 +192,7 @@ def sage_propagation(spark, sf):
     """One propagation step of a graph encoder over the normalised adjacency."""
     f = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), V.doubles(F.col("embedding")).alias("v"))
     n = nodes_of(spark, sf).join(f.select("id"), "id", "left_semi")
-    a = graph.normalized_adjacency(n, graph.with_endpoints(sparse(spark, sf), n))
+    a = graph.normalized_adjacency(n, graph.with_endpoints(whole(spark, sf), n))
     d = linkpred.propagate(a, f)
     return d.select("id", F.round(V.norm(F.col("v")), 4).alias("norm"))
 
@@ -196,6 +201,6 @@ def sage_propagation(spark, sf):
 def gnn_linkpred(spark, sf):
     f = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     n = nodes_of(spark, sf).join(f.select("id"), "id", "left_semi")
-    run, _ = linkpred.holdout(n, f, graph.with_endpoints(sparse(spark, sf), n), config=linkpred.Config(epochs=20))
+    run, _ = linkpred.holdout(n, f, graph.with_endpoints(whole(spark, sf), n), config=linkpred.Config(epochs=20))
     rows = [(r["epoch"], float(r["train_loss"]), r["val_auc"], r["val_ap"], r["test_auc"], r["test_ap"]) for r in run.curve]
     return spark.createDataFrame(rows, "epoch int, train_loss double, val_auc double, val_ap double, test_auc double, test_ap double")
