@@ -22,9 +22,11 @@ from . import shared
 WINDOW, STRIDE = 32, 24
 BUCKETS, DIM, HIDDEN = 1 << 16, 8, 8
 PREFIXES, SUFFIX = (4, 5, 6, 7), 4  # in UTF-8 bytes
-#: Bounds of the training sample: labelled rows of each class, and tokens of a sampled text.
-MOST_OF_A_CLASS, MOST_TOKENS = 2000, 1024
+#: Bound of the training sample: labelled rows of each class, whose texts are read whole.
+MOST_OF_A_CLASS = 2000
 EPOCHS, BATCH_WINDOWS, RATE = 8, 384, 0.01
+#: Windows that a training step holds the states of at once; a batch with more is read twice, in slices.
+SLICE_WINDOWS = 2048
 STRIP = b".,;:!?|#*$%&\"'()[]<>-_=+/"
 CACHE_WORDS = 100_000
 CHUNK_TOKENS = 150_000
@@ -138,6 +140,12 @@ def backward(p: dict, dlogit: np.ndarray, mask: np.ndarray, tape) -> dict[str, n
     return g
 
 
+def _ids(words: list[str]) -> np.ndarray:
+    """Features of words (words, N_FEATURES), in two bytes each."""
+    parts = [np.array([features(w) for w in words[k : k + 8192]], np.uint16) for k in range(0, len(words), 8192)]
+    return np.concatenate(parts) if parts else np.empty((0, N_FEATURES), np.uint16)
+
+
 def train(texts: list[str], labels: list[int], seed: int = 7) -> dict[str, np.ndarray]:
     """Adam over mini-batches of texts; classes are weighted to equal mass."""
     p = fresh(seed)
@@ -146,7 +154,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> dict[str, np.nd
         p["bias"][:] = 3 if labels and labels[0] else -3
         return p
     g = np.random.default_rng(seed)
-    ids = [np.array([features(w) for w in words_of(t)[:MOST_TOKENS]], np.int64).reshape(-1, N_FEATURES) for t in texts]
+    ids = [_ids(words_of(t)) for t in texts]
     share = np.mean(labels)
     weight = np.where(np.array(labels) == 1, min(0.5 / share, 4), 0.5 / (1 - share))
     first, second = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
@@ -167,14 +175,11 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> dict[str, np.nd
 def _update(p, docs, y, weight, first, second, step, rate, g) -> None:
     cut = [(k, s, n) for k, d in enumerate(docs) for s, n in windows_of(len(d))]
     of = np.array([k for k, _, _ in cut])
-    feats, mask = np.zeros((WINDOW, len(cut), N_FEATURES), np.int64), np.zeros((WINDOW, len(cut)), np.float32)
-    for j, (k, s, n) in enumerate(cut):
-        feats[:n, j], mask[:n, j] = docs[k][s : s + n], 1
     # some whole-word inputs are left out, so that the model also learns from characters
-    on = np.ones(feats.shape, np.float32)
-    on[:, :, 0] = g.random(feats.shape[:2]) < 0.7
-    x = (p["E"][feats] * on[..., None]).sum(2)
-    logits, tape = forward(p, x @ p["Wf"] + p["bf"], x @ p["Wb"] + p["bb"], mask, True)
+    whole = g.random((WINDOW, len(cut))) < 0.7
+    slices = [slice(k, k + SLICE_WINDOWS) for k in range(0, len(cut), SLICE_WINDOWS)]
+    once = _read(p, docs, cut, whole, True) if len(slices) == 1 else None
+    logits = once[0] if once else np.concatenate([_read(p, docs, cut[at], whole[:, at], False)[0] for at in slices])
     top = np.full(len(docs), -np.inf)
     np.maximum.at(top, of, logits)
     e = np.exp(logits - top[of])
@@ -182,7 +187,37 @@ def _update(p, docs, y, weight, first, second, step, rate, g) -> None:
     np.add.at(total, of, e)
     score = sigmoid(top + np.log(total))
     ddoc = (score - y) * weight / len(docs)
-    grads = backward(p, (ddoc[of] * e / total[of]).astype(np.float32), mask, tape)
+    dlogit = (ddoc[of] * e / total[of]).astype(np.float32)
+    grads: dict[str, np.ndarray] = {}
+    words: dict[str, list] = {"rows": [], "de": []}
+    for at in slices:
+        own, rows, de = _gradients(p, dlogit[at], *(once or _read(p, docs, cut[at], whole[:, at], True))[1:])
+        grads = {k: grads[k] + d if grads else d for k, d in own.items()}
+        words["rows"].append(rows)
+        words["de"].append(de)
+    for k, d in grads.items():
+        _adam(p, k, slice(None), d, first, second, step, rate)
+    rows, where = np.unique(np.concatenate(words["rows"]), return_inverse=True)
+    de = np.zeros((len(rows), DIM), np.float32)
+    np.add.at(de, where, np.concatenate(words["de"]))
+    _adam(p, "E", rows, de, first, second, step, rate)
+
+
+def _read(p, docs, cut, whole, keep) -> tuple:
+    """Logits of the windows in ``cut``, and what their gradients need."""
+    feats, mask = np.zeros((WINDOW, len(cut), N_FEATURES), np.int64), np.zeros((WINDOW, len(cut)), np.float32)
+    for j, (k, s, n) in enumerate(cut):
+        feats[:n, j], mask[:n, j] = docs[k][s : s + n], 1
+    on = np.ones(feats.shape, np.float32)
+    on[:, :, 0] = whole
+    x = (p["E"][feats] * on[..., None]).sum(2)
+    logits, tape = forward(p, x @ p["Wf"] + p["bf"], x @ p["Wb"] + p["bb"], mask, keep)
+    return logits, feats, mask, on, x, tape
+
+
+def _gradients(p, dlogit, feats, mask, on, x, tape) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """Gradients of the weights, and the rows of E that the windows hold with theirs."""
+    grads = backward(p, dlogit, mask, tape)
     dxf, dxb = grads.pop("xf"), grads.pop("xb")
     flat = x.reshape(-1, DIM)
     grads["Wf"], grads["Wb"] = flat.T @ dxf.reshape(-1, 3 * HIDDEN), flat.T @ dxb.reshape(-1, 3 * HIDDEN)
@@ -191,9 +226,7 @@ def _update(p, docs, y, weight, first, second, step, rate, g) -> None:
     rows, where = np.unique(feats, return_inverse=True)
     de = np.zeros((len(rows), DIM), np.float32)
     np.add.at(de, where.reshape(-1), (dx[:, :, None, :] * on[..., None]).reshape(-1, DIM))
-    for k, d in grads.items():
-        _adam(p, k, slice(None), d, first, second, step, rate)
-    _adam(p, "E", rows, de, first, second, step, rate)
+    return grads, rows, de
 
 
 def _adam(p, k, at, d, first, second, step, rate) -> None:
@@ -308,7 +341,7 @@ def pack(p: dict[str, np.ndarray]) -> bytes:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text, toxic of a bounded sample: per class the MOST_OF_A_CLASS labelled rows of least hash of doc_id.
+    """doc_id, whole text, toxic of a sample of bounded rows: per class the MOST_OF_A_CLASS labelled rows of least hash of doc_id.
 
     Rows whose crc32(doc_id as text) mod 5 is 0 are held out.  A text given twice counts twice.
     """
@@ -318,8 +351,7 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for c in (0, 1)
     ]
     sample = keys[0].unionByName(keys[1]).select("doc_id", "toxic")  # bounded by the limit: 2 * MOST_OF_A_CLASS rows of two numbers
-    tokens = F.slice(F.split(F.coalesce("text", F.lit("")), r"\s+"), 1, MOST_TOKENS)
-    return shared.project(docs, "doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", F.array_join(tokens, " ").alias("text"), "toxic")
+    return shared.project(docs, "doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
 
 
 def held_out() -> "F.Column":

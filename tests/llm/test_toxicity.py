@@ -92,3 +92,21 @@ def test_one_class_or_no_labels(spark):
         model = T.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
         assert T.keep_clean(docs, model).count() == 3
     assert T.keep_clean(docs, model).columns == docs.columns
+
+
+def test_texts_are_learnt_whole(spark):
+    """What is toxic lies beyond the first 1,024 words of every toxic text."""
+    texts = [prose(k, 1300) + (" vile scum" if k % 2 else " kind folk") + prose(k + 50, 20) for k in range(40)]
+    docs, labels = make(spark, texts), spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    kept = {r["doc_id"]: r["text"] for r in T.training_rows(docs, labels).collect()}
+    assert kept and all(texts[k] == t for k, t in kept.items())
+
+
+def test_slices_of_a_batch_train_alike(monkeypatch):
+    texts, labels = [prose(k, 40 * k) + " vile" * (k % 2) for k in range(1, 13)], [k % 2 for k in range(1, 13)]
+    monkeypatch.setattr(T, "BATCH_WINDOWS", 20)
+    monkeypatch.setattr(T, "EPOCHS", 1)
+    whole = T.train(texts, labels)
+    monkeypatch.setattr(T, "SLICE_WINDOWS", 7)
+    for k, x in T.train(texts, labels).items():
+        assert x == pytest.approx(whole[k], abs=2e-3), k
