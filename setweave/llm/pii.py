@@ -79,15 +79,30 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def proposals(text: str) -> list[tuple[int, str, int]]:
+    """Every extent from every start of each kind, overlapping ones too; the scores choose among them."""
     out = []
     digit = re.search("[0-9]", text) is not None
     low = text.lower() if re.search(r"(?:\bdot\b|\(dot\)|\[dot\])", text, re.I) else ""
     for kind, pattern in GENERATORS.items():
         if low if kind == "obfuscated_email" else digit:
-            out += [(m.start(), kind, m.end()) for m in pattern.finditer(text)]
+            out += [(start, kind, end) for start, end in _extents(pattern, text)]
     return out
 
 
+def _extents(pattern: re.Pattern, text: str) -> list[tuple[int, int]]:
+    """(start, end) of the leftmost matches, of matches that start at a word inside one, and of all that end sooner, at a word's end."""
+    found = {(m.start(), m.end()) for m in pattern.finditer(text)}
+    at = 0
+    while m := pattern.search(text, at):
+        start, at = m.start(), m.start() + 1
+        if (start, m.end()) not in found and text[start - 1 : start].isalnum() and text[start].isalnum():
+            continue
+        found.add((start, m.end()))
+        ends = (e for e in range(start + 1, m.end()) if text[e - 1].isalnum() and not text[e].isalnum())
+        found |= {(start, e) for e in ends if pattern.fullmatch(text, start, e)}
+    return sorted(found)
+
+
 def describe(text: str, start: int, kind: str, end: int) -> list[float]:
     """Format and context of a proposed span, as numbers."""
     span = text[start:end]
@@ -158,6 +173,11 @@ class Trees:
 
 def examples(n: int, seed: int) -> list[tuple[str, str, int]]:
     """(text, kind, 1 if the span that it holds is personal), made by rule with a seeded generator."""
+    return [x[:3] for x in _made(n, seed)]
+
+
+def _made(n: int, seed: int) -> list[tuple[str, str, int, int, int]]:
+    """The examples, with start and end of the span that each holds."""
     g = random.Random(seed)
     word = lambda: "".join(g.choice("abcdefghiklmnoprstuvw") for _ in range(g.randint(2, 9)))
     num = lambda k: "".join(g.choice("0123456789") for _ in range(k))
@@ -186,23 +206,24 @@ def examples(n: int, seed: int) -> list[tuple[str, str, int]]:
         kind = g.choice(list(GENERATORS))
         good = g.random() < 0.5
         cue = g.choice(CUES[kind]) if g.random() < (0.7 if good else 0.1) else g.choice(["ref", "order no.", "version", word(), word()]) if not good else word()
-        text = f"{word()} {word()} {cue} {make(kind, good)} {word()} {word()}"
-        out.append((text, kind, int(good)))
+        before, span = f"{word()} {word()} {cue} ", make(kind, good)
+        out.append((f"{before}{span} {word()} {word()}", kind, int(good), len(before), len(before) + len(span)))
     return out
 
 
 @functools.cache
 def detector() -> tuple[Trees, dict[str, float]]:
     """The trees and each kind's threshold: the least that keeps PRECISION on held-out examples."""
-    x, y, kinds = [], [], []
-    for text, kind, good in examples(EXAMPLES, 11):
+    x, y, kinds, of = [], [], [], []
+    for i, (text, kind, good, first, last) in enumerate(_made(EXAMPLES, 11)):
         for start, k, end in proposals(text):
             if k == kind:
                 x.append(describe(text, start, k, end))
-                y.append(good)
+                y.append(good and (start, end) == (first, last))  # another extent of a good span isn't one
                 kinds.append(k)
+                of.append(i)
     x, y, kinds = np.array(x), np.array(y, float), np.array(kinds)
-    fold = np.arange(len(y)) % 3 == 0
+    fold = np.array(of) % 3 == 0
     trees = Trees(x[~fold], y[~fold])
     scores, limits = trees(x), {}
     for k in GENERATORS:

@@ -72,6 +72,20 @@ def test_added_spans_follow_format_and_context():
     assert y[accepted].mean() > 0.95 and accepted[y == 1].mean() > 0.5
 
 
+def test_extents_compete():
+    """A number before a short upper-case word, or beside another number, is found at its true extent."""
+    for text, want in [
+        ("IBAN: BE68 5390 0754 7034 BIC: GKCCBEBB", ["BE68 5390 0754 7034"]),
+        ("IBAN ES91 2100 0418 4502 0005 1332 BIC CAIXESBB", ["ES91 2100 0418 4502 0005 1332"]),
+        ("account BE68539007547034 EUR due", ["BE68539007547034"]),
+        ("iban XY12 BE68 5390 0754 7034, paid", ["BE68 5390 0754 7034"]),
+        ("bank BE68 5390 0754 7034 ES91 2100 0418 4502 0005 1332 ok", ["BE68 5390 0754 7034", "ES91 2100 0418 4502 0005 1332"]),
+    ]:
+        assert [text[s:e] for s, k, e in pii.find(text)[1] if pii.KINDS[k] == "iban"] == want, text
+    text = "contact anna at mail dot acme dot com"
+    assert {text[s:e] for s, k, e in pii.proposals(text)} == {"anna at mail dot acme", "anna at mail dot acme dot com"}
+
+
 @pytest.mark.parametrize(
     ("pattern", "least"), [("AKIA[A-Z0-9]+", 2), ("[0-9a-f]{16,}", 0), ("a[bc]?d", 0), ("(?:foo|barbaz)x", 2), ("x(abcd)+y", 1), ("(abc)?d", 0), (secret_scan.RULES["assign"][0], 3)]
 )
