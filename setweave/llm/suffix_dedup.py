@@ -117,14 +117,18 @@ def _suffix_batch(part: list) -> pa.RecordBatch:
     part.sort(key=lambda x: x[0])
     doc = np.repeat(np.array([d for d, _, _, _ in part], np.int64), [len(at) for _, at, _, _ in part])
     at, g, nb = (np.concatenate([x[k] for x in part]) for k in (1, 2, 3))
+    if len({d for d, _, _, _ in part}) < len(part):
+        # a document given twice has equal rows, which aren't repeats of each other: one of each stays
+        order = np.lexsort((nb, g, at, doc))
+        doc, at, g, nb = (c[order] for c in (doc, at, g, nb))
+        new = np.ones(len(g), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (at[1:] != at[:-1]) | (g[1:] != g[:-1]) | (nb[1:] != nb[:-1])
+        doc, at, g, nb = (c[new] for c in (doc, at, g, nb))
     # rows are in the order (doc_id, pos), and a stable sort leaves the first of each neighbourhood in front
     order = np.argsort(_mixed(g * np.uint64(MULTIPLIER) + nb), kind="stable")
     same = (g[order][1:] == g[order][:-1]) & (nb[order][1:] == nb[order][:-1])
     known = np.zeros(len(g), bool)
     known[order[1:][same]] = True
-    # a document given twice in a row has equal places, which aren't repeats of each other
-    again = (doc[order][1:] == doc[order][:-1]) & (at[order][1:] == at[order][:-1])
-    known[order[1:][same & again]] = False
     return pa.RecordBatch.from_arrays(
         [pa.array(known), pa.array(g.view(np.int64)), pa.array(nb.view(np.int64)), pa.array(doc), pa.array(at.astype(np.int32))], names=["known", "g", "nb", "doc_id", "pos"]
     )

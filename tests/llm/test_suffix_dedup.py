@@ -89,3 +89,11 @@ def test_given_twice_is_no_repeat_of_itself(spark):
     t = "".join(random.Random(2).choices("abcdefgh ", k=400))
     got = [bytes(r["kept"]) for r in S.deduplicate(make(spark, [(1, t), (1, t)])).collect()]
     assert got == [t.encode()] * 2
+
+
+def test_given_twice_with_an_inner_repeat(spark):
+    """Both rows in one task: the later copy inside the text goes, the first one stays."""
+    r = "".join(random.Random(3).choices("abcdefgh ", k=300))
+    t = r + "zz" + r
+    got = [bytes(x["kept"]) for x in S.deduplicate(make(spark, [(1, t), (1, t)]).coalesce(1)).collect()]
+    assert got == [brute([(1, t)], 100)[1]] * 2
