@@ -1,11 +1,12 @@
 """Line removal by an exact set-similarity join (operator 4), in DataFrame functions only.
 
-A line's tokens are its five-word shingles.  They are ordered by rarity: by how often the first
-word's hash bucket occurs in the corpus (a shingle is no more frequent than its words), then by
-hash.  Two lines of Jaccard 0.75 or more share SHARED tokens (fewer if they are shorter) in the first
-n - ceil(0.75 n) + SHARED, so only those are sent; pairs that meet there so often must also pass the
-length and positional bounds, and are then verified on their whole token sets.  A line goes if it is
-alike an earlier one.
+Lines of equal words (A-Z and others in lower case) are one class; of fewer than five words, nothing
+else is alike.  A longer line's tokens are its five-word shingles.  They are ordered by rarity: by how
+often the first word's hash bucket occurs in the corpus (a shingle is no more frequent than its words),
+then by hash.  Two lines of Jaccard 0.75 or more share SHARED tokens (fewer if they are shorter) in the
+first n - ceil(0.75 n) + SHARED, so only those are sent; pairs that meet there so often must also pass
+the length and positional bounds, and are then verified on their whole token sets.  A line goes if it
+is alike an earlier one.
 
 Each line is first held against two others: the one that most often is the earliest of its tokens,
 and the one that most often is their hub (the line with the most widely shared tokens, such as the
@@ -20,43 +21,60 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import pieces, shared
 
+#: Words of a shingle.
+WORDS = 5
 #: Buckets of the word counts: a table of this many bytes, whatever the corpus.
 BUCKETS = 1 << 16
 #: Tokens that a pair's prefixes must have in common.
 SHARED = 3
 #: Longs of a line's token bitmap.
 BITMAP = 4
+#: Open lines of one token that a task compares with that token's others.
+BLOCK = 1000
 
 
-def _words(line: Column) -> Column:
-    return F.split(F.btrim(F.lower(line), F.lit(shared.WHITESPACE)), shared.WORD_SPLIT)
+def normalized(text: Column) -> Column:
+    """In lower case, words one space apart; lines that are so already are spared the pattern."""
+    low = F.lower(text)
+    odd = low.startswith(" ") | low.endswith(" ")
+    for c in ("  ", *shared.WHITESPACE[1:]):
+        odd = odd | low.contains(c)
+    return F.when(odd, F.btrim(F.regexp_replace(low, shared.WORD_SPLIT, " "))).otherwise(low)
 
 
-def _bucket(word: Column) -> Column:
-    return F.xxhash64(word).bitwiseAND(BUCKETS - 1).cast("int")
+def normal_lines(lines: DataFrame) -> DataFrame:
+    return lines.select("id", normalized(F.col("text")).alias("t")).filter("t <> ''")
+
+
+def _bucket(word_hash: Column) -> Column:
+    return word_hash.bitwiseAND(BUCKETS - 1).cast("int")
 
 
 def word_classes(lines: DataFrame) -> bytes:
     """For each bucket of words, a byte that grows with the logarithm of its count over all lines."""
-    words = lines.select(F.explode(_words(F.col("text"))).alias("w"))
-    counts = words.groupBy(_bucket(F.col("w")).alias("b")).agg(F.least(F.lit(127), F.round(F.log2(F.count(F.lit(1))) * 3)).cast("int").alias("c"))
+    words = lines.select(F.explode(F.split("t", " ")).alias("w"))
+    counts = words.groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.least(F.lit(127), F.round(F.log2(F.count(F.lit(1))) * 3)).cast("int").alias("c"))
     table = bytearray(BUCKETS)
     for row in counts.collect():  # at most BUCKETS rows
         table[row["b"]] = row["c"]
     return bytes(table)
 
 
-def token_sets(lines: DataFrame, classes: bytes) -> DataFrame:
-    """(id, tokens): distinct tokens of every line, rarest first; a token is its class byte and 56 bits of its hash."""
-    word = lambda i, k=0: F.get(F.col("words"), i + k)
+def token_sets(lines: DataFrame, classes: bytes, *columns: Column) -> DataFrame:
+    """(id, columns, tokens): distinct tokens of every line, rarest first; a token is its class byte and 56 bits of its hash."""
+    rarity = F.lit(classes)
 
-    def token(i: Column) -> Column:
-        own = F.ascii(F.substring(F.lit(classes), _bucket(word(i)) + 1, F.lit(1)).cast("string"))
-        h = F.xxhash64(*[word(i, k) for k in range(pieces.WORDS)])
-        return F.coalesce(F.shiftleft(own.cast("long"), 56).bitwiseOR(h.bitwiseAND((1 << 56) - 1)), F.lit(0).cast("long"))
+    def tokens(words: Column) -> Column:
+        def token(i: Column) -> Column:
+            own = F.ascii(F.substring(rarity, _bucket(F.get(words, i)) + 1, F.lit(1)).cast("string"))
+            h = F.xxhash64(*[F.get(words, i + k) for k in range(WORDS)])
+            return F.coalesce(F.shiftleft(own.cast("long"), 56).bitwiseOR(h.bitwiseAND((1 << 56) - 1)), F.lit(0).cast("long"))
 
-    d = lines.select("id", _words(F.col("text")).alias("words"))
-    return d.select("id", F.sort_array(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("words") - pieces.WORDS), token))).alias("tokens"))
+        made = F.transform(F.sequence(F.lit(0), F.size(words) - WORDS), token)
+        return F.when(F.size(words) >= WORDS, made).otherwise(F.array().cast("array<bigint>"))
+
+    hashes = F.transform(F.split("t", " "), lambda w: F.xxhash64(w))
+    return lines.select("id", *columns, F.sort_array(F.array_distinct(pieces.let(hashes, tokens))).alias("tokens"))
 
 
 def _least_overlap(n: Column) -> Column:
@@ -64,18 +82,21 @@ def _least_overlap(n: Column) -> Column:
     return F.floor((n * 3 + 3) / 4).cast("int")
 
 
-def prefixes(sets: DataFrame) -> DataFrame:
-    """(token, id, n, at): the first n - ceil(3n/4) + SHARED tokens of each line, with their place and the line's size."""
+def prefixes(sets: DataFrame, *columns: str) -> DataFrame:
+    """(id, columns, n, prefix): how many tokens each line has, and the first n - ceil(3n/4) + SHARED of them."""
     n = F.size("tokens")
     length = n - _least_overlap(n) + F.least(F.lit(SHARED), _least_overlap(n))
-    return sets.select("id", n.alias("n"), F.posexplode(F.slice("tokens", F.lit(1), length)).alias("at", "token")).select("token", "id", "n", "at")
+    return sets.select("id", *columns, n.alias("n"), F.slice("tokens", F.lit(1), length).alias("prefix"))
 
 
 def _can_match(n: Column, at: Column, m: Column, to: Column) -> Column:
     """Length bound, and positional bound: of two lines that share the tokens at ``at`` and ``to``, at most so many more."""
-    lengths = (4 * F.least(n, m) >= 3 * F.greatest(n, m))
     most = F.least(at, to) + F.least(n - at, m - to)
-    return lengths & (7 * most >= 3 * (n + m))
+    return _lengths(n, m) & (7 * most >= 3 * (n + m))
+
+
+def _lengths(n: Column, m: Column) -> Column:
+    return 4 * F.least(n, m) >= 3 * F.greatest(n, m)
 
 
 def _bitmap(tokens: Column) -> Column:
@@ -99,8 +120,9 @@ def _few_differ(x: str, y: str, n: Column, m: Column) -> Column:
 
 
 def _most_often(rows: DataFrame) -> DataFrame:
-    """(id, x): of the earlier lines x that stand beside a line's tokens, the one that does so most often."""
-    counts = rows.filter(F.col("id") > F.col("x")).groupBy("id", "x").agg(F.count(F.lit(1)).alias("c"))
+    """(id, x): of the earlier lines x of fitting length that stand beside a line's tokens, the one that does so most often."""
+    fit = rows.filter((F.col("id") > F.col("x")) & _lengths(F.col("n"), F.col("m")))
+    counts = fit.groupBy("id", "x").agg(F.count(F.lit(1)).alias("c"))
     return counts.groupBy("id").agg(F.max_by("x", F.struct(F.col("c"), -F.col("x"))).alias("x"))
 
 
@@ -111,47 +133,74 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return shared.materialize(both.filter(7 * F.col("o") >= 3 * (F.size("s") + F.size("t"))).select("id").distinct(), "later")
 
 
-def later_matches(docs: DataFrame) -> DataFrame:
-    """id of every line (five words or more) that is equal or alike to an earlier one."""
-    lines = pieces.pieces(docs).select("id", "text")
-    keyed = lines.select("id", F.unhex(F.md5(F.btrim("text", F.lit(shared.WHITESPACE)))).alias("k"))
-    firsts = keyed.groupBy("k").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
-    firsts = shared.materialize(firsts.filter("n > 1").select("k", F.col("id").alias("first")), "copied")
-    copies = shared.materialize(keyed.join(firsts, "k").filter("id <> first").select("id"), "copies")
-    distinct = shared.rows_without(lines, copies, "id")
+def _copies(table: DataFrame) -> DataFrame:
+    """id of every line whose words an earlier one has, by a 128-bit key."""
+    firsts = table.groupBy("k", "k2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    firsts = shared.materialize(firsts, "copied")
+    out = shared.materialize(table.select("id", "k", "k2").join(firsts, ["k", "k2"]).filter("id <> first").select("id"), "copies")
+    shared.discard(firsts)
+    return out
+
+
+def _sets_of(numbered: DataFrame, ids: DataFrame, classes: bytes) -> DataFrame:
+    """(id, tokens) of the lines in ``ids``; texts travel as whole documents, beside the places that are wanted."""
+    texts = numbered.join(pieces.places_of(ids).withColumnRenamed("no", "own"), F.col("no") == F.col("own"))
+    d = texts.select("no", F.posexplode(pieces.let(F.split("text", "\n"), lambda x: F.transform("places", lambda i: F.struct(i.alias("i"), F.get(x, i).alias("x"))))).alias("k", "p"))
+    lines = d.select(pieces.piece_id(F.col("no"), F.col("p.i")).alias("id"), F.col("p.x").alias("text"))
+    return shared.materialize(token_sets(normal_lines(lines).distinct(), classes), "line-sets")
 
-    classes = word_classes(distinct)
-    rows = shared.materialize(prefixes(token_sets(distinct, classes)), "prefixes")
+
+def later_matches(numbered: DataFrame) -> DataFrame:
+    """id of every line of (no, text) that is equal or alike to an earlier one."""
+    spark = numbered.sparkSession
+    lines = normal_lines(pieces.lines(numbered))
+    classes = word_classes(lines)
+    table = token_sets(lines, classes, F.xxhash64("t").alias("k"), F.xxhash64(F.lit(WORDS), "t").alias("k2"))
+    table = shared.materialize(prefixes(table, "k", "k2"), "prefixes")
+    copies = _copies(table)
+    shared.release(spark)
+
+    rows = table.filter("n > 0").select("id", "n", F.posexplode("prefix").alias("at", "token"))
     met = shared.materialize(rows.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token"), "met")
-    shared.release(docs.sparkSession)
+    shared.release(spark)
     least = F.least(F.lit(SHARED), _least_overlap(F.col("n")))
     held = shared.rows_with(rows, met, "token").groupBy("id", "n").agg(F.collect_list(F.struct("token", "at")).alias("held"))  # as many as one line has
-    held = shared.materialize(held.filter(F.size("held") >= least), "held")
-    shared.discard(rows)
-    shared.release(docs.sparkSession)
+    held = shared.materialize(shared.rows_without(held.filter(F.size("held") >= least), copies, "id"), "held")
+    shared.discard(table, met)
+    shared.release(spark)
     rest = held.select("id", "n", F.explode("held").alias("h")).select("h.token", "id", "n", "h.at")
-    sets = shared.materialize(token_sets(shared.rows_with(lines, shared.materialize(held.select("id"), "line-ids"), "id"), classes), "line-sets")
+    counts = rest.groupBy("token").agg(F.min(F.struct("id", "n")).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    first = shared.materialize(counts.select("token", F.col("first.id").alias("x"), F.col("first.n").alias("m"), "c"), "first")
+    rest = shared.materialize(rest.join(first.select("token"), "token"), "rest")
+    shared.discard(held)
+    sets = _sets_of(numbered, rest.select("id").distinct(), classes)
+    shared.release(spark)
 
-    first = shared.materialize(rest.groupBy("token").agg(F.min("id").alias("x"), F.count(F.lit(1)).alias("c")), "first")
     width = shared.materialize(rest.join(first, "token").groupBy("id").agg(F.sum("c").alias("w")), "width")
-    hub = shared.materialize(rest.join(width, "id").groupBy("token").agg(F.max_by("id", F.struct(F.col("w"), -F.col("id"))).alias("x")), "hub")
-    shared.release(docs.sparkSession)
+    hub = rest.join(width, "id").groupBy("token").agg(F.max_by(F.struct("id", "n"), F.struct(F.col("w"), -F.col("id"))).alias("h"))
+    hub = shared.materialize(hub.select("token", F.col("h.id").alias("x"), F.col("h.n").alias("m")), "hub")
     stars = shared.materialize(_most_often(rest.join(first, "token")).unionByName(_most_often(rest.join(hub, "token"))).distinct(), "stars")
+    shared.discard(first, width, hub)
     settled = _verified(stars, sets)
-    shared.release(docs.sparkSession)
+    shared.discard(stars)
+    shared.release(spark)
 
     marked = shared.materialize(rest.join(sets.select("id", _bitmap(F.col("tokens")).alias("bits")), "id"), "marked")
-    still = marked.join(settled, "id", "left_anti")
+    shared.discard(rest)
+    still = shared.materialize(marked.join(settled, "id", "left_anti"), "still")
     earlier = marked.select("token", *[F.col(a).alias(b) for a, b in EARLIER.items()])
     n, m = F.col("n"), F.col("m")
     meet = (F.col("id") > F.col("x")) & _can_match(n, F.col("at"), m, F.col("to")) & _few_differ("bits", "other", n, m)
     # semi joins: a line of a group meets all its earlier ones, but no row is made of a pair
     later = shared.materialize(_beside(still, earlier, meet), "later")
-    sooner = shared.materialize(_beside(earlier, still, meet), "sooner")
-    later = later.join(sets.select("id", F.col("tokens").alias("s")), "id")
-    sooner = sooner.join(sets.select(F.col("id").alias("x"), F.col("tokens").alias("t")), "x")
+    sooner = shared.materialize(_beside(earlier, later, meet, "x"), "sooner")
+    shared.discard(marked, still)
+    left = later.join(sets.select("id", F.col("tokens").alias("s")), "id")
+    right = sooner.join(sets.select(F.col("id").alias("x"), F.col("tokens").alias("t")), "x")
     alike = 7 * F.size(F.array_intersect("s", "t")) >= 3 * (n + m)
-    found = shared.materialize(_beside(later, sooner, meet & alike).select("id").distinct(), "found")
+    found = shared.materialize(_beside(left, right, meet & alike).select("id").distinct(), "found")
+    shared.discard(later, sooner, sets)
+    shared.release(spark)
     return copies.unionByName(settled).unionByName(found)
 
 
@@ -159,29 +208,53 @@ def later_matches(docs: DataFrame) -> DataFrame:
 EARLIER = {"id": "x", "n": "m", "at": "to", "bits": "other"}
 
 
-def _beside(these: DataFrame, those: DataFrame, condition: Column) -> DataFrame:
-    """Rows of ``these`` for which a row of ``those`` with the same token meets the condition."""
+def _beside(these: DataFrame, those: DataFrame, condition: Column, key: str = "id") -> DataFrame:
+    """Rows of ``these`` for which a row of ``those`` with the same token meets the condition.
+
+    A token with more than BLOCK rows of ``these`` has them dealt over several tasks by ``key``, each
+    beside all of ``those`` with that token.
+    """
     d = those.withColumnRenamed("token", "same")
-    return these.join(d, (F.col("token") == F.col("same")) & condition, "left_semi")
+    hot = these.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > BLOCK)
+    hot = shared.materialize(hot.select("token", F.ceil(F.col("c") / BLOCK).cast("int").alias("parts")), "hot")
+    if hot.isEmpty():
+        return these.join(d, (F.col("token") == F.col("same")) & condition, "left_semi")
+    names = these.columns
+    left = these.join(hot, "token", "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(key), F.col("parts"))).cast("int"))
+    copied = d.join(hot.withColumnRenamed("token", "same"), "same", "left")
+    copied = copied.withColumn("own", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1))).drop("parts")
+    return left.join(copied, (F.col("token") == F.col("same")) & (F.col("part") == F.col("own")) & condition, "left_semi").select(*names)
+
+
+def removed_lines(docs: DataFrame) -> tuple[pieces.Numbers, DataFrame]:
+    """The documents' numbers, and (no, places) of the lines that go."""
+    numbers = pieces.Numbers(docs)
+    return numbers, pieces.places_of(later_matches(numbers.of(docs, "text")))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """``docs`` (all columns) without the later lines, and _pieces, _removed: how many lines it had and lost.
+    """``docs`` (the same columns) with the later lines cut out of the text.
 
-    Lines of fewer than five words always stay.  A null text stays null; a null doc_id is left whole
-    and supplies nothing; rows that share a doc_id are one document given more than once.  An empty
-    table gives an empty one.
+    A null text stays null, a text may become empty; blank lines stay; a null doc_id is left whole and
+    supplies nothing; rows that share a doc_id are one document given more than once.  An empty table
+    gives an empty one.
     """
-    return pieces.cut(docs, pieces.places_of(docs, later_matches(docs)))
+    numbers, gone = removed_lines(docs)
+    d = numbers.beside(docs, gone)
+    new = pieces.without_lines(F.col("row.text"), F.col("found.places"))
+    return d.select(*[new.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = deduplicate(shared.project(shared.read_table(spark, sf_dir, "documents"), "doc_id", "text"))
-    return out.select(
-        "doc_id",
-        F.col("_pieces").alias("n_lines"),
-        F.col("_removed").alias("n_removed"),
-        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    docs = shared.project(shared.read_table(spark, sf_dir, "documents"), "doc_id", "text")
+    numbers, gone = removed_lines(docs)
+    text, places = F.col("row.text"), F.col("found.places")
+    kept = F.coalesce(pieces.without_lines(text, places), F.lit(""))
+    return numbers.beside(docs, gone).select(
+        F.col("row.doc_id").alias("doc_id"),
+        F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("long").alias("n_lines"),
+        F.when(places.isNull(), 0).otherwise(F.size(places)).cast("long").alias("n_removed"),
+        F.sha2(kept, 256).alias("kept_sha256"),
     )
 
 
@@ -189,14 +262,14 @@ SQL = r"""
 WITH l AS (
   SELECT doc_id, i, parts[i] AS line, list_filter(regexp_split_to_array(lower(parts[i]), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
   FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL), unnest(range(1, len(parts) + 1)) r(i)),
-p AS (SELECT array_to_string(words, ' ') AS t, min((doc_id, i)) AS first, any_value(words) AS words FROM l WHERE len(words) >= 5 GROUP BY 1),
+p AS (SELECT array_to_string(words, ' ') AS t, min((doc_id, i)) AS first, any_value(words) AS words FROM l WHERE len(words) > 0 GROUP BY 1),
 q AS (SELECT row_number() OVER (ORDER BY first) AS id, * FROM p),
 s AS (SELECT DISTINCT id, array_to_string(words[k:k+4], ' ') AS g FROM q, unnest(range(1, len(words) - 3)) r(k)),
 n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
 m AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY ALL),
 later AS (SELECT DISTINCT b AS id FROM m JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 7 * c >= 3 * (x.n + y.n)),
 f AS (SELECT q.t, q.first, later.id IS NOT NULL AS alike FROM q LEFT JOIN later USING (id)),
-k AS (SELECT doc_id, i, line, f.t IS NOT NULL AND (alike OR f.first <> (doc_id, i)) AS gone FROM l LEFT JOIN f ON len(words) >= 5 AND f.t = array_to_string(words, ' ')),
+k AS (SELECT doc_id, i, line, f.t IS NOT NULL AND (alike OR f.first <> (doc_id, i)) AS gone FROM l LEFT JOIN f ON len(words) > 0 AND f.t = array_to_string(words, ' ')),
 a AS (SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS r, string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone) AS kept FROM k GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_lines, coalesce(r, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM documents d LEFT JOIN a USING (doc_id)

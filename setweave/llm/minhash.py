@@ -1,6 +1,7 @@
 """Links between items whose shingle sets are alike: MinHash banding, signatures, full sets.
 
-1. ``scan`` gives every item its minima, one byte of each as its signature, and a key a band.
+1. A scan gives every item a key for each band of its minima, and, where sets are large, one byte of
+   each of the minima as its signature.
 2. Items with a key in common share a bucket.  Each bucket's items are paired with three of its
    members (its pivots), not with each other.  Pairs whose signatures agree enough are confirmed
    on the full sets, and confirmed links give components.
@@ -35,41 +36,49 @@ CHUNK_CHARS = 1_000_000
 
 
 def scan(items: DataFrame, minima: Minima) -> DataFrame:
-    """``items`` (id long, text): set size, 128-bit key of the set, signature and band keys (null for an empty set)."""
+    """``items`` (id long, text): set size, 128-bit key of the set, signature and band keys (none for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in batches:
-            texts, size, first = [], 0, 0
+            words, size, first = [], 0, 0
             for text in batch.column(1).to_pylist():
-                texts.append(text)
+                words.append(words_of(text))
                 size += len(text or "")
                 if size >= CHUNK_CHARS:
-                    yield _scanned(batch.column(0).slice(first, len(texts)), texts, minima, cache)
-                    texts, size, first = [], 0, first + len(texts)
-            if texts:
-                yield _scanned(batch.column(0).slice(first, len(texts)), texts, minima, cache)
+                    yield scanned(batch.column(0).slice(first, len(words)), words, minima, cache)
+                    words, size, first = [], 0, first + len(words)
+            if words:
+                yield scanned(batch.column(0).slice(first, len(words)), words, minima, cache)
 
     return items.select("id", "text").mapInArrow(run, SCAN)
 
 
-def _scanned(ids: pa.Array, texts: list[str | None], minima: Minima, cache: WordHashes) -> pa.RecordBatch:
-    h, owner = shingle_sets(texts, cache)
-    n = np.bincount(owner, minlength=len(texts)).astype(np.int64)
+def scanned(ids: pa.Array, words: list[list[bytes]], minima: Minima, cache: WordHashes, signed: bool = True) -> pa.RecordBatch:
+    """The rows of ``scan`` for items that are given as words; without ``sig`` if not ``signed``."""
+    h, owner = shingle_sets(words, cache)
+    n = np.bincount(owner, minlength=len(words)).astype(np.int64)
     has = np.flatnonzero(n)
     start = (np.cumsum(n) - n)[has]
-    keys, sigs, bands = np.zeros((2, len(texts)), np.uint64), [None] * len(texts), [None] * len(texts)
+    keys = np.zeros((2, len(words)), np.uint64)
+    m = np.empty((0, minima.size), np.uint32)
     if len(has):
         m = minima(h, start)
         with np.errstate(over="ignore"):
             keys[0, has] = np.bitwise_xor.reduceat(h, start)
             keys[1, has] = np.add.reduceat(h * h + h, start)
-        for i, sig, band in zip(has.tolist(), m.astype(np.uint8), minima.band_keys(m), strict=True):
-            sigs[i], bands[i] = sig.tobytes(), band
-    return pa.RecordBatch.from_arrays(
-        [ids, pa.array(n), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-        names=["id", "n_shingles", "set_key", "set_key2", "sig", "bands"],
-    )
+
+    def offsets(width: int) -> pa.Array:
+        ends = np.zeros(len(words) + 1, np.int32)
+        ends[1:] = np.cumsum((n > 0) * width)
+        return pa.array(ends)
+
+    columns = {"id": ids, "n_shingles": pa.array(n), "set_key": pa.array(keys[0].view(np.int64)), "set_key2": pa.array(keys[1].view(np.int64))}
+    if signed:
+        data = pa.py_buffer(np.ascontiguousarray(m.astype(np.uint8)).tobytes())
+        columns["sig"] = pa.Array.from_buffers(pa.binary(), len(words), [None, offsets(minima.size).buffers()[1], data])
+    columns["bands"] = pa.ListArray.from_arrays(offsets(minima.bands), pa.array(minima.band_keys(m).reshape(-1)))
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
 def full_sets(items: DataFrame) -> DataFrame:
@@ -84,6 +93,19 @@ def full_sets(items: DataFrame) -> DataFrame:
     return items.select("id", "text").mapInArrow(run, "id long, s binary")
 
 
+def _signatures(sets: DataFrame, minima: Minima) -> DataFrame:
+    """(id, sig) from full sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(1)]
+            size = np.array([len(x) for x in parts])
+            m = minima(np.concatenate(parts), np.cumsum(size) - size).astype(np.uint8) if len(parts) else []
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in m], pa.binary())], names=["id", "sig"])
+
+    return sets.filter(F.octet_length("s") > 0).mapInArrow(run, "id long, sig binary")
+
+
 def _agree(a: bytes, b: bytes) -> int:
     return int((np.frombuffer(a, np.uint8) == np.frombuffer(b, np.uint8)).sum())
 
@@ -188,38 +210,53 @@ def _block_links(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return d.groupBy("key", "lo", "hi").applyInPandas(run, "a long, b long").distinct()
 
 
-def link_components(scanned: DataFrame, text_of: Callable[[DataFrame], DataFrame], minima: Minima, percent: int) -> DataFrame:
-    """(id, component) of every id of ``scanned`` that is linked to another.
+def link_components(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], minima: Minima, percent: int) -> DataFrame:
+    """(id, component) of every id of ``rows`` that is linked to another.
 
-    ``scanned``: id, sig, bands of items with different non-empty sets.  ``text_of`` gives (id, text)
-    of the ids in its argument's column id.
+    ``rows``: id, bands, and sig if sets are large, of items with different non-empty sets.  ``sets_of``
+    gives (id, s) of the ids in its argument's column id.
     """
-    least = least_agreeing(minima.size, percent)
-    rows = scanned.select("id", F.explode("bands").alias("key"))
-    buckets = shared.materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
-    shared.release(scanned.sparkSession)
-    members = shared.materialize(rows.join(shared.few(buckets), "key").select("key", "id", "n"), "members")
+    spark, least = rows.sparkSession, least_agreeing(minima.size, percent)
+    keyed = rows.select("id", F.explode("bands").alias("key"))
+    buckets = shared.materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
+    shared.release(spark)
+    members = shared.materialize(keyed.join(shared.few(buckets, 2), "key").select("key", "id", "n"), "members")
+    shared.discard(buckets)
+    shared.release(spark)
     pivots = members.groupBy("key").agg(
         F.min("id").alias("p0"), *[F.min(F.struct(F.xxhash64("id", F.lit(r)), F.col("id"))).getField("id").alias(f"p{r}") for r in range(1, PIVOTS)]
     )
-    paired = members.join(shared.materialize(pivots, "pivots"), "key")
-
+    pivots = shared.materialize(pivots, "pivots")
+    paired = members.join(shared.few(pivots, 1 + PIVOTS), "key")
     pairs = paired.select("id", F.explode(F.array_distinct(F.array(*[f"p{r}" for r in range(PIVOTS)]))).alias("p")).filter("id <> p")
     pairs = pairs.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
-    signatures = shared.materialize(scanned.select("id", "sig").join(members.select("id").distinct(), "id", "left_semi"), "signatures")
-    alike = shared.materialize(_alike_signatures(pairs, signatures, least), "alike")
 
-    links = shared.materialize(_confirmed(alike, _sets_of(alike.select(F.explode(F.array("a", "b")).alias("id")), text_of), percent), "links")
+    if "sig" in rows.columns:
+        signatures = shared.materialize(rows.select("id", "sig").join(members.select("id").distinct(), "id", "left_semi"), "signatures")
+        pairs = shared.materialize(_alike_signatures(pairs, signatures, least), "alike")
+        sets = _written(pairs.select(F.explode(F.array("a", "b")).alias("id")), sets_of)
+    else:  # small sets, which take no more room than signatures
+        sets = _written(members.select("id"), sets_of)
+        signatures = shared.materialize(_signatures(sets, minima), "signatures")
+    links = shared.materialize(_confirmed(pairs, sets, percent), "links")
     found = shared.materialize(components.components(links), "components")
+    shared.discard(pivots, links)
+    shared.release(spark)
 
     # buckets whose members aren't all in one component yet; a bucket of two has had its only pair compared
-    labelled = members.filter("n > 2").join(found, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
+    labelled = members.filter("n > 2").join(shared.few(found, 2), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
     labelled = shared.materialize(labelled, "labelled")
     open_keys = shared.materialize(labelled.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("key"), "open")
-    blocks = shared.materialize(_with_partners(_in_blocks(labelled.join(open_keys, "key")), signatures, least), "blocks")
-    more = shared.materialize(_block_links(blocks, _sets_of(blocks.select("id"), text_of), percent), "links")
-    return found if more.isEmpty() else components.components(links.unionByName(more))
-
-
-def _sets_of(ids: DataFrame, text_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    return shared.materialize(full_sets(text_of(shared.materialize(ids.distinct(), "ids"))), "sets")
+    blocks = shared.materialize(_with_partners(_in_blocks(labelled.join(shared.few(open_keys), "key")), signatures, least), "blocks")
+    shared.discard(members, labelled, open_keys, signatures)
+    if "sig" in rows.columns:
+        shared.discard(sets)
+        sets = _written(blocks.select("id"), sets_of)
+    more = shared.materialize(_block_links(blocks, sets, percent), "links")
+    shared.discard(blocks, sets)
+    shared.release(spark)
+    return found if more.isEmpty() else components.components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
+
+
+def _written(ids: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    return shared.materialize(sets_of(shared.materialize(ids.distinct(), "ids")), "sets")

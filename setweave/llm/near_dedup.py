@@ -14,27 +14,44 @@ BANDS, ROWS = 32, 4  # misses a pair at the threshold once in 190,000
 SALTS = 16
 
 
-def with_components(rows: DataFrame, text_of: Callable[[DataFrame], DataFrame], minima: Minima, percent: int) -> DataFrame:
-    """id, n_shingles, component of every row of a written ``minhash.scan``; items with equal sets are one from the start."""
+KEYS = ["n_shingles", "set_key", "set_key2"]
+
+
+def _linked(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], minima: Minima, percent: int) -> DataFrame:
+    """KEYS, component, salt of the classes of equal sets that are more than a single unlinked item; each once a salt."""
     full = rows.filter("n_shingles > 0 and id is not null")
-    keys = ["n_shingles", "set_key", "set_key2"]
-    classes = shared.materialize(full.groupBy(*keys).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
+    classes = shared.materialize(full.groupBy(*KEYS).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
 
     # members of a class beside its first are left out by their ids, so that signatures and band keys aren't moved
     several = shared.materialize(classes.filter("n > 1"), "several")
-    copies = full.select("id", *keys).join(several, keys).filter("id <> rep").select("id").distinct()
+    copies = full.select("id", *KEYS).join(shared.few(several, 5), KEYS).filter("id <> rep").select("id").distinct()
     # an id that was given with two sets may be the first of another class, and stays then
-    copies = copies.join(classes.select(F.col("rep").alias("id")), "id", "left_anti")
-    reps = shared.rows_without(full, shared.materialize(copies, "copies"), "id")
-    found = minhash.link_components(reps.select("id", "sig", "bands"), text_of, minima, percent)
-    # one row for each class that isn't a single unlinked item; salted, as a class may hold a third of all rows
-    linked = classes.join(found, F.col("rep") == F.col("id"), "left").filter("n > 1 or component is not null")
-    linked = linked.select(*keys, F.coalesce("component", "rep").alias("component"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    out = rows.select("id", *keys).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    out = out.join(linked, [*keys, "salt"], "left")
+    copies = shared.materialize(copies.join(classes.select(F.col("rep").alias("id")), "id", "left_anti"), "copies")
+    reps = shared.rows_without(full, copies, "id")
+    found = shared.materialize(minhash.link_components(reps.select("id", *[c for c in ("sig", "bands") if c in rows.columns]), sets_of, minima, percent), "found")
+    linked = classes.join(shared.few(found, 2), F.col("rep") == F.col("id"), "left").filter("n > 1 or component is not null")
+    # salted, as a class may hold a third of all rows
+    linked = linked.select(*KEYS, F.coalesce("component", "rep").alias("component"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    linked = shared.materialize(linked, "linked")
+    shared.discard(classes, several, copies, found)
+    return linked
+
+
+def _salted(rows: DataFrame) -> DataFrame:
+    return rows.select("id", *KEYS).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+
+
+def with_components(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], minima: Minima, percent: int) -> DataFrame:
+    """id, n_shingles, component of every row of a written ``minhash.scan``; items with equal sets are one from the start."""
+    out = _salted(rows).join(_linked(rows, sets_of, minima, percent), [*KEYS, "salt"], "left")
     return out.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
 
 
+def groups(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], minima: Minima, percent: int) -> DataFrame:
+    """(id, component) of the rows that are alike another one."""
+    return _salted(rows).join(_linked(rows, sets_of, minima, percent), [*KEYS, "salt"]).select("id", "component")
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text; other columns aren't read).
 
@@ -45,7 +62,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     minima = Minima(BANDS, ROWS)
     items = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     rows = shared.materialize(minhash.scan(items, minima), "scan")
-    out = with_components(rows, lambda ids: shared.rows_with(items, ids, "id"), minima, percent)
+    out = with_components(rows, lambda ids: minhash.full_sets(shared.rows_with(items, ids, "id")), minima, percent)
     kept = F.coalesce(F.col("id") == F.col("component"), F.lit(True))
     return out.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), kept.alias("kept"))
 

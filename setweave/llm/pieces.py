@@ -1,48 +1,89 @@
-"""Lines or paragraphs of documents: numbering them, and cutting some out again."""
+"""Numbering the pieces (lines, segments) of documents, and cutting lines out again."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-WORDS = 5
-PLACE_BITS, MOST_DOC = 20, 1 << 43
-LONG_ENOUGH = rf"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){{{WORDS - 1}}}[^\x20\x09-\x0D]"
+from . import shared
 
+#: A piece's number is its document's and its place; an array can't hold as many lines as a text has places here.
+PLACE_BITS = 27
+MOST_DOCS = 1 << 36
 
-def piece_id(doc: Column, place: Column) -> Column:
-    """doc_id and place in one number that sorts as they do; outside its room, a (negative) 63-bit hash."""
-    fits = (doc >= 0) & (doc < MOST_DOC) & (place < 1 << PLACE_BITS)
-    return F.when(fits, F.shiftleft(doc, PLACE_BITS) + place).otherwise(F.xxhash64(doc, place).bitwiseOR(F.lit(-(2**63)).cast("long")))
 
+class Numbers:
+    """Numbers of documents that sort as their doc_id and leave room for a place in one long.
 
-def pieces(docs: DataFrame) -> DataFrame:
-    """(id, doc_id, place, text) of the \\n-separated parts with WORDS words or more."""
-    d = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("place", "text"))
-    return d.filter(F.col("text").rlike(LONG_ENOUGH)).select(piece_id(F.col("doc_id"), F.col("place")).alias("id"), "doc_id", "place", "text")
+    They are the ids themselves where all fit (0 to 2**36 - 1), else the ranks among the distinct ids.
+    """
 
+    def __init__(self, docs: DataFrame):
+        ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null")
+        ends = ids.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
+        fit = ends["low"] is None or (ends["low"] >= 0 and ends["high"] < MOST_DOCS)
+        self.ranks = None if fit else _ranks(ids.distinct())
 
-def places_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and the sorted places of the pieces in ``ids`` (column id); hashed ids are looked up, not taken apart."""
-    packed = ids.filter("id >= 0").select(F.shiftright("id", PLACE_BITS).alias("doc_id"), F.col("id").bitwiseAND((1 << PLACE_BITS) - 1).cast("int").alias("place"))
-    hashed = pieces(docs).filter("id < 0").join(ids.filter("id < 0"), "id", "left_semi").select("doc_id", "place")
-    return packed.unionByName(hashed).groupBy("doc_id").agg(F.sort_array(F.collect_set("place")).alias("places"))  # as many as one text has
+    def of(self, docs: DataFrame, *columns: str) -> DataFrame:
+        """(no, columns) of the rows that have a doc_id."""
+        d = docs.select(F.col("doc_id").cast("long").alias("no"), *columns).filter("no is not null")
+        if self.ranks is None:
+            return d
+        return d.withColumnRenamed("no", "_id").join(self.ranks, F.col("_id") == F.col("doc_id")).select("no", *columns)
 
+    def beside(self, docs: DataFrame, found: DataFrame) -> DataFrame:
+        """(row, found): every row of ``docs``, and of ``found`` (no, ...) what its document has, or null; as structs, so that no names clash."""
+        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+        d = found.select(F.col("no").alias("doc_id"), F.struct(*found.columns).alias("found"))
+        if self.ranks is not None:
+            d = d.withColumnRenamed("doc_id", "no").join(self.ranks, "no").select("doc_id", "found")
+        return rows.join(d, F.col("row.doc_id").cast("long") == F.col("doc_id"), "left").select("row", "found")
 
-def cut(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` (all columns) without the pieces in ``gone`` (doc_id, places), and _pieces, _removed: how many it had and lost.
 
-    The columns travel in one struct, so that none of their names can clash; only columns that are
-    called _pieces or _removed already are replaced.
-    """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    d = rows.join(gone.select(F.col("doc_id").alias("gone_id"), "places"), F.col("row.doc_id") == F.col("gone_id"), "left")
-    text = F.col("row.text")
-    parts = F.split(text, "\n")
-    left = F.filter(F.transform(parts, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda y: ~F.array_contains("places", y["i"]))
-    new = F.when(F.col("places").isNull(), text).otherwise(F.array_join(F.transform(left, lambda y: y["x"]), "\n"))
-    names = [c for c in docs.columns if c not in ("_pieces", "_removed")]
-    return d.select(
-        *[new.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names],
-        F.when(text.isNull(), 0).otherwise(F.size(parts)).cast("long").alias("_pieces"),
-        F.when(F.col("places").isNull(), 0).otherwise(F.size("places")).cast("long").alias("_removed"),
-    )
+def _ranks(ids: DataFrame) -> DataFrame:
+    """(doc_id, no): each id's row in its range partition, after all rows of the partitions before."""
+    row = F.monotonically_increasing_id()  # the partition in its upper bits, the row in the lower 33
+    ids = ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ids = shared.materialize(ids.select("doc_id", F.shiftright(row, 33).alias("part"), row.bitwiseAND((1 << 33) - 1).alias("row")), "ranks")
+    before, offsets = 0, []
+    for r in ids.groupBy("part").count().orderBy("part").collect():  # one row a partition
+        offsets.append((r["part"], before))
+        before += r["count"]
+    parts = ids.sparkSession.createDataFrame(offsets, "part long, before long")
+    return ids.join(F.broadcast(parts), "part").select("doc_id", (F.col("row") + F.col("before")).alias("no"))  # one row a partition
+
+
+def piece_id(no: Column, place: Column) -> Column:
+    return F.shiftleft(no, PLACE_BITS) + place
+
+
+def number_of(piece: Column) -> Column:
+    return F.shiftright(piece, PLACE_BITS)
+
+
+def place_of(piece: Column) -> Column:
+    return piece.bitwiseAND((1 << PLACE_BITS) - 1).cast("int")
+
+
+def lines(numbered: DataFrame) -> DataFrame:
+    """(id, text) of the \\n-separated parts of (no, text)."""
+    d = numbered.select("no", F.posexplode(F.split("text", "\n")).alias("place", "text"))
+    return d.select(piece_id(F.col("no"), F.col("place")).alias("id"), "text")
+
+
+def places_of(ids: DataFrame) -> DataFrame:
+    """(no, places): the sorted places of the pieces in ``ids`` (column id)."""
+    d = ids.select(number_of(F.col("id")).alias("no"), place_of(F.col("id")).alias("place"))
+    return d.groupBy("no").agg(F.sort_array(F.collect_set("place")).alias("places"))  # as many as one text has
+
+
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def without_lines(text: Column, places: Column) -> Column:
+    """``text`` without its lines at ``places``."""
+    def kept(parts: Column) -> Column:
+        return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), places), lambda i: F.get(parts, i)), "\n")
+
+    return F.when(places.isNull(), text).otherwise(let(F.split(text, "\n"), kept))

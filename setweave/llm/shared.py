@@ -18,9 +18,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share; a temporary one where a local session names none, else an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="setweave-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -56,6 +58,7 @@ def discard(*tables: DataFrame) -> None:
     for t in tables:
         if path := getattr(t, "_setweave_path", None):
             _delete(t.sparkSession, path)
+            _written.remove(path)
 
 
 def release(spark: SparkSession) -> None:
@@ -64,13 +67,13 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-#: Keys (of 8 bytes) that a semi or anti join may broadcast; counted before it does.
-MOST_BROADCAST_KEYS = 2_000_000
+#: Longs that a join may broadcast; counted before it does.
+MOST_BROADCAST_LONGS = 500_000
 
 
-def few(keys: DataFrame) -> DataFrame:
-    """``keys`` (one written column of longs), marked for broadcast if they are few enough."""
-    return F.broadcast(keys) if keys.count() <= MOST_BROADCAST_KEYS else keys
+def few(table: DataFrame, columns: int = 1) -> DataFrame:
+    """``table`` (written, with so many columns of longs), marked for broadcast if its longs are few enough."""
+    return F.broadcast(table) if columns * table.count() <= MOST_BROADCAST_LONGS else table
 
 
 def rows_with(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:

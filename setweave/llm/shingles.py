@@ -47,9 +47,8 @@ def shingle_set(words: list[bytes], cache: WordHashes) -> np.ndarray:
         return np.unique(mix(out))
 
 
-def shingle_sets(texts: list[str | None], cache: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """The sets of many texts at once: (hashes, owner), sorted by owner, then hash; owner is the text's place."""
-    words = [words_of(t) for t in texts]
+def shingle_sets(words: list[list[bytes]], cache: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of many word lists at once: (hashes, owner), sorted by owner, then hash; owner is the list's place."""
     n = np.array([len(w) for w in words], np.int64)
     ids = np.fromiter(map(cache.__getitem__, (x for w in words for x in w)), np.uint64, int(n.sum()))
     start = np.cumsum(n) - n
