@@ -13,8 +13,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later lines that are alike an earlier one are cut out; every document stays, with its new length."""
-    out = line_dedup.deduplicate(docs).drop("_pieces", "_removed")
+    """Later lines that are alike an earlier one are cut out; every document stays (a null text as it is), with its new length."""
+    out = line_dedup.deduplicate(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)
