@@ -24,7 +24,7 @@ from . import pieces, shared
 #: Words of a shingle.
 WORDS = 5
 #: Buckets of the word counts: a table of this many bytes, whatever the corpus.
-BUCKETS = 1 << 16
+BUCKETS = 1 << 14
 #: Tokens that a pair's prefixes must have in common.
 SHARED = 3
 #: Longs of a line's token bitmap.
@@ -164,7 +164,8 @@ def later_matches(numbered: DataFrame) -> DataFrame:
     met = shared.materialize(rows.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token"), "met")
     shared.release(spark)
     least = F.least(F.lit(SHARED), _least_overlap(F.col("n")))
-    held = shared.rows_with(rows, met, "token").groupBy("id", "n").agg(F.collect_list(F.struct("token", "at")).alias("held"))  # as many as one line has
+    # met grows with the corpus, so that it is shuffled at any size
+    held = rows.join(met, "token", "left_semi").groupBy("id", "n").agg(F.collect_list(F.struct("token", "at")).alias("held"))  # as many as one line has
     held = shared.materialize(shared.rows_without(held.filter(F.size("held") >= least), copies, "id"), "held")
     shared.discard(table, met)
     shared.release(spark)

@@ -48,8 +48,25 @@ def with_components(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
 
 
 def groups(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], minima: Minima, percent: int) -> DataFrame:
-    """(id, component) of the rows that are alike another one."""
-    return _salted(rows).join(_linked(rows, sets_of, minima, percent), [*KEYS, "salt"]).select("id", "component")
+    """(id, component) of the rows of a written scan without signatures that are alike another one; ``rows`` is used up.
+
+    Equal sets have equal band keys, so these travel once, with the class, and never as an array.
+    """
+    spark, bands = rows.sparkSession, [f"band{k}" for k in range(minima.bands)]
+    full = rows.filter("n_shingles > 0").select("id", *KEYS, *[F.col("bands")[k].alias(b) for k, b in enumerate(bands)])
+    classes = full.groupBy(*KEYS).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), *[F.max(b).alias(b) for b in bands])
+    classes = shared.materialize(classes, "classes")
+    items = shared.materialize(full.select("id", *KEYS), "items")
+    shared.discard(rows)
+    shared.release(spark)
+    reps = classes.select(F.col("rep").alias("id"), F.array(*bands).alias("bands"))
+    found = shared.materialize(minhash.link_components(reps, sets_of, minima, percent), "found")
+    linked = classes.join(shared.few(found, 2), F.col("rep") == F.col("id"), "left").filter("n > 1 or component is not null")
+    linked = linked.select(*KEYS, F.coalesce("component", "rep").alias("component"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    linked = shared.materialize(linked, "linked")
+    shared.discard(classes, found)
+    shared.release(spark)
+    return shared.materialize(_salted(items).join(linked, [*KEYS, "salt"]).select("id", "component"), "groups")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -1,7 +1,7 @@
 """Removal of repeated passages (operator 8): MinHash banding on paragraph segments, exact Jaccard, components.
 
 A paragraph is a \\n-separated part of a text, and its segments are its sentences: a segment ends with
-the first word, its fifth or a later one, that ends in . ! or ?, else with the paragraph.  Segments of
+the first word, its eighth or a later one, that ends in . ! or ?, else with the paragraph.  Segments of
 paragraphs of RUN_WORDS words or more are banded, alike ones (Jaccard of 5-word shingles) are joined
 into components, and all but the first of each (by doc_id, then place) are repeats.  Repeats that stand
 side by side in a paragraph make a passage; passages of RUN_WORDS words or more are cut out.  So a
@@ -23,7 +23,7 @@ from .shingles import Minima, WordHashes, shingle_set
 PERCENT = 75
 BANDS, ROWS, EXTRA = 8, 2, 16  # tuned for recall: misses a pair at the threshold once in 750
 #: Words of a segment before it may end, and of the shortest passage that goes.
-SEGMENT_WORDS, RUN_WORDS = 5, 25
+SEGMENT_WORDS, RUN_WORDS = 8, 25
 _S, _W = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
 SEGMENT = rf"{_S}*(?:{_W}+{_S}+){{{SEGMENT_WORDS - 1}}}(?:{_W}+{_S}+)*?{_W}*[.!?](?:{_S}+|$)|.+"
 _SEGMENT = re.compile(SEGMENT)
@@ -105,7 +105,7 @@ def repeats(docs: DataFrame, percent: int = PERCENT) -> tuple[pieces.Numbers, Da
         ),
         "marked",
     )
-    shared.discard(rows)
+    shared.discard(found)
     shared.release(docs.sparkSession)
     return numbers, marked
 

@@ -68,7 +68,7 @@ def release(spark: SparkSession) -> None:
 
 
 #: Longs that a join may broadcast; counted before it does.
-MOST_BROADCAST_LONGS = 500_000
+MOST_BROADCAST_LONGS = 1_000_000
 
 
 def few(table: DataFrame, columns: int = 1) -> DataFrame:
