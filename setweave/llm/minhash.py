@@ -155,6 +155,23 @@ def _spread(blocks: DataFrame) -> DataFrame:
     return blocks.repartition(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "lo", "hi")
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches of whole groups (equal key, lo, hi) of rows that come sorted, and where each group begins, with the end."""
+    rest: pa.RecordBatch | None = None
+    for batch in batches:
+        if rest is not None and rest.num_rows:
+            batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+        if not batch.num_rows:
+            continue
+        key, lo, hi = (batch.column(k).to_numpy() for k in range(3))
+        cut = np.flatnonzero((key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
+        if len(cut):
+            yield batch.slice(0, int(cut[-1])), np.append(0, cut)
+        rest = batch.slice(int(cut[-1]) if len(cut) else 0)
+    if rest is not None and rest.num_rows:
+        yield rest, np.array([0, rest.num_rows])
+
+
 def _others(i: int, comp: np.ndarray, block: np.ndarray, one_block: bool) -> np.ndarray:
     """Later items of a block pair that item i is to be compared with there."""
     j = np.arange(i + 1, len(comp))
@@ -164,50 +181,59 @@ def _others(i: int, comp: np.ndarray, block: np.ndarray, one_block: bool) -> np.
 def _with_partners(blocks: DataFrame, signatures: DataFrame, least: int) -> DataFrame:
     """Rows of ``blocks`` whose signature agrees with that of an item of another component there."""
 
-    def run(group):
-        comp, block = group["c"].to_numpy(), group["own"].to_numpy()
-        sig = np.stack([np.frombuffer(x, np.uint8) for x in group["sig"]])
-        one, hit = group["lo"].iloc[0] == group["hi"].iloc[0], np.zeros(len(group), bool)
-        for i in range(len(group) - 1):
-            j = _others(i, comp, block, one)
-            alike = j[(sig[j] == sig[i]).sum(1) >= least]
-            if len(alike):
-                hit[i] = hit[alike] = True
-        return group.loc[hit, ["key", "lo", "hi", "own", "id", "c"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, starts in _groups(batches):
+            lo, hi, own, c = (batch.column(k).to_numpy() for k in (1, 2, 3, 5))
+            every = np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in batch.column(6)])
+            hit = np.zeros(batch.num_rows, bool)
+            for a, z in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                comp, block, sig, found, one = c[a:z], own[a:z], every[a:z], hit[a:z], lo[a] == hi[a]
+                for i in range(z - a - 1):
+                    j = _others(i, comp, block, one)
+                    alike = j[(sig[j] == sig[i]).sum(1) >= least]
+                    if len(alike):
+                        found[i] = found[alike] = True
+            yield batch.filter(pa.array(hit)).select(["key", "lo", "hi", "own", "id", "c"])
 
     d = _spread(blocks.join(signatures, "id").select("key", "lo", "hi", "own", "id", "c", "sig"))
-    return d.groupBy("key", "lo", "hi").applyInPandas(run, "key long, lo int, hi int, own int, id long, c long")
+    return d.sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "key long, lo int, hi int, own int, id long, c long")
 
 
 def _block_links(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) confirmed on full sets that join the components of each block pair: at most one fewer than its items."""
 
-    def run(group):
-        import pandas as pd
-
-        ids, comp, block = group["id"].to_numpy(), group["c"].to_numpy(), group["own"].to_numpy()
-        one = group["lo"].iloc[0] == group["hi"].iloc[0]
-        sets = [np.frombuffer(x, np.uint64) for x in group["s"]]
-        size = np.array([len(x) for x in sets])
-        start = np.cumsum(size) - size
-        _, number = np.unique(np.concatenate(sets), return_inverse=True)
-        mark = np.zeros(number.max() + 1, np.int64)
-        comp, links = comp.copy(), []
-        for i in range(len(ids) - 1):
-            own = number[start[i] : start[i] + size[i]]
-            mark[own] = 1
-            both = np.add.reduceat(mark[number], start)
-            mark[own] = 0
-            alike = 100 * both >= percent * (size + size[i] - both)
-            j = _others(i, comp, block, one)
-            for j in j[alike[j]].tolist():
-                if comp[j] != comp[i]:
-                    links.append((ids[i], ids[j]))
-                    comp[comp == comp[j]] = comp[i]
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, starts in _groups(batches):
+            lo, hi, own, ids, c = (batch.column(k).to_numpy() for k in (1, 2, 3, 4, 5))
+            every, links = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(6)], []
+            for a, z in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                links += _joined(ids[a:z], c[a:z].copy(), own[a:z], every[a:z], lo[a] == hi[a], percent)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
 
     d = _spread(blocks.join(sets, "id").select("key", "lo", "hi", "own", "id", "c", "s"))
-    return d.groupBy("key", "lo", "hi").applyInPandas(run, "a long, b long").distinct()
+    return d.sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "a long, b long").distinct()
+
+
+def _joined(ids: np.ndarray, comp: np.ndarray, block: np.ndarray, sets: list[np.ndarray], one: bool, percent: int) -> list[tuple[int, int]]:
+    """Links that join the components of one block pair's items."""
+    size = np.array([len(x) for x in sets])
+    start = np.cumsum(size) - size
+    _, number = np.unique(np.concatenate(sets), return_inverse=True)
+    mark, links = np.zeros(number.max() + 1, np.int64), []
+    for i in range(len(ids) - 1):
+        j = _others(i, comp, block, one)
+        if not len(j):
+            continue
+        own = number[start[i] : start[i] + size[i]]
+        mark[own] = 1
+        both = np.add.reduceat(mark[number], start)
+        mark[own] = 0
+        alike = 100 * both >= percent * (size + size[i] - both)
+        for k in j[alike[j]].tolist():
+            if comp[k] != comp[i]:
+                links.append((int(ids[i]), int(ids[k])))
+                comp[comp == comp[k]] = comp[i]
+    return links
 
 
 def link_components(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], minima: Minima, percent: int) -> DataFrame:

@@ -42,6 +42,11 @@ def word_segments(words: list[bytes]) -> list[list[bytes]]:
     return [*out, words[start:]] if start < len(words) else out
 
 
+def count_segments(text: str) -> int:
+    lines = ((line, line.split()) for line in text.encode("utf-8", "replace").split(b"\n"))
+    return sum(len(word_segments(words)) if words else line != b"" for line, words in lines)
+
+
 def segments_of(text: str | None) -> Iterator[tuple[int, list[bytes]]]:
     """(place, words) of the segments of long paragraphs; all segments of the text have places."""
     place = 0
@@ -135,8 +140,10 @@ def _cuts(text, later):
     for t, places in zip(text, later, strict=True):
         if t is None:
             rows.append((None, 0, 0))
+        elif places is None or not len(places):
+            rows.append((t, count_segments(t), 0))
         else:
-            rows.append(cut(t, set() if places is None else set(places)))
+            rows.append(cut(t, set(places)))
     return pd.DataFrame(rows, columns=["text", "n_segments", "n_removed"])
 
 
