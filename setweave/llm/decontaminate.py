@@ -10,6 +10,7 @@ its tiles cover COVERAGE or more.
 from __future__ import annotations
 
 import heapq
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,7 +65,7 @@ def running(ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def tiles(item: np.ndarray, doc: np.ndarray, min_match: int = MIN_MATCH) -> list[tuple[int, int, int]]:
-    """(item start, doc start, length) of greedy string tiling: longest first, then leftmost."""
+    """(item start, doc start, length) of greedy string tiling: longest first; ties go to the item's, then the document's leftmost."""
     k = min(min_match, len(item))
     if not k or len(doc) < k:
         return []
@@ -113,9 +114,10 @@ class Benchmark:
                 self.tokens.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]))
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for k in sorted({min(min_match, len(t)) for t in self.tokens}):
-            own = [(h, n) for n, t in enumerate(self.tokens) if min(min_match, len(t)) == k for h in running(t, k).tolist()]
-            own.sort()
-            self.by_length[k] = np.array([h for h, _ in own], np.uint64), np.array([n for _, n in own])
+            own = [(running(t, k), n) for n, t in enumerate(self.tokens) if min(min_match, len(t)) == k]
+            keys, owner = np.concatenate([h for h, _ in own]), np.repeat([n for _, n in own], [len(h) for h, _ in own])
+            order = np.lexsort((owner, keys))
+            self.by_length[k] = keys[order], owner[order]
         self.cache = Tokens(self.vocabulary)
 
     def find(self, text: str | None) -> list[tuple[int, float]]:
@@ -146,57 +148,74 @@ class Benchmark:
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    """Items in blocks of bounded size; each is one pass over the documents."""
+    """Items in blocks of about ``block_bytes``, all rows of an item in one; each is one pass over the documents."""
     items = shared.project(benchmark, "item_id", "text").dropna()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // block_bytes))
     for n in range(parts):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == n).collect()
+        rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == n).collect()
         yield sorted((r["item_id"], r["text"]) for r in rows)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, items (array of item_id, coverage) of every row of ``docs``.
+#: The block that this worker last built the seeds of, by the name of its pass.
+_built: dict[str, Benchmark] = {}
 
-    A null or empty text matches nothing; items without a token match nothing, and items of fewer
-    than ``min_match`` tokens only as a whole; items given twice count once (by best coverage);
-    repeated rows are tested each; an empty table on either side gives no matches; other columns
-    aren't read.
-    """
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64())]))
-    out, columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), []
-    for n, items in enumerate(_blocks(benchmark, block_bytes)):
-        index = docs.sparkSession.sparkContext.broadcast((items, min_match, coverage))
 
-        def run(batches: Iterator[pa.RecordBatch], index=index, name=f"items{n}") -> Iterator[pa.RecordBatch]:
-            own = Benchmark(*index.value)
-            for b in batches:
-                found = [[{"item_id": i, "coverage": c} for i, c in own.find(t.as_py())] for t in b.column(1)]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, kind)], names=[*b.schema.names, name])
+def _seeds(name: str, index) -> Benchmark:
+    if name not in _built:
+        _built.clear()
+        _built[name] = Benchmark(*index.value)
+    return _built[name]
+
+
+_FOUND = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64())]))
+
 
-        # a further block reads the same rows, which carry along what the earlier ones found
-        columns.append(f"items{n}")
-        out = out.mapInArrow(run, "doc_id long, text string" + "".join(f", {c} array<struct<item_id:long,coverage:double>>" for c in columns))
-    return out.select("doc_id", F.array_sort(F.concat(*columns)).alias("items"))
+def _matched(docs: DataFrame, benchmark: DataFrame, min_match: int, coverage: float, block_bytes: int) -> DataFrame:
+    """(row, items): every row of ``docs`` as a struct, with what contaminates its text.
 
+    Blocks come one after the other: a further block reads what the last pass wrote, and by then the
+    last block is dropped from driver and workers, so that one block is held at a time.
+    """
+    spark = docs.sparkSession
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.array().cast("array<struct<item_id:long,coverage:double>>").alias("items"))
+    last, at = None, docs.columns.index("text")
+    for items in _blocks(benchmark, block_bytes):
+        if last is not None:
+            written = shared.materialize(out, "matched")
+            last[0].destroy()
+            shared.discard(last[1])
+            out, last = written, (None, written)
+        index, name = spark.sparkContext.broadcast((items, min_match, coverage)), uuid.uuid4().hex
+
+        def run(batches: Iterator[pa.RecordBatch], index=index, name=name) -> Iterator[pa.RecordBatch]:
+            own = _seeds(name, index)
+            for b in batches:
+                texts, before = b.column(0).field(at), b.column(1).to_pylist()
+                found = [sorted([*((x["item_id"], x["coverage"]) for x in old), *own.find(t.as_py())]) for t, old in zip(texts, before, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[{"item_id": i, "coverage": c} for i, c in f] for f in found], _FOUND)], names=["row", "items"])
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` (all columns) without the documents that some item contaminates; one filter for each block of items."""
-    for items in _blocks(benchmark, BLOCK_BYTES):
-        docs = docs.filter(_clean(docs.sparkSession.sparkContext.broadcast((items, MIN_MATCH, COVERAGE)))(F.col("text")))
-    return docs
+        last = (index, last[1] if last else None)
+        out = out.mapInArrow(run, out.schema)
+    return out
 
 
-def _clean(index):
-    import pandas as pd
+def contamination(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, items (array of item_id, coverage, sorted) of every row of ``docs``.
+
+    A null or empty text matches nothing; items without a token match nothing, and items of fewer
+    than ``min_match`` tokens only as a whole; an item given several times counts once (by best
+    coverage); repeated rows are tested each; an empty table on either side gives no matches; other
+    columns aren't read.
+    """
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _matched(d, benchmark, min_match, coverage, block_bytes).select("row.doc_id", "items")
 
-    def clean(texts):
-        own = Benchmark(*index.value)
-        for part in texts:
-            yield pd.Series([not own.find(t) for t in part], dtype=bool)
 
-    clean.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(clean, "boolean")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` (all columns) without the documents that some item contaminates."""
+    d = _matched(docs, benchmark, MIN_MATCH, COVERAGE, block_bytes).filter(F.size("items") == 0)
+    return d.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -172,22 +172,31 @@ def later_matches(numbered: DataFrame) -> DataFrame:
     rest = held.select("id", "n", F.explode("held").alias("h")).select("h.token", "id", "n", "h.at")
     counts = rest.groupBy("token").agg(F.min(F.struct("id", "n")).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1")
     first = shared.materialize(counts.select("token", F.col("first.id").alias("x"), F.col("first.n").alias("m"), "c"), "first")
-    rest = shared.materialize(rest.join(first.select("token"), "token"), "rest")
-    shared.discard(held)
-    sets = _sets_of(numbered, rest.select("id").distinct(), classes)
+    shared.release(spark)
+    table = shared.materialize(rest.join(first, "token"), "rest")
+    shared.discard(held, first)
     shared.release(spark)
 
-    width = shared.materialize(rest.join(first, "token").groupBy("id").agg(F.sum("c").alias("w")), "width")
+    width = shared.materialize(table.groupBy("id").agg(F.sum("c").alias("w")), "width")
+    stars = shared.materialize(_most_often(table), "stars")
+    shared.release(spark)
+    rest = table.select("token", "id", "n", "at")
     hub = rest.join(width, "id").groupBy("token").agg(F.max_by(F.struct("id", "n"), F.struct(F.col("w"), -F.col("id"))).alias("h"))
     hub = shared.materialize(hub.select("token", F.col("h.id").alias("x"), F.col("h.n").alias("m")), "hub")
-    stars = shared.materialize(_most_often(rest.join(first, "token")).unionByName(_most_often(rest.join(hub, "token"))).distinct(), "stars")
-    shared.discard(first, width, hub)
+    shared.discard(width)
+    shared.release(spark)
+    others = shared.materialize(_most_often(rest.join(hub, "token")), "stars")
+    shared.release(spark)
+    sets = _sets_of(numbered, rest.select("id").distinct(), classes)
+    shared.release(spark)
+    both = [stars, others, hub]
+    stars = stars.unionByName(others).distinct()
     settled = _verified(stars, sets)
-    shared.discard(stars)
+    shared.discard(*both)
     shared.release(spark)
 
     marked = shared.materialize(rest.join(sets.select("id", _bitmap(F.col("tokens")).alias("bits")), "id"), "marked")
-    shared.discard(rest)
+    shared.discard(table)
     still = shared.materialize(marked.join(settled, "id", "left_anti"), "still")
     earlier = marked.select("token", *[F.col(a).alias(b) for a, b in EARLIER.items()])
     n, m = F.col("n"), F.col("m")
@@ -196,6 +205,7 @@ def later_matches(numbered: DataFrame) -> DataFrame:
     later = shared.materialize(_beside(still, earlier, meet), "later")
     sooner = shared.materialize(_beside(earlier, later, meet, "x"), "sooner")
     shared.discard(marked, still)
+    shared.release(spark)
     left = later.join(sets.select("id", F.col("tokens").alias("s")), "id")
     right = sooner.join(sets.select(F.col("id").alias("x"), F.col("tokens").alias("t")), "x")
     alike = 7 * F.size(F.array_intersect("s", "t")) >= 3 * (n + m)

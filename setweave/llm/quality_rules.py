@@ -1,8 +1,8 @@
 """Quality rules and host verdicts (operator 10), in DataFrame functions only.
 
 Each document is measured in its own row.  Rule failures are then summed by host, each host's
-failure rates are shrunk towards all hosts' with a beta prior that is fitted to the hosts by
-moments, and hosts whose shrunk rate is over a rule's limit lose all their documents.
+failure rates are shrunk towards the other hosts' with a beta prior that is fitted to those by
+moments, and hosts whose shrunk rate is far out in that prior's upper tail lose all their documents.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from . import shared
 
 SYMBOLS = "#*$%&|<>"
-#: rule -> the shrunk failure rate over which the host's documents all go
-HOST_LIMITS = {"short": 0.8, "repeated": 0.6, "symbols": 0.8, "dup_lines": 0.8}
+#: A host falls beyond the prior's mean and so many of its deviations; but never under the first rate, always over the second.
+DEVIATIONS, LEAST_RATE, MOST_RATE = 3.0, 0.25, 0.6
 #: Weight of the prior, in documents, where the hosts' rates don't vary enough to fit one.
 DEFAULT_WEIGHT = 10.0
 #: A hot host's rows are dealt over so many keys in the join.
@@ -77,41 +77,43 @@ def rule_columns() -> dict[str, Column]:
     }
 
 
-def host_verdicts(measured: DataFrame, limits: dict[str, float] | None = None) -> DataFrame:
-    """host, host_docs, and for each rule its shrunk rate; ``host_ok`` false if one is over its limit.
+def host_verdicts(measured: DataFrame) -> DataFrame:
+    """host, host_docs, and for each rule its shrunk rate and limit; ``host_ok`` false if a rate is over its limit.
 
-    The prior of a rule has the mean of all documents and the weight m(1-m)/v - 1, v being the
-    variance of the hosts' own rates.  A null host is a host like any other.
+    A host's prior is fitted to all other hosts, so that a bad one doesn't excuse itself: their mean m
+    over documents and the weight m(1-m)/v - 1, v being the variance of their own rates.  A null host
+    is a host like any other; a single host is judged by a prior of its own mean.
     """
-    limits = limits or HOST_LIMITS
     rules = rule_columns()
-    hosts = measured.groupBy("host").agg(
-        F.count(F.lit(1)).alias("host_docs"), *[F.sum(c.cast("long")).alias(f"f_{k}") for k, c in rules.items()]
-    )
-    prior = hosts.agg(
-        *[(F.sum(f"f_{k}") / F.sum("host_docs")).alias(f"m_{k}") for k in rules],
-        *[F.var_pop(F.col(f"f_{k}") / F.col("host_docs")).alias(f"v_{k}") for k in rules],
-    )
-    joined = hosts.crossJoin(F.broadcast(prior))  # one row
-    out = []
-    for k in rules:
-        m, v = F.col(f"m_{k}"), F.col(f"v_{k}")
-        s = F.when((v > 1e-9) & (m * (1 - m) / v > 1), m * (1 - m) / v - 1).otherwise(F.lit(DEFAULT_WEIGHT))
-        out.append(((F.col(f"f_{k}") + m * s) / (F.col("host_docs") + s)).alias(f"rate_{k}"))
-    rated = joined.select("host", "host_docs", *out)
-    bad = F.lit(False)
+    hosts = measured.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"), *[F.sum(c.cast("long")).alias(f"f_{k}") for k, c in rules.items()])
+    rate = lambda k: F.col(f"f_{k}") / F.col("host_docs")
+    sums = hosts.agg(
+        F.count(F.lit(1)).alias("hosts"), F.sum("host_docs").alias("docs"),
+        *[x for k in rules for x in (F.sum(f"f_{k}").alias(f"a_{k}"), F.sum(rate(k)).alias(f"r_{k}"), F.sum(rate(k) * rate(k)).alias(f"q_{k}"))],
+    )
+    joined = hosts.crossJoin(F.broadcast(sums))  # one row
+    several, out, bad = F.col("hosts") > 1, [], F.lit(False)
+    others = F.when(several, F.col("hosts") - 1).otherwise(1)
     for k in rules:
-        bad = bad | (F.col(f"rate_{k}") > limits[k])
-    return rated.withColumn("host_ok", ~bad)
-
-
-def judge(docs: DataFrame, host: str = "source", limits: dict[str, float] | None = None) -> DataFrame:
+        left = lambda whole, own: F.when(several, F.col(whole) - own).otherwise(F.col(whole))
+        m = left(f"a_{k}", F.col(f"f_{k}")) / left("docs", F.col("host_docs"))
+        first, second = left(f"r_{k}", rate(k)) / others, left(f"q_{k}", rate(k) * rate(k)) / others
+        v = F.greatest(second - first * first, F.lit(0.0))
+        weight = F.when((v > 1e-9) & (m * (1 - m) / v > 1), m * (1 - m) / v - 1).otherwise(F.lit(DEFAULT_WEIGHT))
+        shrunk = (F.col(f"f_{k}") + m * weight) / (F.col("host_docs") + weight)
+        limit = F.least(F.lit(MOST_RATE), F.greatest(F.lit(LEAST_RATE), m + DEVIATIONS * F.sqrt(v)))
+        out += [shrunk.alias(f"rate_{k}"), limit.alias(f"limit_{k}")]
+        bad = bad | (F.col(f"rate_{k}") > F.col(f"limit_{k}"))
+    return joined.select("host", "host_docs", *out).withColumn("host_ok", ~bad)
+
+
+def judge(docs: DataFrame, host: str = "source") -> DataFrame:
     """Measures, base_failed and kept of every row of ``docs`` (needs doc_id, text and the host column).
 
     Repeated rows are judged each; an empty table gives an empty one; other columns aren't read.
     """
     rows = shared.materialize(measure(docs, host), "quality")
-    bad = host_verdicts(rows, limits).filter(~F.col("host_ok")).select(F.col("host").alias("bad_host"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("bad_salt"))
+    bad = host_verdicts(rows).filter(~F.col("host_ok")).select(F.col("host").alias("bad_host"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("bad_salt"))
     salt = F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int")
     rules = rule_columns()
     d = rows.withColumn("salt", salt).withColumn("base_failed", rules["short"] | rules["repeated"])
@@ -141,11 +143,12 @@ m AS (SELECT w.rid, doc_id, host, len(words)::BIGINT AS n_words,
       FROM w LEFT JOIN cov USING (rid)),
 r AS (SELECT *, n_words < 10 AS r1, 100 * n_repeat_words > 20 * n_words AS r2, 10 * n_symbols > n_words AS r3,
              10 * n_dup_lines > 3 * n_lines AS r4 FROM m),
-h AS (SELECT host, count(*) AS n, unnest([sum(r1::INT), sum(r2::INT), sum(r3::INT), sum(r4::INT)]) AS f,
-             unnest([1, 2, 3, 4]) AS k, unnest([0.8, 0.6, 0.8, 0.8]) AS lim FROM r GROUP BY host),
-p AS (SELECT k, sum(f) / sum(n) AS mean, var_pop(f / n) AS v FROM h GROUP BY k),
-s AS (SELECT k, mean, CASE WHEN v > 1e-9 AND mean * (1 - mean) / v > 1 THEN mean * (1 - mean) / v - 1 ELSE 10 END AS wt FROM p),
-bad AS (SELECT DISTINCT host FROM h JOIN s USING (k) WHERE (f + mean * wt) / (n + wt) > lim)
+h AS (SELECT host, count(*) AS n, unnest([sum(r1::INT), sum(r2::INT), sum(r3::INT), sum(r4::INT)]) AS f, unnest([1, 2, 3, 4]) AS k FROM r GROUP BY host),
+p AS (SELECT h.*, (SELECT sum(f) FROM h o WHERE o.k = h.k AND o.host IS DISTINCT FROM h.host) / (SELECT sum(n) FROM h o WHERE o.k = h.k AND o.host IS DISTINCT FROM h.host) AS others,
+             (SELECT var_pop(f / n) FROM h o WHERE o.k = h.k AND o.host IS DISTINCT FROM h.host) AS spread FROM h),
+s AS (SELECT host, n, f, coalesce(others, f / n) AS mean, coalesce(spread, 0) AS v FROM p),
+bad AS (SELECT DISTINCT host FROM (SELECT *, CASE WHEN v > 1e-9 AND mean * (1 - mean) / v > 1 THEN mean * (1 - mean) / v - 1 ELSE 10 END AS wt FROM s)
+        WHERE (f + mean * wt) / (n + wt) > least(0.6, greatest(0.25, mean + 3 * sqrt(v))))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (r1 OR r2) AS base_failed,
        NOT (r1 OR r2) AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.host IS NOT DISTINCT FROM r.host) AS kept
 FROM r

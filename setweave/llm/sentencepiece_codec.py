@@ -78,16 +78,17 @@ class OffsetNormalizer:
         out, source, at = bytearray(), [], 0
         while at < len(data):
             hit = self.map.longest_prefix(data, at)
-            if hit is None:
-                n = 1
+            step = 0
+            if hit is None:  # a character that stays has a source for each of its bytes
+                n, step = 1, 1
                 while at + n < len(data) and data[at + n] & 0xC0 == 0x80:
                     n += 1
                 hit = n, data[at : at + n]
-            for byte in hit[1]:
+            for k, byte in enumerate(hit[1]):
                 if self.squeeze and byte == 32 and (not out or out[-1] == 32):
                     continue
                 out.append(byte)
-                source.append(at)
+                source.append(at + k * step)
             at += hit[0]
         while self.squeeze and out and out[-1] == 32:
             out.pop()

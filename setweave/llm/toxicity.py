@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import shared
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
 BUCKETS, DIM, HIDDEN = 1 << 16, 8, 8
 PREFIXES, SUFFIX = (4, 5, 6, 7), 4  # in UTF-8 bytes
 #: Bound of the training sample: labelled rows of each class, whose texts are read whole.
@@ -30,16 +30,25 @@ SLICE_WINDOWS = 2048
 STRIP = b".,;:!?|#*$%&\"'()[]<>-_=+/"
 CACHE_WORDS = 100_000
 CHUNK_TOKENS = 150_000
+#: Arrays are filled up to whole blocks, so that a window's result doesn't depend on those beside it.
+BLOCK_WINDOWS, LANES, DIGITS = 1024, 256, 7
+
+
+#: A word of more characters than the first counts as several tokens of the second.
+LONG_WORD, PART = 48, 16
 
 
 def words_of(text: str) -> list[str]:
-    return text.lower().split()
+    words = text.lower().split()
+    if words and len(max(words, key=len)) > LONG_WORD:
+        return [p for w in words for p in ([w] if len(w) <= LONG_WORD else [w[k : k + PART] for k in range(0, len(w), PART)])]
+    return words
 
 
 def features(word: str) -> list[int]:
     """Buckets of the word and of its characters at both ends (always the same count)."""
     raw = word.encode("utf-8", "replace")
-    bare, crc, last = (raw.strip(STRIP) or raw)[:64], zlib.crc32, BUCKETS - 1
+    bare, crc, last = raw.strip(STRIP) or raw, zlib.crc32, BUCKETS - 1
     return [crc(bare) & last, *[crc(bare[:n], n) & last for n in PREFIXES], crc(bare[-SUFFIX:], 1) & last]
 
 
@@ -266,9 +275,10 @@ class Scorer:
             self.rows = [np.concatenate([r, np.zeros((room, 3 * HIDDEN), np.float32)]) for r in self.rows]
         for k in range(0, len(new), 8192):
             part = new[k : k + 8192]
-            x = self.E[np.array([features(w) for w in part])].sum(1)
+            x = np.zeros((-(-len(part) // LANES) * LANES, DIM), np.float32)
+            x[: len(part)] = self.E[np.array([features(w) for w in part])].sum(1)
             for r, W, b in zip(self.rows, self.W, self.b, strict=True):
-                r[at + k : at + k + len(part)] = x @ W + b
+                r[at + k : at + k + len(part)] = (x @ W + b)[: len(part)]
         self.index.update(zip(new, range(at, at + len(new)), strict=True))
         return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
@@ -291,11 +301,12 @@ class Scorer:
         logits = np.full(len(cut), self.bias)
         order = np.argsort(cut[:, 1], kind="stable")
         order = order[np.searchsorted(cut[order, 1], 1) :]
-        for k in range(0, len(order), 1024):
-            rows = order[k : k + 1024]
-            logits[rows] = self._windows(ids, *cut[rows].T)
+        for k in range(0, len(order), BLOCK_WINDOWS):
+            rows = order[k : k + BLOCK_WINDOWS]
+            full = np.append(rows, np.repeat(rows[-1:], BLOCK_WINDOWS - len(rows)))
+            logits[rows] = self._windows(ids, *cut[full].T)[: len(rows)]
         counts = [len(windows_of(len(d))) for d in docs]
-        return sigmoid(np.logaddexp.reduceat(logits, np.cumsum([0, *counts[:-1]]))).tolist()
+        return np.round(sigmoid(np.logaddexp.reduceat(logits, np.cumsum([0, *counts[:-1]]))), DIGITS).tolist()
 
     def _windows(self, ids: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
         steps, h2 = np.arange(n.max())[:, None], 2 * HIDDEN

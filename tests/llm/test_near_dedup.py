@@ -72,7 +72,7 @@ def test_rules(spark, odd):
 
 def test_sets_in_bulk_are_the_sets():
     texts = ["a b c d e f", None, "a b", "", prose(1, 300), "a b c d e", "A  b\tC d e f"]
-    h, owner = shingles.shingle_sets(texts, shingles.WordHashes())
+    h, owner = shingles.shingle_sets([shingles.words_of(t) for t in texts], shingles.WordHashes())
     for i, t in enumerate(texts):
         assert (h[owner == i] == shingles.shingle_set(shingles.words_of(t), shingles.WordHashes())).all()
     m = shingles.Minima(3, 2, 4)

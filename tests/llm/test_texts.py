@@ -46,14 +46,32 @@ def test_reordered_passages_are_found(spark):
     w = item.split(" ")
     shuffled = " ".join([*w[20:30], "and", *w[:10], "then", *w[30:]])
     docs = make(spark, [f"{prose(2, 50)} {item.upper()} {prose(3, 9)}", f"{prose(4, 30)}\n{shuffled}", " ".join(w[:12]), prose(5, 200), None, "tiny item only"])
-    bench = spark.createDataFrame([(7, item), (8, "Tiny item, only!"), (9, None), (10, "..."), (7, item)], "item_id long, text string")
+    bench = spark.createDataFrame([(7, item), (8, "Tiny item, only!"), (9, None), (10, "..."), (7, item), (7, prose(9, 40))], "item_id long, text string")
     for size in (D.BLOCK_BYTES, 100):
         got = {r["doc_id"]: [(x["item_id"], round(x["coverage"], 2)) for x in r["items"]] for r in D.contamination(docs, bench, block_bytes=size).collect()}
-        assert {k: sorted(set(v)) for k, v in got.items()} == {0: [(7, 1.0)], 1: [(7, 0.75)], 2: [], 3: [], 4: [], 5: [(8, 1.0)]}
+        assert got == {0: [(7, 1.0)], 1: [(7, 0.75)], 2: [], 3: [], 4: [], 5: [(8, 1.0)]}
     assert rows(D.drop_contaminated(docs, bench), "doc_id") == [(2,), (3,), (4,)]
+    assert rows(D.drop_contaminated(docs, bench, 100), "doc_id") == [(2,), (3,), (4,)]
     assert D.drop_contaminated(docs, bench.limit(0)).count() == 6
 
 
+def test_decontamination_against_plain_tiling(spark):
+    """The whole query beside a plain tiling of every document with every item."""
+    sf = "/root/testdata/sf0.001"
+    read = lambda name, key: [(r[key], D.bare_tokens(r["text"])) for r in spark.read.parquet(f"{sf}/{name}.parquet").collect()]
+    items, want = [x for x in read("benchmark", "item_id") if x[1]], {}
+    for doc, tokens in read("documents", "doc_id"):
+        own, found = set(zip(*(tokens[k:] for k in range(D.MIN_MATCH)))), {}
+        for item, words in items:
+            if own & set(zip(*(words[k:] for k in range(D.MIN_MATCH)))):
+                share = plain_tiles(words, tokens, min(D.MIN_MATCH, len(words))) / len(words)
+                if share >= D.COVERAGE:
+                    found[item] = max(share, found.get(item, 0))
+        want[doc] = (bool(found), round(max(found.values(), default=0.0), 6), ",".join(map(str, sorted(found))))
+    got = {r["doc_id"]: (r["contaminated"], r["max_coverage"], r["item_ids"]) for r in D.op7_decontamination(spark, sf).collect()}
+    assert got == want and any(x[0] for x in want.values())
+
+
 def test_exact_as_the_library(spark):
     import hashlib
 
@@ -82,23 +100,86 @@ def test_spans_tile_the_source(text):
             assert raw[s:e].decode().replace(" ", "▁") in (piece, piece[1:])
 
 
-def test_longest_prefix_map():
-    """The library's own normaliser, with its compiled map, against ours."""
-    import sentencepiece
+def compiled(rules):
+    """A compiled character map (double-array trie and replacements) of {key: replacement}, built by first fit."""
+    import struct
+
+    trie, blob = {}, b""
+    for key, value in sorted(rules.items()):
+        node = trie
+        for byte in key:
+            node = node.setdefault(byte, {})
+        node["end"] = len(blob)
+        blob += value + b"\0"
+    units, used = {0: 0}, {0}
+
+    def place(node, at):
+        labels = [0] * ("end" in node) + [b for b in node if b != "end"]
+        base = next(x for x in range(1, 1 << 16) if (at ^ x) not in (0,) and all((at ^ x ^ c) not in used for c in labels))
+        units[at] = units.get(at, 0) | base << 10 | (256 if "end" in node else 0)
+        used.update(at ^ base ^ c for c in labels)
+        for c in labels:
+            if c == 0:
+                units[at ^ base] = node["end"] | 1 << 31
+            else:
+                units[at ^ base ^ c] = c
+        for c in labels:
+            if c:
+                place(node[c], at ^ base ^ c)
+
+    place(trie, 0)
+    size = (max(units) // 256 + 2) * 256  # the library takes whole blocks
+    return struct.pack(f"<I{size}I", 4 * size, *(units.get(i, 0) for i in range(size))) + blob
+
+
+RULES = {"\ufb01".encode(): b"fi", "\uff21".encode(): b"A", "\u00e9".encode(): b"e", "e\u0301".encode(): "\u00e8".encode(), b"\t": b" ", "\u200b".encode(): b"", b"ab": b"x", b"abc": b"yz"}
+
+
+def mapped_codec(tmp_path, **changes):
+    """The public model with a compiled map and other rules of its normaliser; the library reads the same file."""
     from sentencepiece import sentencepiece_model_pb2 as pb
 
-    if not hasattr(sentencepiece, "SentencePieceNormalizer"):
-        pytest.skip("no normaliser in this library")
-    lib = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc")
     proto = pb.ModelProto()
-    proto.ParseFromString(lib.serialized_model_proto())
-    spec = proto.normalizer_spec
-    assert spec.precompiled_charsmap
-    own = P.OffsetNormalizer(spec)
-    for text in ("ＡＢ ① ½ ﬁn é", "plain", "ガギ", "　x​"):
-        out, source = own(text.encode())
-        assert out.decode() == lib.normalize(text)
+    with open(P.default_model(), "rb") as f:
+        proto.ParseFromString(f.read())
+    proto.normalizer_spec.precompiled_charsmap = compiled(RULES)
+    for k, v in changes.items():
+        setattr(proto.normalizer_spec, k, v)
+    path = str(tmp_path / "mapped.model")
+    with open(path, "wb") as f:
+        f.write(proto.SerializeToString())
+    return path
+
+
+@pytest.mark.parametrize("changes", [{}, {"remove_extra_whitespaces": True}, {"add_dummy_prefix": False}])
+def test_compiled_map_against_the_library(spark, tmp_path, changes):
+    """Whole documents through the longest-prefix walk: every piece's span holds what the library made the piece of."""
+    path = mapped_codec(tmp_path, **changes)
+    own = P.Codec(path)
+    assert own.normalize.map.units
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect()]
+    texts += ["ﬁn Ａb abcd abc ab é e\u0301 \t x\u200by  z ", "", " ", "\u200b", "日本 ab"]
+    for text in texts:
+        out, source = own.normalize(text.encode())
+        pieces_ = own.lib.encode(text, out_type=str)
+        ids = own.encode([text])[0]
+        plain = out.decode()
+        known = b"".join(bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.encode() for p in pieces_)
+        assert known.decode() == plain
         assert len(source) == len(out) + 1 and (np.diff(source) >= 0).all() and source[-1] == len(text.encode())
+        starts, ends = own.spans(text, np.array(ids))
+        assert (starts[2:] == ends[1:-1]).all() and ends[-1] == len(text.encode())
+        width = np.cumsum([0, *(1 if re.fullmatch("<0x[0-9A-F]{2}>", p) else len(p.encode()) for p in pieces_)])
+        assert (starts[1:-1] == source[width[:-1]]).all()  # a replacement that is split belongs to the piece of its end
+
+
+def test_short_cut_equals_the_walk():
+    own = P.codec(P.default_model()).normalize
+    walk = P.OffsetNormalizer.__new__(P.OffsetNormalizer)
+    walk.map, walk.prefix, walk.squeeze, walk.space = P.CharacterMap(compiled({b"\xff\xfe": b"q"})), own.prefix, own.squeeze, own.space
+    for text in ("a", " a  b ", "é 日本\U0001f600 ▁", prose(1, 50)):
+        (a, x), (b, y) = own(text.encode()), walk(text.encode())
+        assert a == b and (x == y).all()
 
 
 def test_codec_rows(spark):
@@ -111,18 +192,20 @@ def test_codec_rows(spark):
 
 def alike(x, y):
     s, t = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (x.lower().split(), y.lower().split()))
-    return 4 * len(s & t) >= 3 * len(s | t)
+    return bool(t) and 4 * len(s & t) >= 3 * len(s | t)
 
 
 def brute_lines(pairs):
-    seen, out = [], {}
+    seen, exact, out = [], [], {}
     for i, t in sorted(pairs):
         keep = []
         for line in (t or "").split("\n"):
-            if len(line.split()) >= 5:
-                if any(alike(line, x) for x in seen):
+            words = line.lower().split()
+            if words:
+                if words in exact or (len(words) >= 5 and any(alike(line, x) for x in seen)):
                     seen.append(line)
                     continue
+                exact.append(words)
                 seen.append(line)
             keep.append(line)
         out[i] = "\n".join(keep)
@@ -132,29 +215,53 @@ def brute_lines(pairs):
 def test_lines_against_all_pairs(spark):
     g = random.Random(5)
     base = [prose(k, g.randint(5, 60)) for k in range(10)]
-    lines = base + [edited(g.choice(base), k, g.randint(0, 3)) for k in range(60)] + ["short line", "", "  ", base[0].upper()]
+    lines = base + [edited(g.choice(base), k, g.randint(0, 3)) for k in range(60)] + ["short line", "Short  LINE ", "one", "", "  ", base[0].upper(), f" {base[1]}\t"]
     pairs = [(i, "\n".join(g.choice(lines) for _ in range(g.randint(1, 5)))) for i in range(40)] + [(50, None)]
     docs = make(spark, pairs)
     got = line_dedup.deduplicate(docs)
     want = brute_lines(pairs)
     assert {r["doc_id"]: r["text"] or "" for r in got.collect()} == want
-    assert set(docs.columns) < set(got.columns)
+    assert docs.columns == got.columns
+
+
+def test_hot_tokens_are_split(spark, monkeypatch):
+    """Lines with one shared token too many, dealt over several tasks, lose no match."""
+    monkeypatch.setattr(line_dedup, "BLOCK", 3)
+    g = random.Random(6)
+    base = [prose(k, 24) for k in range(3)]
+    pairs = [(i, edited(g.choice(base), 10 * i, g.randint(0, 4))) for i in range(60)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.deduplicate(make(spark, pairs)).collect()}
+    assert got == brute_lines(pairs)
 
 
-def test_paragraphs_keep_the_first(spark):
-    p, q = prose(1, 60), prose(2, 60)
-    pairs = [(0, f"{p}\n{q}"), (1, f"{edited(p, 1, 1)}\nshort\n{prose(3, 20)}"), (2, q), (3, None), (None, p)]
-    got = {r["doc_id"]: r for r in paragraph_dedup.deduplicate(make(spark, pairs)).collect()}
-    assert got[0]["_removed"] == 0 and got[1]["text"].startswith("short\n") and got[1]["_removed"] == 1
-    assert got[2]["text"] == "" and got[3]["text"] is None and got[None]["text"] == p
+def test_passages_keep_the_first(spark):
+    p, q = (prose(k, 60).replace("4 ", "4. ") for k in (1, 2))
+    inside = f"{prose(7, 9)} {p} {prose(8, 30)}"
+    pairs = [(0, f"{p}\n{q}"), (1, f"{p}\nshort\n{prose(3, 20)}"), (2, q), (3, None), (None, p), (4, "short\nshort"), (5, inside)]
+    out = paragraph_dedup.deduplicate(make(spark, pairs))
+    got = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert out.columns == make(spark, []).columns
+    assert got[0] == pairs[0][1] and got[1] == f"short\n{prose(3, 20)}" and got[4] == "short\nshort"
+    assert got[2] == "" and got[3] is None and got[None] == p
+    assert len(got[5]) < len(inside) - len(p) / 2 and got[5].startswith(prose(7, 9)) and got[5].endswith(prose(8, 30)[-40:])
 
 
-def test_hashed_ids_outside_the_packed_room(spark):
-    p = prose(1, 30)
-    docs = make(spark, [(2**50, p), (-7, p), (3, p)])
-    left = {r["doc_id"]: r["text"] for r in line_dedup.deduplicate(docs).collect()}
-    assert sorted(left.values()) == ["", "", p]
-    assert rows(pieces.pieces(docs), "doc_id") == [(-7,), (3,), (2**50,)]
+def test_segments_by_words_are_those_of_the_pattern():
+    g = random.Random(2)
+    for _ in range(300):
+        line = "".join(g.choice(["a", "bb. ", "c ", "d! ", " ", "\t", "e.f ", "é? ", ". "]) for _ in range(g.randint(0, 120)))
+        want = [p.encode().split() for p in paragraph_dedup._SEGMENT.findall(line)]
+        assert [w for w in want if w] == paragraph_dedup.word_segments(line.encode().split())
+        assert paragraph_dedup.count_segments(f"{line}\n{line}") == 2 * len(want)
+
+
+def test_ids_outside_the_packed_room(spark):
+    p, q = prose(1, 30), prose(2, 30)
+    docs = make(spark, [(2**62, f"{p}\n{q}"), (-7, f"x\n{p}"), (3, p), (2**50, q)])
+    for operator in (line_dedup, paragraph_dedup):
+        left = {r["doc_id"]: r["text"] for r in operator.deduplicate(docs).collect()}
+        assert left == {-7: f"x\n{p}", 3: "", 2**50: q, 2**62: ""}
+    assert rows(pieces.Numbers(docs).of(docs, "text"), "no") == [(0,), (1,), (2,), (3,)]
 
 
 def test_native_operators_use_no_python(spark):
@@ -214,6 +321,16 @@ def test_pipeline_against_plain_stages(spark, tmp_path):
     assert rows(corpus_pipeline.run(spark, sf), "doc_id", "n_tokens") == rows(docs, "doc_id", "n_tokens")
 
 
+def test_pipeline_stages_on_odd_and_empty_tables(spark, sf, empty):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("_removed", F.lit(1)).withColumn("places", F.lit(2))
+    none = spark.read.parquet(f"{empty}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, sf).columns == docs.columns
+        assert stage(spark, none, empty).count() == 0
+    assert corpus_pipeline.run(spark, sf).count() > 0 and corpus_pipeline.run(spark, empty).count() == 0
+
+
 def _named_tiles(a, b):
     number = {}
     ids = lambda x: np.array([number.setdefault(w, len(number) + 1) for w in x], int)
