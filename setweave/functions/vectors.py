@@ -39,13 +39,23 @@ def added(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x + y)
 
 
-def merged(a: Column, b: Column, how: str = "weighted", share: float = 0.5, cut_dim: int | None = None) -> Column:
-    """Two embeddings as one: weighted (share * a + (1 - share) * b), concatenate, graph_base (a) or density_base (b)."""
-    if cut_dim:
-        a, b = F.slice(a, 1, cut_dim), F.slice(b, 1, cut_dim)
-    return {
-        "weighted": lambda: added(scaled(a, share), scaled(b, 1 - share)),
-        "concatenate": lambda: F.concat(a, b),
-        "graph_base": lambda: a,
-        "density_base": lambda: b,
-    }[how]()
+def merged(a: Column, b: Column, how: str = "weighted", share: float = 0.5, cut_dim: int | None = None, normalize: str = "none") -> Column:
+    """Two embeddings as one; ``normalize`` (none, emb1, emb2, both) first gives that side unit length.
+
+    weighted: share * a + (1 - share) * b of whole vectors, null for different lengths.  concatenate:
+    share * a, cut to ``cut_dim``, next to (1 - share) * b.  graph_base: b.  density_base: a, cut.
+    """
+    if normalize not in ("none", "emb1", "emb2", "both"):
+        raise ValueError("normalize must be one of none, emb1, emb2, both")
+    first = (lambda v: l2_normalized(v)) if normalize in ("emb1", "both") else (lambda v: v)
+    short = first(F.slice(a, 1, cut_dim) if cut_dim else a)
+    second = l2_normalized(b) if normalize in ("emb2", "both") else b
+    ways = {
+        "weighted": lambda: F.when(F.size(a) == F.size(b), added(scaled(first(a), share), scaled(second, 1 - share))),
+        "concatenate": lambda: F.concat(scaled(short, share), scaled(second, 1 - share)),
+        "graph_base": lambda: second,
+        "density_base": lambda: short,
+    }
+    if how not in ways:
+        raise ValueError(f"unknown merge {how!r}; one of {', '.join(ways)}")
+    return ways[how]()

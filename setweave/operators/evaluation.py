@@ -2,28 +2,98 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import vectors as V
+from . import ranking
+
+
+#: Rows of a block, about; a task holds two blocks and their matrix of products.
+BLOCK_ROWS = 512
+
+
+def _block_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(rows, others): every pair of blocks of rows (structs of the columns), dealt by the hash of k; each row once beside each block."""
+    blocks = max(1, -(-df.count() // BLOCK_ROWS))
+    d = df.withColumn("own", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
+    packed = d.groupBy("own").agg(F.collect_list(F.struct(*columns)).alias("rows"))  # about BLOCK_ROWS of them
+    left = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = packed.select(F.col("own").alias("other"), F.col("rows").alias("others"))
+    return left.join(right, "other").select("own", "other", "rows", "others").repartition("own", "other").select("rows", "others")
+
+
+def _matrix(rows: pa.StructArray, column: str) -> np.ndarray:
+    return rows.field(column).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
 
 
 def silhouette(df: DataFrame, key: str = "id", vector: str = "v", label: str = "label", metric: str = "euclidean") -> DataFrame:
     """key, silhouette of every row; rows of single-member clusters get 0.
 
-    All distances are needed, so rows meet in blocks: the smaller side of a block pair is what a
-    task holds, and each row's distances are summed by cluster before anything is shuffled.
+    Cosine needs no pairs: on unit rows, distances to a cluster sum to its size less the product with its
+    sum.  Euclidean distances are taken block by block, and summed by cluster before anything is shuffled.
     """
-    v = V.l2_normalized(V.doubles(F.col(vector))) if metric == "cosine" else V.doubles(F.col(vector))
-    d = df.select(F.col(key).alias("k"), F.col(label).alias("c"), v.alias("v"))
-    x, y = d.alias("x"), d.alias("y")
-    dist = 1 - V.dot(F.col("x.v"), F.col("y.v")) if metric == "cosine" else V.distance(F.col("x.v"), F.col("y.v"))
-    pairs = x.join(y, F.col("x.k") != F.col("y.k")).select(F.col("x.k").alias("k"), F.col("x.c").alias("c"), F.col("y.c").alias("o"), dist.alias("d"))
-    mean = pairs.groupBy("k", "c", "o").agg(F.avg("d").alias("d"))
+    d = df.select(F.col(key).alias("k"), F.col(label).alias("c"), V.doubles(F.col(vector)).alias("v"))
+    mean = _cosine_means(d) if metric == "cosine" else _euclidean_means(d)
     ab = mean.groupBy("k", "c").agg(F.min(F.when(F.col("c") == F.col("o"), F.col("d"))).alias("a"), F.min(F.when(F.col("c") != F.col("o"), F.col("d"))).alias("b"))
     s = F.when(F.col("a").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
     return ab.select(F.col("k").alias(key), F.col("c").alias(label), s.alias("silhouette"))
 
 
+def _cosine_means(d: DataFrame) -> DataFrame:
+    """(k, c, o, d): mean cosine distance of each row to the other rows of each cluster."""
+    d = d.withColumn("v", V.l2_normalized(F.col("v")))
+    long = d.select(F.col("c").alias("o"), F.posexplode("v").alias("i", "x")).groupBy("o", "i").agg(F.sum("x").alias("x"), F.count(F.lit(1)).alias("n"))
+    sums = long.groupBy("o").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("s"), F.max("n").alias("n"))  # one entry a dimension
+    own = (F.col("c") == F.col("o")).cast("int")
+    others = F.col("n") - own
+    total = others - (V.dot(F.col("v"), F.col("s")) - own * V.dot(F.col("v"), F.col("v")))
+    return d.crossJoin(sums).select("k", "c", "o", F.try_divide(total, others).alias("d"))  # a row for each cluster
+
+
+def _euclidean_means(d: DataFrame) -> DataFrame:
+    kinds = dict(d.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, others in zip(batch.column(0), batch.column(1), strict=True):
+                x, y = rows.values, others.values
+                a, b = _matrix(x, "v"), _matrix(y, "v")
+                dist = np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, 0))
+                same = np.array(x.field("k").to_pylist(), object)[:, None] == np.array(y.field("k").to_pylist(), object)
+                dist[same] = 0
+                coded = y.field("c").dictionary_encode()
+                member = np.eye(len(coded.dictionary))[coded.indices.to_numpy()]
+                sums, n = dist @ member, (~same).astype(float) @ member
+                place = np.repeat(np.arange(len(x)), member.shape[1])
+                yield pa.RecordBatch.from_arrays(
+                    [x.field("k").take(pa.array(place)), x.field("c").take(pa.array(place)), pa.concat_arrays([coded.dictionary] * len(x)), pa.array(sums.ravel()), pa.array(n.ravel())],
+                    names=["k", "c", "o", "d", "n"],
+                )
+
+    sums = _block_pairs(d, ["k", "c", "v"]).mapInArrow(run, f"k {kinds['k']}, c {kinds['c']}, o {kinds['c']}, d double, n double")
+    return sums.groupBy("k", "c", "o").agg(F.try_divide(F.sum("d"), F.sum("n")).alias("d"))
+
+
+def pair_cosines(df: DataFrame, key: str = "id", first: str = "v", second: str = "w") -> DataFrame:
+    """(sa, sb): the cosine of every pair of rows in two embeddings, each pair once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, others in zip(batch.column(0), batch.column(1), strict=True):
+                x, y = rows.values, others.values
+                less = np.array(x.field("k").to_pylist(), object)[:, None] < np.array(y.field("k").to_pylist(), object)
+                sims = [(_matrix(x, c) @ _matrix(y, c).T)[less.astype(bool)] for c in ("v", "w")]
+                yield pa.RecordBatch.from_arrays([pa.array(s) for s in sims], names=["sa", "sb"])
+
+    d = df.select(F.col(key).alias("k"), *[V.l2_normalized(V.doubles(F.col(c))).alias(n) for c, n in ((first, "v"), (second, "w"))])
+    return _block_pairs(d, ["k", "v", "w"]).mapInArrow(run, "sa double, sb double")
+
+
 def _long(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
     return df.select(F.col(key).alias("k"), F.col(label).alias("c"), F.posexplode(V.doubles(F.col(vector))).alias("i", "x"))
 
@@ -128,20 +198,45 @@ def coherence(weights: DataFrame, labels: DataFrame, key: str = "id", label: str
     return total.crossJoin(n).select((F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("coherence"))  # one row each
 
 
-def nearest(df: DataFrame, k: int, key: str = "id", vector: str = "v") -> DataFrame:
-    """(key, other, sim, rk): the k most similar other rows by cosine (ties: least key)."""
-    d = df.select(F.col(key).alias("k"), V.l2_normalized(V.doubles(F.col(vector))).alias("v"))
-    pairs = d.alias("x").join(d.alias("y"), F.col("x.k") != F.col("y.k"))
-    pairs = pairs.select(F.col("x.k").alias(key), F.col("y.k").alias("other"), F.round(V.dot(F.col("x.v"), F.col("y.v")), 9).alias("sim"))
-    rk = F.row_number().over(W.partitionBy(key).orderBy(F.desc("sim"), "other"))
-    return pairs.withColumn("rk", rk).filter(F.col("rk") <= k)
+def nearest(df: DataFrame, k: int, key: str = "id", vector: str = "v", metric: str = "cosine") -> DataFrame:
+    """(key, other, sim, rk): the k most similar other rows (ties: least key); ``metric`` cosine, dot or euclidean (sim is then less the distance).
+
+    Each pair of blocks keeps k for each of its rows, so that k rows a block are ranked at the end, not all pairs.
+    """
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric!r}; one of {', '.join(METRICS)}")
+    v = V.doubles(F.col(vector))
+    d = df.select(F.col(key).alias("k"), (V.l2_normalized(v) if metric == "cosine" else v).alias("v"))
+    kind, similar = dict(d.dtypes)["k"], METRICS[metric]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, others in zip(batch.column(0), batch.column(1), strict=True):
+                x, y = rows.values, others.values
+                y = y.take(pc.sort_indices(y.field("k")))
+                sim = np.round(similar(_matrix(x, "v"), _matrix(y, "v")), 9)
+                sim[np.array(x.field("k").to_pylist(), object)[:, None] == np.array(y.field("k").to_pylist(), object)] = -np.inf
+                best = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+                value = np.take_along_axis(sim, best, 1)
+                i, j = np.nonzero(np.isfinite(value))
+                yield pa.RecordBatch.from_arrays([x.field("k").take(pa.array(i)), y.field("k").take(pa.array(best[i, j])), pa.array(value[i, j])], names=["k", "other", "sim"])
+
+    found = _block_pairs(d, ["k", "v"]).mapInArrow(run, f"k {kind}, other {kind}, sim double")
+    rk = F.row_number().over(W.partitionBy("k").orderBy(F.desc("sim"), "other"))
+    return found.withColumn("rk", rk).filter(F.col("rk") <= k).withColumnRenamed("k", key)
+
+
+METRICS = {
+    "cosine": lambda a, b: a @ b.T,
+    "dot": lambda a, b: a @ b.T,
+    "euclidean": lambda a, b: -np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, 0)),
+}
 
 
 def auc_ap(df: DataFrame, score: str, label: str) -> DataFrame:
     """One row: area under the ROC curve (ties count half) and average precision (ties share a threshold)."""
-    by = df.groupBy(F.col(score).alias("s")).agg(F.sum(label).cast("double").alias("p"), F.count(F.lit(1)).cast("double").alias("n"))
-    down = W.orderBy(F.desc("s")).rowsBetween(W.unboundedPreceding, 0)
-    c = by.withColumn("tp", F.sum("p").over(down)).withColumn("all", F.sum("n").over(down))
+    by = df.groupBy((-F.col(score)).alias("s")).agg(F.sum(label).cast("double").alias("p"), F.count(F.lit(1)).cast("double").alias("n"))
+    c = ranking.running(by, "s", {"tp": "p", "all": "n"})
     fp_here = F.col("n") - F.col("p")
     sums = c.agg(
         F.sum(fp_here * (F.col("tp") - F.col("p") / 2)).alias("area"), F.sum(F.col("p") * F.col("tp") / F.col("all")).alias("ap"),

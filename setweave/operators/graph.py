@@ -116,36 +116,48 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint, in a folder of its own only where the session names none."""
+    """A reliable checkpoint, in a folder of its own only where a local session names none."""
     sc = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
         import tempfile
 
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="setweave-"))
     return df.checkpoint()
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, rounds: int = 20) -> DataFrame:
-    """id, rank after so many weighted power steps from equal ranks; what isolated nodes hold is dealt to all.
+def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
+    """id, rank by weighted power steps from equal ranks; what isolated nodes hold is dealt to all.
 
-    Isolated nodes all have one rank, which follows from the last round's alone, so what they deal
-    out is a number that needs no plan.
+    Ends when the ranks change by less than ``tolerance`` a node (in sum); RuntimeError after ``rounds``
+    steps without that.  Isolated nodes all have one rank, which follows from the last round's alone, so
+    what they deal out is a number that needs no plan.
     """
     n = nodes.count()
+    if not n:
+        return nodes.select("id", F.lit(0.0).alias("rank"))
     a = doubled(edges)
     out = a.groupBy("u").agg(F.sum("w").alias("s"))
     steps = a.join(out, "u").select("u", "v", (F.col("w") / F.col("s")).alias("p")).persist()
     isolated = nodes.join(out, F.col("id") == F.col("u"), "left_anti").count()
     base = nodes.select("id").persist()
-    rank, one = base.select("id", F.lit(1.0 / n if n else 0.0).alias("r")), 1.0 / n if n else 0.0
+    rank, one = base.select("id", F.lit(1.0 / n).alias("r")), 1.0 / n
     for k in range(rounds):
-        rest = alpha * isolated * one / n + (1 - alpha) / n if n else 0.0
+        rest = alpha * isolated * one / n + (1 - alpha) / n
         got = rank.join(steps, F.col("id") == F.col("u")).groupBy(F.col("v").alias("id")).agg(F.sum(F.col("r") * F.col("p")).alias("g"))
-        rank = base.join(got, "id", "left").select("id", (alpha * F.coalesce("g", F.lit(0.0)) + rest).alias("r"))
+        new = base.join(got, "id", "left").select("id", (alpha * F.coalesce("g", F.lit(0.0)) + rest).alias("r"))
         one = rest
-        if k % 4 == 3:
-            rank = cut(rank)
-    rank = cut(rank)
+        if k % 4 == 3 or k == rounds - 1:  # the change is looked at where the lineage is cut
+            new, before = cut(new), cut(rank)
+            change = new.join(before.withColumnRenamed("r", "old"), "id").agg(F.sum(F.abs(F.col("r") - F.col("old")))).first()[0]
+            rank = new
+            if change < n * tolerance:
+                break
+        else:
+            rank = new
+    else:
+        raise RuntimeError(f"ranks still change after {rounds} rounds")
     steps.unpersist()
     base.unpersist()
     return rank.select("id", F.col("r").alias("rank"))

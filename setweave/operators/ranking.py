@@ -4,6 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+#: Ranges that an order over all rows is dealt in.
+RANGES = 32
+
+
+def _range_of(df: DataFrame, column: str) -> Column:
+    """A number of the range that a value lies in, growing with the value; cut at approximate quantiles (at most RANGES numbers on the driver)."""
+    if dict(df.dtypes)[column] not in ("double", "float", "bigint", "int", "smallint", "tinyint") and not dict(df.dtypes)[column].startswith("decimal"):
+        return F.lit(0)
+    cuts = df.agg(F.percentile_approx(column, [k / RANGES for k in range(1, RANGES)], 1000)).first()[0] or []
+    out = F.lit(0)
+    for c in sorted(set(cuts)):
+        out = out + F.coalesce((F.col(column) > F.lit(c)).cast("int"), F.lit(0))
+    return out
+
+
+def running(df: DataFrame, column: str, sums: dict[str, str], by: list[str] = ()) -> DataFrame:
+    """Adds running sums (new name -> column) in the order of ``column``, whose values are distinct (within groups).
+
+    Without groups the order is dealt in ranges: each range has its own window, and adds what the ranges before it sum to.
+    """
+    if by:
+        w = W.partitionBy(*by).orderBy(column).rowsBetween(W.unboundedPreceding, 0)
+        return df.withColumns({new: F.sum(old).over(w) for new, old in sums.items()})
+    d = df.withColumn("_range", _range_of(df, column))
+    totals = d.groupBy("_range").agg(*[F.sum(old).alias(f"_t_{new}") for new, old in sums.items()])
+    before = W.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # at most RANGES rows
+    totals = totals.select(F.col("_range").alias("_own"), *[F.coalesce(F.sum(f"_t_{new}").over(before), F.lit(0)).alias(f"_b_{new}") for new in sums])
+    w = W.partitionBy("_range").orderBy(column).rowsBetween(W.unboundedPreceding, 0)
+    d = d.join(F.broadcast(totals), F.col("_range") == F.col("_own"))  # at most RANGES rows
+    return d.withColumns({new: F.sum(old).over(w) + F.col(f"_b_{new}") for new, old in sums.items()}).drop("_range", "_own", *[f"_b_{new}" for new in sums])
+
+
 def benjamini_hochberg(df: DataFrame, p: str = "p", by: list[str] = (), tests: str | None = None, out: str = "q") -> DataFrame:
     """q = min over larger p of p * n / rank, cut at 1; n is the rows of the group, or the column ``tests``.
 
@@ -32,19 +64,41 @@ def top_per_group(df: DataFrame, by: list[str], order: list[Column], k: int = 1)
 def average_rank(df: DataFrame, column: str, out: str, by: list[str] = ()) -> DataFrame:
     """Ranks from 1; equal values share the mean of theirs."""
     values = df.groupBy(*by, F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    before = F.sum("_c").over(W.partitionBy(*by).orderBy("_v").rowsBetween(W.unboundedPreceding, 0))
-    values = values.withColumn("_r", before - (F.col("_c") - 1) / 2).drop("_c")
+    values = running(values, "_v", {"_b": "_c"}, by).withColumn("_r", F.col("_b") - (F.col("_c") - 1) / 2).drop("_b", "_c")
     on = F.col("d." + column).eqNullSafe(F.col("v._v"))
     for c in by:
         on = on & F.col(f"d.{c}").eqNullSafe(F.col(f"v.{c}"))
     return df.alias("d").join(values.alias("v"), on).select("d.*", F.col("v._r").alias(out))
 
 
+#: Quantiles of the map, and the largest score: the normal quantile of 1e-7 from either end.
+QUANTILES, MOST_SCORE = 1000, 5.199337582605575
+
+
 def rank_gauss(df: DataFrame, column: str, out: str) -> DataFrame:
-    """The normal quantile of (average rank - 0.5) / n."""
-    n = df.agg(F.count(column).alias("_n"))
-    d = average_rank(df, column, "_r").crossJoin(F.broadcast(n))  # one row
-    return d.withColumn(out, normal_quantile((F.col("_r") - 0.5) / F.col("_n"))).drop("_r", "_n")
+    """Values through their quantile map to the normal distribution: the least gives -MOST_SCORE, the largest MOST_SCORE.
+
+    The map has at most QUANTILES points (numbers on the driver) with straight lines between; equal values
+    take the middle of their range.  Fewer than eight rows are z-scored instead.
+    """
+    import numpy as np
+
+    n = df.agg(F.count(column)).first()[0]
+    if n < 8:
+        return scaled(df.withColumn(out, F.col(column).cast("double")), [out])
+    shares = np.linspace(0, 1, min(QUANTILES, n))
+    points = np.array(df.agg(F.percentile(F.col(column).cast("double"), shares.tolist())).first()[0])
+    points = np.maximum.accumulate(points)
+
+    @F.pandas_udf("double")
+    def share(x):
+        up, down = np.interp(x, points, shares), -np.interp(-x, -points[::-1], -shares[::-1])
+        return type(x)(0.5 * (up + down), index=x.index).where(x.notna())
+
+    p = share(F.col(column).cast("double"))
+    d = df.withColumn("_p", p)
+    score = F.when(F.col("_p") <= 1e-7, -MOST_SCORE).when(F.col("_p") >= 1 - 1e-7, MOST_SCORE).otherwise(normal_quantile(F.col("_p")))
+    return d.withColumn(out, score).drop("_p")
 
 
 def normal_quantile(p: Column) -> Column:
@@ -85,10 +139,12 @@ def scaled(df: DataFrame, columns: list[str], how: str = "zscore", tiny: float =
 
 
 def gini(df: DataFrame, size: str = "n", by: list[str] = ()) -> DataFrame:
-    """Gini coefficient of sizes, and the largest and smallest share."""
-    w = W.partitionBy(*by).orderBy(size, *[c for c in df.columns if c != size and c not in by])
-    i = df.withColumn("_i", F.row_number().over(w))
-    total, n = F.sum(size), F.count(F.lit(1))
-    return i.groupBy(*by).agg(
-        (2 * F.sum(F.col("_i") * F.col(size)) / (n * total) - (n + 1) / n).alias("gini"), (F.max(size) / total).alias("largest"), (F.min(size) / total).alias("smallest")
+    """Gini coefficient of sizes, and the largest and smallest share; the window runs over distinct sizes."""
+    by = list(by)
+    d = running(df.groupBy(*by, F.col(size).alias("_s")).agg(F.count(F.lit(1)).alias("_c")), "_s", {"_b": "_c"}, by)
+    c, s, b = F.col("_c"), F.col("_s"), F.col("_b")
+    ranks = c * b - c * (c - 1) / 2  # the sum of the ranks of equal sizes
+    total, n = F.sum(c * s), F.sum(c)
+    return d.groupBy(*by).agg(
+        (2 * F.sum(ranks * s) / (n * total) - (n + 1) / n).alias("gini"), (F.max(s) / total).alias("largest"), (F.min(s) / total).alias("smallest")
     )

@@ -36,12 +36,21 @@ def permuted(df: DataFrame, key: str, column: str, seed: int | str | Column, by:
 
 
 def negative_edges(nodes: DataFrame, edges: DataFrame, n: int, seed: int, tries: int = 4) -> DataFrame:
-    """n pairs u < v of node numbers (columns i 0..m-1, id) that aren't edges (u, v); no self loops."""
+    """n pairs u < v of node numbers (columns i 0..m-1, id) that aren't edges (u, v); no self loops; pairs may repeat.
+
+    Draws are numbered, so that drawing more keeps the first ones; they double until n fit.  ValueError if every pair is an edge.
+    """
     m = nodes.count()
+    known = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u <> v").distinct()
+    if m * (m - 1) // 2 <= known.count():
+        raise ValueError("every pair of nodes is an edge")
     spark = nodes.sparkSession
     draw = lambda s: F.conv(F.substring(hash_key(f"{seed}{s}", F.col("k")), 1, 8), 16, 10).cast("long") % m
-    pairs = spark.range(n * tries).withColumnRenamed("id", "k").select("k", draw("u").alias("i"), draw("v").alias("j"))
     ids = nodes.select(F.col("i"), F.col("id"))
-    pairs = pairs.join(ids.withColumnRenamed("id", "x"), "i").join(ids.select(F.col("i").alias("j"), F.col("id").alias("y")), "j").filter("x <> y")
-    pairs = pairs.select("k", F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
-    return pairs.join(edges.select("u", "v"), ["u", "v"], "left_anti").orderBy("k").limit(n).select("u", "v")
+    while True:
+        pairs = spark.range(n * tries).withColumnRenamed("id", "k").select("k", draw("u").alias("i"), draw("v").alias("j"))
+        pairs = pairs.join(ids.withColumnRenamed("id", "x"), "i").join(ids.select(F.col("i").alias("j"), F.col("id").alias("y")), "j").filter("x <> y")
+        pairs = pairs.select("k", F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).join(known, ["u", "v"], "left_anti")
+        if pairs.limit(n).count() == n:
+            return pairs.orderBy("k").limit(n).select("u", "v")
+        tries *= 2

@@ -50,8 +50,8 @@ def overlap_graph(members: DataFrame, alpha: float = 0.8, statistics: bool = Tru
             {
                 "nlogpmf": -C.log_pmf(o, n, a, b),
                 "cdf": C.cdf(o - 1, n, a, b),
-                "nlogcdf": -F.log(C.cdf(F.least(a, b) - o, n, a, b)),
-                "nlogsf": -C.log_tail(o, F.least(a, b), n, a, b),
+                "nlogcdf": -C.log_cdf(F.least(a, b) - o, n, a, b),
+                "nlogsf": -C.log_survival(o, n, a, b),
             }
         )
     return out

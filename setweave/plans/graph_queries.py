@@ -11,9 +11,8 @@ from . import kg
 from .registry import query, rounded
 from .relational_queries import CANON, EDGES, edges
 
-#: An eleventh of the edges, by a modulo of their ends: what the queries with SQL read, so that DuckDB
-#: ends (components takes a seventh of these again).  Queries without SQL read all edges (``whole``).
-SPARSE = f"{EDGES}, {CANON}, s AS (SELECT u, v, w FROM c WHERE (u * 31 + v * 17) % 11 = 0)"
+#: Suppliers that share an order; an edge of the order's first line with every other.
+WHOLE = f"{EDGES}, {CANON}, s AS (SELECT u, v, w FROM c)"
 NODES = "n AS (SELECT s_suppkey AS id FROM supplier)"
 
 
@@ -25,73 +24,73 @@ def whole(spark, sf) -> DataFrame:
     return graph.canonical(edges(spark, sf))
 
 
-def sparse(spark, sf) -> DataFrame:
-    return whole(spark, sf).filter((F.col("u") * 31 + F.col("v") * 17) % 11 == 0)
-
-
-@query(f"""WITH {SPARSE}, {NODES}, d AS (SELECT id, count(*) AS degree, sum(w) AS strength FROM (SELECT u AS id, w FROM s UNION ALL SELECT v, w FROM s) GROUP BY 1)
+@query(f"""WITH {WHOLE}, {NODES}, d AS (SELECT id, count(*) AS degree, sum(w) AS strength FROM (SELECT u AS id, w FROM s UNION ALL SELECT v, w FROM s) GROUP BY 1)
 SELECT id, coalesce(degree, 0)::BIGINT AS degree, coalesce(strength, 0)::DOUBLE AS strength, round(coalesce(degree, 0) / ((SELECT count(*) FROM n) - 1), 6) AS centrality FROM n LEFT JOIN d USING (id)""")
 def degree_strength(spark, sf):
     n = nodes_of(spark, sf)
-    d = graph.degrees(n, sparse(spark, sf)).crossJoin(F.broadcast(n.agg(F.count(F.lit(1)).alias("n"))))  # one row
+    d = graph.degrees(n, whole(spark, sf)).crossJoin(F.broadcast(n.agg(F.count(F.lit(1)).alias("n"))))  # one row
     return rounded(d.select("id", "degree", "strength", (F.col("degree") / (F.col("n") - 1)).alias("centrality")))
 
 
-@query(f"WITH {SPARSE}, {NODES} SELECT (SELECT count(*) FROM n) AS n, count(*) AS m, round(2 * count(*) / ((SELECT count(*) FROM n) * ((SELECT count(*) FROM n) - 1)), 6) AS density FROM s")
+@query(f"WITH {WHOLE}, {NODES} SELECT (SELECT count(*) FROM n) AS n, count(*) AS m, round(2 * count(*) / ((SELECT count(*) FROM n) * ((SELECT count(*) FROM n) - 1)), 6) AS density FROM s")
 def density(spark, sf):
     n = nodes_of(spark, sf).agg(F.count(F.lit(1)).alias("n"))
-    return rounded(n.crossJoin(sparse(spark, sf).agg(F.count(F.lit(1)).alias("m"))).withColumn("density", graph.density(F.col("n"), F.col("m"))))  # one row each
+    return rounded(n.crossJoin(whole(spark, sf).agg(F.count(F.lit(1)).alias("m"))).withColumn("density", graph.density(F.col("n"), F.col("m"))))  # one row each
 
 
-@query(f"""WITH RECURSIVE {SPARSE}, {NODES}, t AS (SELECT u, v FROM s WHERE (u + v) % 7 = 0), b AS (SELECT u, v FROM t UNION ALL SELECT v, u FROM t),
+@query(f"""WITH RECURSIVE {WHOLE}, {NODES}, b AS (SELECT u, v FROM s UNION ALL SELECT v, u FROM s),
 r(id, c) AS (SELECT id, id FROM n UNION SELECT b.v, r.c FROM r JOIN b ON b.u = r.id) SELECT id, min(c) AS component FROM r GROUP BY 1""")
 def components(spark, sf):
-    return graph.connected_components(nodes_of(spark, sf), sparse(spark, sf).filter("(u + v) % 7 = 0"))
+    return graph.connected_components(nodes_of(spark, sf), whole(spark, sf))
 
 
-TRIANGLES = f"{SPARSE}, {NODES}, t AS (SELECT x.u AS a, x.v AS b, y.v AS c, x.w AS w1, y.w AS w2, z.w AS w3 FROM s x JOIN s y ON x.u = y.u AND x.v < y.v JOIN s z ON z.u = x.v AND z.v = y.v), \
+TRIANGLES = f"{WHOLE}, {NODES}, t AS (SELECT x.u AS a, x.v AS b, y.v AS c, x.w AS w1, y.w AS w2, z.w AS w3 FROM s x JOIN s y ON x.u = y.u AND x.v < y.v JOIN s z ON z.u = x.v AND z.v = y.v), \
 k AS (SELECT id, count(*) AS t, sum(cbrt(w1 / m) * cbrt(w2 / m) * cbrt(w3 / m)) AS wt FROM (SELECT unnest([a, b, c]) AS id, w1, w2, w3 FROM t), (SELECT max(w) AS m FROM s) GROUP BY 1), \
 d AS (SELECT id, count(*) AS d FROM (SELECT unnest([u, v]) AS id FROM s) GROUP BY 1)"
 
 
 @query(f"WITH {TRIANGLES} SELECT id, coalesce(t, 0)::BIGINT AS triangles FROM n LEFT JOIN k USING (id)")
 def triangles(spark, sf):
-    return graph.triangle_counts(nodes_of(spark, sf), sparse(spark, sf))
+    return graph.triangle_counts(nodes_of(spark, sf), whole(spark, sf))
 
 
 @query(f"WITH {TRIANGLES} SELECT round(avg(CASE WHEN coalesce(d, 0) < 2 THEN 0 ELSE 2 * coalesce(t, 0) / (d * (d - 1)) END), 6) AS average_clustering FROM n LEFT JOIN k USING (id) LEFT JOIN d USING (id)")
 def avg_clustering(spark, sf):
-    return rounded(graph.clustering(nodes_of(spark, sf), sparse(spark, sf)).agg(F.avg("clustering").alias("average_clustering")))
+    return rounded(graph.clustering(nodes_of(spark, sf), whole(spark, sf)).agg(F.avg("clustering").alias("average_clustering")))
 
 
 @query(f"WITH {TRIANGLES} SELECT id, round(CASE WHEN coalesce(d, 0) < 2 THEN 0 ELSE 2 * coalesce(wt, 0) / (d * (d - 1)) END, 6) AS clustering FROM n LEFT JOIN k USING (id) LEFT JOIN d USING (id)")
 def weighted_clustering(spark, sf):
-    return rounded(graph.weighted_clustering(nodes_of(spark, sf), sparse(spark, sf)))
+    return rounded(graph.weighted_clustering(nodes_of(spark, sf), whole(spark, sf)))
 
 
-@query(f"""WITH {TRIANGLES}, q AS (SELECT coalesce(sum(t), 0) / 3 AS tri FROM k), w AS (SELECT sum(d * (d - 1) / 2) AS wedges FROM d)
-SELECT round(3 * tri / wedges, 6) AS transitivity, round((SELECT count(*) FROM n WHERE id NOT IN (SELECT id FROM d)) / (SELECT count(*) FROM n), 6) AS isolated FROM q, w""")
+@query(f"""WITH RECURSIVE {TRIANGLES}, b AS (SELECT u, v FROM s UNION ALL SELECT v, u FROM s), r(id, c) AS (SELECT id, id FROM n UNION SELECT b.v, r.c FROM r JOIN b ON b.u = r.id),
+g AS (SELECT max(c) AS c FROM (SELECT c, count(*) AS c FROM (SELECT id, min(c) AS c FROM r GROUP BY 1) GROUP BY 1) x(l, c)), q AS (SELECT coalesce(sum(t), 0) / 3 AS tri FROM k), w AS (SELECT sum(d * (d - 1) / 2) AS wedges FROM d)
+SELECT round(3 * tri / wedges, 6) AS transitivity, round((SELECT count(*) FROM n WHERE id NOT IN (SELECT id FROM d)) / (SELECT count(*) FROM n), 6) AS isolated, round(g.c / (SELECT count(*) FROM n), 6) AS largest_share FROM q, w, g""")
 def transitivity(spark, sf):
-    n, e = nodes_of(spark, sf), sparse(spark, sf)
+    n, e = nodes_of(spark, sf), whole(spark, sf)
     t = graph.triangle_counts(n, e).join(graph.degrees(n, e), "id")
     wedges = F.sum(F.col("degree") * (F.col("degree") - 1) / 2)
-    return rounded(t.agg((F.sum("triangles") / wedges).alias("transitivity"), F.avg((F.col("degree") == 0).cast("double")).alias("isolated")))
+    d = t.agg((F.sum("triangles") / wedges).alias("transitivity"), F.avg((F.col("degree") == 0).cast("double")).alias("isolated"), F.count(F.lit(1)).alias("n"))
+    largest = graph.connected_components(n, e).groupBy("component").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c").alias("c"))
+    return rounded(d.crossJoin(largest).select("transitivity", "isolated", (F.col("c") / F.col("n")).alias("largest_share")))  # one row each
 
 
-@query(f"""WITH RECURSIVE {SPARSE}, {NODES}, a AS (SELECT u, v, w FROM s UNION ALL SELECT v, u, w FROM s), o AS (SELECT u, sum(w) AS o FROM a GROUP BY 1), p AS (SELECT a.u, a.v, w / o AS p FROM a JOIN o USING (u)), z AS (SELECT count(*) AS z FROM n),
+@query(f"""WITH RECURSIVE {WHOLE}, {NODES}, a AS (SELECT u, v, w FROM s UNION ALL SELECT v, u, w FROM s), o AS (SELECT u, sum(w) AS o FROM a GROUP BY 1), p AS (SELECT a.u, a.v, w / o AS p FROM a JOIN o USING (u)), z AS (SELECT count(*) AS z FROM n),
 r AS (SELECT 0 AS k, id, 1.0::DOUBLE / z AS r FROM n, z UNION ALL
 SELECT k + 1, id, 0.85 * (coalesce(sum(g), 0) + max(lost) / max(z)) + 0.15 / max(z) FROM (
-  SELECT r.k, n.id, r.r * p.p AS g, NULL::DOUBLE AS lost FROM r JOIN p ON p.u = r.id JOIN n ON n.id = p.v WHERE r.k < 10
-  UNION ALL SELECT l.k, n.id, NULL, l.lost FROM n, (SELECT k, sum(CASE WHEN id NOT IN (SELECT u FROM o) THEN r ELSE 0 END) AS lost FROM r WHERE k < 10 GROUP BY k) l), z GROUP BY k, id)
-SELECT id, round(r, 8) AS rank FROM r WHERE k = 10""")
+  SELECT r.k, n.id, r.r * p.p AS g, NULL::DOUBLE AS lost FROM r JOIN p ON p.u = r.id JOIN n ON n.id = p.v WHERE r.k < 100
+  UNION ALL SELECT l.k, n.id, NULL, l.lost FROM n, (SELECT k, sum(CASE WHEN id NOT IN (SELECT u FROM o) THEN r ELSE 0 END) AS lost FROM r WHERE k < 100 GROUP BY k) l), z GROUP BY k, id)
+SELECT id, round(r, 6) AS rank FROM r WHERE k = 100""")
 def pagerank(spark, sf):
-    return graph.pagerank(nodes_of(spark, sf), sparse(spark, sf), rounds=10).select("id", F.round("rank", 8).alias("rank"))
+    # a tolerance far under the six digits, so that the SQL's hundred rounds end at the same ranks
+    return graph.pagerank(nodes_of(spark, sf), whole(spark, sf), tolerance=1e-9).select("id", F.round("rank", 6).alias("rank"))
 
 
-@query(f"""WITH {SPARSE}, {NODES}, a AS (SELECT u, v, w FROM s UNION ALL SELECT v, u, w FROM s UNION ALL SELECT id, id, 1.0 FROM n), d AS (SELECT u, sum(w) AS d FROM a GROUP BY 1)
+@query(f"""WITH {WHOLE}, {NODES}, a AS (SELECT u, v, w FROM s UNION ALL SELECT v, u, w FROM s UNION ALL SELECT id, id, 1.0 FROM n), d AS (SELECT u, sum(w) AS d FROM a GROUP BY 1)
 SELECT a.u, a.v, round(w / sqrt(x.d * y.d), 8) AS w FROM a JOIN d x ON x.u = a.u JOIN d y ON y.u = a.v""")
 def norm_adjacency(spark, sf):
-    return rounded(graph.normalized_adjacency(nodes_of(spark, sf), sparse(spark, sf)), 8)
+    return rounded(graph.normalized_adjacency(nodes_of(spark, sf), whole(spark, sf)), 8)
 
 
 @query(f"WITH {EDGES} SELECT v AS id, count(*) AS n FROM e WHERE u = 1 GROUP BY 1")
@@ -99,11 +98,11 @@ def successors(spark, sf):
     return edges(spark, sf).filter("u = 1").groupBy(F.col("v").alias("id")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {SPARSE}, r AS (SELECT s_suppkey AS id, s_nationkey AS label FROM supplier WHERE s_nationkey < 5), b AS (SELECT u, v FROM s UNION ALL SELECT v, u FROM s)
+@query(f"""WITH {WHOLE}, r AS (SELECT s_suppkey AS id, s_nationkey AS label FROM supplier WHERE s_nationkey < 5), b AS (SELECT u, v FROM s UNION ALL SELECT v, u FROM s)
 SELECT id, label FROM r UNION ALL SELECT b.v, min(label) FROM b JOIN r ON b.u = r.id WHERE b.v NOT IN (SELECT id FROM r) GROUP BY 1""")
 def root_labels(spark, sf):
     roots = table(spark, sf, "supplier").filter("s_nationkey < 5").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("label"))
-    near = graph.doubled(sparse(spark, sf)).join(roots, F.col("u") == F.col("id")).groupBy(F.col("v").alias("id")).agg(F.min("label").alias("label"))
+    near = graph.doubled(whole(spark, sf)).join(roots, F.col("u") == F.col("id")).groupBy(F.col("v").alias("id")).agg(F.min("label").alias("label"))
     return roots.unionByName(near.join(roots.select("id"), "id", "left_anti"))
 
 
@@ -112,28 +111,28 @@ def core_numbers(spark, sf):
     return graph.core_numbers(nodes_of(spark, sf), whole(spark, sf))
 
 
-def _grouped(spark, sf, read=sparse) -> tuple[DataFrame, DataFrame]:
-    """Suppliers in two clusterings (A by nation, B by key), and the typed edges inside each group; ``read`` gives the overlap edges."""
+def _grouped(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Suppliers in two clusterings (A by nation, B by key), and the typed edges inside each group."""
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_nationkey") % 4).cast("long").alias("a"), (F.col("s_suppkey") % 4).alias("b"))
     members = kg.groups(s, {"A": "a", "B": "b"})
     nation = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), "s_nationkey")
-    e = read(spark, sf)
+    e = whole(spark, sf)
     relations = [kg.gene_overlap(e, nodes_of(spark, sf)), kg.shared_values(nation, "id", "s_nationkey", "mesh")]
     every, _ = kg.assemble(relations, nodes_of(spark, sf))
     return members, kg.group_edges(every, members)
 
 
-GROUPED = f"""{SPARSE}, {NODES}, gm AS (SELECT 'A' || s_nationkey % 4 AS group_id, s_suppkey AS id FROM supplier UNION ALL SELECT 'B' || s_suppkey % 4, s_suppkey FROM supplier),
+GROUPED = f"""{WHOLE}, {NODES}, gm AS (SELECT 'A' || s_nationkey % 4 AS group_id, s_suppkey AS id FROM supplier UNION ALL SELECT 'B' || s_suppkey % 4, s_suppkey FROM supplier),
 t AS (SELECT u AS a, v AS b, 'gene_overlap' AS edge_type FROM s UNION ALL SELECT x.s_suppkey, y.s_suppkey, 'mesh' FROM supplier x JOIN supplier y ON x.s_nationkey = y.s_nationkey AND x.s_suppkey < y.s_suppkey),
 ge AS (SELECT x.group_id, t.* FROM t JOIN gm x ON x.id = t.a JOIN gm y ON y.id = t.b AND y.group_id = x.group_id)"""
 
 
-@query(f"""WITH {SPARSE}, {NODES}, t AS (SELECT u AS a, v AS b, 'gene_overlap' AS edge_type FROM s UNION ALL SELECT x.s_suppkey, y.s_suppkey, 'mesh' FROM supplier x JOIN supplier y ON x.s_nationkey = y.s_nationkey AND x.s_suppkey < y.s_suppkey
+@query(f"""WITH {WHOLE}, {NODES}, t AS (SELECT u AS a, v AS b, 'gene_overlap' AS edge_type FROM s UNION ALL SELECT x.s_suppkey, y.s_suppkey, 'mesh' FROM supplier x JOIN supplier y ON x.s_nationkey = y.s_nationkey AND x.s_suppkey < y.s_suppkey
 UNION ALL SELECT s_suppkey, -1, 'pathway' FROM supplier) SELECT edge_type, count(*) FILTER (b < 0) AS left_out FROM t GROUP BY 1""")
 def kg_union(spark, sf):
     nation = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), "s_nationkey")
     dangling = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("a"), F.lit(-1).cast("long").alias("b"))
-    parts = [kg.gene_overlap(sparse(spark, sf), nodes_of(spark, sf)), kg.shared_values(nation, "id", "s_nationkey", "mesh"), kg.relation(dangling, "pathway")]
+    parts = [kg.gene_overlap(whole(spark, sf), nodes_of(spark, sf)), kg.shared_values(nation, "id", "s_nationkey", "mesh"), kg.relation(dangling, "pathway")]
     return kg.assemble(parts, nodes_of(spark, sf))[1]
 
 
@@ -156,7 +155,7 @@ tr AS (SELECT x.group_id, unnest([x.u, x.v, y.v]) AS id FROM se x JOIN se y ON x
 tc AS (SELECT group_id, id, count(*) AS t FROM tr GROUP BY ALL), dg AS (SELECT group_id, u AS id, count(*) AS d FROM b GROUP BY ALL),
 cl AS (SELECT gm.group_id, avg(CASE WHEN coalesce(d, 0) < 2 THEN 0 ELSE 2 * coalesce(t, 0) / (d * (d - 1)) END) AS ac, count(*) AS n FROM gm LEFT JOIN dg USING (group_id, id) LEFT JOIN tc USING (group_id, id) GROUP BY 1),
 m AS (SELECT group_id, count(*) AS m FROM se GROUP BY 1), e2 AS (SELECT group_id, count(*) AS n_edges FROM ge GROUP BY 1)
-SELECT group_id, n AS n_nodes, coalesce(n_edges, 0)::BIGINT AS n_edges, round(2 * coalesce(m, 0) / (n * (n - 1)), 6) AS density, n_components, round(2 * coalesce(m, 0) / n, 6) AS mean_degree, round(ac, 6) AS average_clustering
+SELECT group_id, n AS n_nodes, coalesce(n_edges, 0)::BIGINT AS n_edges, CASE WHEN n > 1 THEN round(2 * coalesce(m, 0) / (n * (n - 1)), 6) ELSE 0.0 END AS density, n_components, round(2 * coalesce(m, 0) / n, 6) AS mean_degree, round(ac, 6) AS average_clustering
 FROM cl JOIN cc USING (group_id) LEFT JOIN m USING (group_id) LEFT JOIN e2 USING (group_id)""")
 def group_kg_stats(spark, sf):
     return rounded(kg.statistics(*_grouped(spark, sf)))
@@ -164,22 +163,27 @@ def group_kg_stats(spark, sf):
 
 @query()
 def group_centrality(spark, sf):
-    members, e = _grouped(spark, sf, whole)
+    members, e = _grouped(spark, sf)
     simple = e.select("group_id", F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
     return rounded(graph.centrality(simple, members))
 
 
 @query()
 def matched_comparison(spark, sf):
-    members, e = _grouped(spark, sf, whole)
+    members, e = _grouped(spark, sf)
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_nationkey") % 4).cast("long").alias("a"), (F.col("s_suppkey") % 4).alias("b"))
     metrics = kg.coverage(members, e, ("gene_overlap", "mesh"))
     return rounded(kg.matched_comparison(s, "a", "b", metrics, ["gene_overlap", "mesh"]))
 
 
-@query()
+@query(f"""WITH {GROUPED}, dg AS (SELECT group_id, id, count(*) AS d FROM (SELECT group_id, unnest([a, b]) AS id FROM ge) GROUP BY ALL),
+rk AS (SELECT gm.group_id, s_name AS name, row_number() OVER (PARTITION BY gm.group_id ORDER BY coalesce(d, 0) DESC, gm.id) AS r FROM gm JOIN supplier ON s_suppkey = gm.id LEFT JOIN dg USING (group_id, id)),
+st AS (SELECT group_id, string_agg(name, '; ' ORDER BY r) AS sets FROM rk WHERE r <= 5 GROUP BY 1),
+tt AS (SELECT group_id, term, count(*) AS c FROM gm JOIN (SELECT DISTINCT l_suppkey AS id, p_type AS term FROM lineitem JOIN part ON l_partkey = p_partkey) USING (id) GROUP BY ALL),
+tk AS (SELECT group_id, term, row_number() OVER (PARTITION BY group_id ORDER BY c DESC, term) AS r FROM tt), tm AS (SELECT group_id, string_agg(term, '; ' ORDER BY r) AS terms FROM tk WHERE r <= 10 GROUP BY 1)
+SELECT group_id, 'Sets: ' || sets || '. Terms: ' || coalesce(terms, 'none') AS prompt, 'Sets: ' || sets AS summary FROM st LEFT JOIN tm USING (group_id)""")
 def cluster_context(spark, sf):
-    members, e = _grouped(spark, sf, whole)
+    members, e = _grouped(spark, sf)
     meta = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
     terms = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("id"), F.col("p_type").alias("term"))
     from ..sources.connectors import batched_prompts
@@ -187,7 +191,10 @@ def cluster_context(spark, sf):
     return batched_prompts(kg.cluster_context(members, e, meta, terms))
 
 
-@query()
+@query(f"""WITH {WHOLE}, f AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT s_suppkey AS id FROM supplier WHERE s_suppkey IN (SELECT id FROM f)),
+o AS (SELECT u, v, w FROM s WHERE u IN (SELECT id FROM n) AND v IN (SELECT id FROM n)), a AS (SELECT u, v, w FROM o UNION ALL SELECT v, u, w FROM o UNION ALL SELECT id, id, 1.0 FROM n),
+d AS (SELECT u, sum(w) AS d FROM a GROUP BY 1), p AS (SELECT a.u AS id, i, sum(a.w / sqrt(x.d * y.d) * f.v[i]) AS x FROM a JOIN d x ON x.u = a.u JOIN d y ON y.u = a.v JOIN f ON f.id = a.v, unnest(range(1, 65)) r(i) GROUP BY ALL)
+SELECT id, round(sqrt(sum(x * x)), 4) AS norm FROM p GROUP BY 1""")
 def sage_propagation(spark, sf):
     """One propagation step of a graph encoder over the normalised adjacency."""
     f = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), V.doubles(F.col("embedding")).alias("v"))

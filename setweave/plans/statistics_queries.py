@@ -93,7 +93,7 @@ def bh_fdr(spark, sf):
     return rounded(ranking.benjamini_hochberg(table(spark, sf, "events").select("event_type", "event_id", p.alias("p")), "p", ["event_type"]))
 
 
-@query(f"""WITH {MEMBERS}, s AS (SELECT s_suppkey AS gs_id, s_nationkey % 4 AS cluster, '0.80' AS threshold FROM supplier WHERE s_nationkey < 8),
+@query(f"""WITH {MEMBERS}, s AS (SELECT s_suppkey AS gs_id, s_nationkey % 4 AS cluster, '0.80' AS threshold FROM supplier),
 gc AS (SELECT DISTINCT threshold, cluster, gene FROM s JOIN m USING (gs_id)), n AS (SELECT threshold, cluster, count(*) AS n FROM gc GROUP BY ALL), u AS (SELECT count(DISTINCT gene) AS universe FROM m),
 z AS (SELECT gs_id AS term, count(*) AS g FROM m GROUP BY 1 HAVING count(*) BETWEEN 10 AND 505), k AS (SELECT count(*) AS tests FROM z),
 c AS (SELECT threshold, cluster, gs_id AS term, count(*) AS a FROM gc JOIN m USING (gene) GROUP BY ALL),
@@ -102,7 +102,7 @@ r AS (SELECT *, p * tests / count(*) OVER (PARTITION BY threshold, cluster ORDER
 q AS (SELECT *, least(1.0, min(raw) OVER (PARTITION BY threshold, cluster ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q0 FROM r)
 SELECT threshold, cluster, term, a, g, n, round(er, 5) AS er, round(p, 5) AS p, round(min(q0) OVER (PARTITION BY threshold, cluster, p), 5) AS q FROM q""")
 def ora_enrichment(spark, sf):
-    s = table(spark, sf, "supplier").filter("s_nationkey < 8").select(F.col("s_suppkey").alias("gs_id"), (F.col("s_nationkey") % 4).alias("cluster"), F.lit("0.80").alias("threshold"))
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("gs_id"), (F.col("s_nationkey") % 4).alias("cluster"), F.lit("0.80").alias("threshold"))
     d = enrichment.over_representation(members(spark, sf), s, 10, 505).drop("q")
     tests = setsim.sizes(members(spark, sf)).filter("n between 10 and 505").agg(F.count(F.lit(1)).alias("_t"))
     d = d.withColumns({"p": F.round("p", 9), "er": F.round("er", 9)}).crossJoin(F.broadcast(tests))  # one row
@@ -185,7 +185,7 @@ def label_permutation(spark, sf):
 
 
 @query(f"""WITH {EDGES}, o AS (SELECT DISTINCT least(u, v) AS u, greatest(u, v) AS v FROM e WHERE u <> v), n AS (SELECT s_suppkey AS id, row_number() OVER (ORDER BY s_suppkey) - 1 AS i, count(*) OVER () AS m FROM supplier),
-k AS (SELECT unnest(range(0, 800)) AS k, (SELECT max(m) FROM n) AS m),
+k AS (SELECT unnest(range(0, 400000)) AS k, (SELECT max(m) FROM n) AS m),
 d AS (SELECT k, ('0x' || substr(md5('7u:' || k), 1, 8))::BIGINT % m AS i, ('0x' || substr(md5('7v:' || k), 1, 8))::BIGINT % m AS j FROM k),
 p AS (SELECT k, least(x.id, y.id) AS u, greatest(x.id, y.id) AS v FROM d JOIN n x ON x.i = d.i JOIN n y ON y.i = d.j WHERE x.id <> y.id)
 SELECT u, v FROM p WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.u = p.u AND o.v = p.v) ORDER BY k LIMIT 200""")

@@ -67,9 +67,7 @@ def spearman_pearson(spark, sf):
     a, b = halves(spark, sf)
     d = a.join(b.select("id", F.col("v").alias("w")), "id")
     rows = d.agg(F.avg(V.cosine(F.col("v"), F.col("w"))).alias("row_cosine"))
-    unit = d.select("id", V.l2_normalized(F.col("v")).alias("v"), V.l2_normalized(F.col("w")).alias("w"))
-    x, y = unit.alias("x"), unit.alias("y")
-    p = x.join(y, F.col("x.id") < F.col("y.id")).select(F.round(V.dot(F.col("x.v"), F.col("y.v")), 9).alias("sa"), F.round(V.dot(F.col("x.w"), F.col("y.w")), 9).alias("sb"))
+    p = evaluation.pair_cosines(d).select(F.round("sa", 9).alias("sa"), F.round("sb", 9).alias("sb")).persist()
     r = ranking.average_rank(ranking.average_rank(p, "sa", "ra"), "sb", "rb")
     return rounded(r.agg(F.corr("sa", "sb").alias("pearson"), F.corr("ra", "rb").alias("spearman")).crossJoin(rows), 5)  # one row each
 
@@ -169,16 +167,24 @@ def text_coherence(spark, sf):
     return rounded(evaluation.coherence(evaluation.tfidf(d), d), 5)
 
 
-@query(f"""WITH {HALVES} SELECT id, round(list_sum(list_transform(range(1, 33), lambda i: 0.3 * a[i] + 0.7 * b[i])), 5) + 0.0 AS weighted, len(a || b)::BIGINT AS concatenated,
-round(list_sum(list_transform(range(1, 17), lambda i: 0.3 * a[i] + 0.7 * b[i])), 5) + 0.0 AS cut FROM h""")
+def _weighed(v: str) -> str:
+    """A checksum of a list in SQL: its entries times their places."""
+    return f"round(list_sum(list_transform({v}, lambda x, i: x * i)), 4) + 0.0"
+
+
+@query(f"""WITH {HALVES}, u AS (SELECT *, a[1:16] AS s, list_transform(b, lambda x: x / sqrt(list_sum(list_transform(b, lambda y: y * y)))) AS nb FROM h),
+n AS (SELECT *, list_transform(s, lambda x: x / sqrt(list_sum(list_transform(s, lambda y: y * y)))) AS ns FROM u)
+SELECT id, {_weighed("list_transform(range(1, 33), lambda i: 0.3 * a[i] + 0.7 * b[i])")} AS weighted, {_weighed("list_concat(list_transform(s, lambda x: 0.3 * x), list_transform(b, lambda x: 0.7 * x))")} AS concatenated,
+{_weighed("b")} AS graph_base, {_weighed("s")} AS density_base, {_weighed("list_concat(list_transform(ns, lambda x: 0.3 * x), list_transform(nb, lambda x: 0.7 * x))")} AS both_normalized, {_weighed("nb")} AS graph_normalized FROM n""")
 def merged_embeddings(spark, sf):
     a, b = halves(spark, sf)
     d = features.aligned(a, b)
-    total = lambda v: F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x), 5) + 0.0
-    x, y = F.col("a"), F.col("b")
+    total = lambda v: F.round(F.aggregate(F.transform(v, lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x), 4) + 0.0
+    of = lambda name, *how: total(V.merged(F.col("a"), F.col("b"), *how)).alias(name)
     return d.select(
-        "id", total(V.merged(x, y, "weighted", 0.3)).alias("weighted"), F.size(V.merged(x, y, "concatenate")).cast("long").alias("concatenated"), total(V.merged(x, y, "weighted", 0.3, 16)).alias("cut")
-    )
+        "id", of("weighted", "weighted", 0.3), of("concatenated", "concatenate", 0.3, 16), of("graph_base", "graph_base", 0.3, 16), of("density_base", "density_base", 0.3, 16),
+        of("both_normalized", "concatenate", 0.3, 16, "both"), of("graph_normalized", "graph_base", 0.3, 16, "emb2"),
+    )
 
 
 @query()
@@ -230,7 +236,12 @@ def feature_recipes(spark, sf):
     return rounded(d.groupBy("recipe").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim"), F.avg(V.norm(F.col("v"))).alias("norm")), 4)
 
 
-@query()
+@query("""WITH m AS (SELECT ln(1 + greatest(o_totalprice, 0)) AS size, (o_orderstatus = 'F')::INT::DOUBLE AS up, (o_orderstatus <> 'F')::INT::DOUBLE AS dn, 0.0 AS other, (o_custkey % 2)::DOUBLE AS pubmed,
+(year(o_orderdate) - 1990) / 40 AS year, 0.0 AS no_year, trim(c_mktsegment) AS organism FROM orders JOIN customer ON o_custkey = c_custkey),
+t AS (SELECT organism, row_number() OVER (ORDER BY count(*) DESC, organism) - 1 AS k FROM m WHERE organism <> '' GROUP BY 1 QUALIFY k < 8),
+l AS (SELECT unnest([0, 1, 2, 3, 4, 5, 6]) AS i, unnest([size, up, dn, other, pubmed, year, no_year]) AS x FROM m UNION ALL SELECT 7 + k, (m.organism = t.organism)::INT::DOUBLE FROM m, t),
+s AS (SELECT i, count(*) AS n, avg(x) AS mean, stddev_pop(x) AS sd FROM l GROUP BY 1)
+SELECT i::INT AS i, n, round(avg((x - mean) / CASE WHEN sd <= 1e-12 THEN 1 ELSE sd END), 4) + 0.0 AS mean, round(stddev_pop((x - mean) / CASE WHEN sd <= 1e-12 THEN 1 ELSE sd END), 4) AS sd FROM l JOIN s USING (i) GROUP BY ALL""")
 def metadata_features(spark, sf):
     c = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     meta = c.select(
@@ -238,7 +249,7 @@ def metadata_features(spark, sf):
         (F.col("o_custkey") % 2).alias("pubmed_present"), F.year("o_orderdate").cast("string").alias("pub_years"), F.col("c_mktsegment").alias("organism"),
     )
     d = features.metadata_features(meta)
-    return rounded(d.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("x"), 6).alias("mean"), F.stddev_pop("x").alias("sd")), 4)
+    return rounded(d.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.count(F.lit(1)).alias("n"), (F.round(F.avg("x"), 4) + 0.0).alias("mean"), F.stddev_pop("x").alias("sd")), 4)
 
 
 @query(f"""WITH {VEC}, b AS (SELECT id, floor((v[1] + 1) / 0.1)::BIGINT AS bin FROM x) SELECT bin, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM b GROUP BY 1""")

@@ -5,7 +5,6 @@ import numpy as np
 import pytest
 
 from setweave.catalog import QUERIES
-from setweave.plans import graph_queries as G
 from setweave.plans.relational_queries import CANON, EDGES
 
 from .oracle import views
@@ -59,8 +58,3 @@ def test_group_degrees_count_all_edges(spark, con):
     assert got == pytest.approx(want, abs=1e-5)
 
 
-@pytest.mark.parametrize("name", ["core_numbers", "group_centrality", "matched_comparison", "cluster_context", "sage_propagation", "gnn_linkpred"])
-def test_no_modulo_of_edges(spark, monkeypatch, name):
-    monkeypatch.setattr(G, "sparse", None)
-    monkeypatch.setattr(G._grouped, "__defaults__", (None,))
-    assert QUERIES[name](spark, SF).count() > 0
