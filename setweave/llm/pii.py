@@ -352,9 +352,10 @@ class Detector:
 
 
 def fit(docs: DataFrame) -> bytes:
-    """A detector that has learnt from the SAMPLE_DOCS documents of least hash (of doc_id, then of the text)."""
-    d = shared.project(docs, "doc_id", "text").filter("text is not null")
-    rows = d.select("text", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t")).orderBy("h", "t").limit(SAMPLE_DOCS).collect()
+    """A detector that has learnt from the SAMPLE_DOCS documents of least hash (of doc_id, then of the text); repeated rows count once."""
+    d = shared.project(docs, "doc_id", "text").filter("text is not null").select("text", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"))
+    keys = d.select("h", "t").orderBy("h", "t").limit(SAMPLE_DOCS).distinct()  # texts aren't sent for rows that don't win
+    rows = d.join(F.broadcast(keys), ["h", "t"]).groupBy("h", "t").agg(F.min("text").alias("text")).orderBy("h", "t").collect()
     return pickle.dumps(Detector([r["text"] for r in rows]))
 
 
