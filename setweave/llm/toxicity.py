@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import shared
 
 WINDOW, STRIDE = 32, 16
+#: Windows of training stand side by side: every token once, at half the cost of overlapping ones.
+TRAIN_STRIDE = 32
 BUCKETS, DIM, HIDDEN = 1 << 16, 8, 8
 PREFIXES, SUFFIX = (4, 5, 6, 7), 4  # in UTF-8 bytes
 #: Bound of the training sample: labelled rows of each class, whose texts are read whole.
@@ -55,11 +57,11 @@ def features(word: str) -> list[int]:
 N_FEATURES = 2 + len(PREFIXES)
 
 
-def windows_of(n: int) -> list[tuple[int, int]]:
+def windows_of(n: int, stride: int = STRIDE) -> list[tuple[int, int]]:
     """(start, length) of windows that cover n tokens; one empty window for none."""
     if n <= WINDOW:
         return [(0, n)]
-    return [(s, min(WINDOW, n - s)) for s in range(0, n - WINDOW + STRIDE, STRIDE)]
+    return [(s, min(WINDOW, n - s)) for s in range(0, n - WINDOW + stride, stride)]
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -173,7 +175,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> dict[str, np.nd
         part, size = [], 0
         for i in g.permutation(len(texts)):
             part.append(i)
-            size += len(windows_of(len(ids[i])))
+            size += len(windows_of(len(ids[i]), TRAIN_STRIDE))
             if size >= BATCH_WINDOWS:
                 step += 1
                 _update(p, [ids[i] for i in part], np.array([labels[i] for i in part]), weight[part], first, second, step, rate, g)
@@ -182,7 +184,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> dict[str, np.nd
 
 
 def _update(p, docs, y, weight, first, second, step, rate, g) -> None:
-    cut = [(k, s, n) for k, d in enumerate(docs) for s, n in windows_of(len(d))]
+    cut = [(k, s, n) for k, d in enumerate(docs) for s, n in windows_of(len(d), TRAIN_STRIDE)]
     of = np.array([k for k, _, _ in cut])
     # some whole-word inputs are left out, so that the model also learns from characters
     whole = g.random((WINDOW, len(cut))) < 0.7
