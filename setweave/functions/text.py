@@ -73,3 +73,19 @@ def html_escaped(x: Column) -> Column:
     for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         x = F.replace(x, F.lit(raw), F.lit(safe))
     return x
+
+
+def first_of(x: Column, n: int) -> Column:
+    """The first n entries of a list."""
+    return F.slice(x, 1, n)
+
+
+def formatted(value: Column, name: Column) -> Column:
+    """A number as text by its column's name: three digits for shares, four for densities, two and a cross for ratios, else one; a dash for none."""
+    share = name.contains("pct") | name.startswith("cov_")
+    fine = name.contains("density") | name.contains("clustering")
+    text = (
+        F.when(share, F.format_string("%.3f", value)).when(fine, F.format_string("%.4f", value))
+        .when(name.contains("ratio"), F.format_string("%.2f\u00d7", value)).otherwise(F.format_number(value, 1))
+    )
+    return F.when(value.isNull() | F.isnan(value), "\u2014").otherwise(text)

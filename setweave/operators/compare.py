@@ -81,3 +81,10 @@ def representative(df: DataFrame, key: str, value: str) -> DataFrame:
     """The row nearest to the median (ties: least key)."""
     m = df.agg(F.median(value).alias("_m"))
     return df.crossJoin(F.broadcast(m)).orderBy(F.abs(F.col(value) - F.col("_m")), key).limit(1).drop("_m")  # one row
+
+
+def best_recipe(board: DataFrame, key: str, score: str, baseline: str, controls: tuple[str, ...] = ("shuffle_control", "random_control")) -> DataFrame:
+    """One row: the recipe of best score that is neither the baseline nor a control (ties: least name); the baseline if there is none."""
+    rest = board.filter(~F.col(key).isin(baseline, *controls)).filter(F.col(score).isNotNull()).orderBy(F.desc(score), key).limit(1).select(key)
+    none = rest.agg(F.count(F.lit(1)).alias("_n")).filter("_n = 0").select(F.lit(baseline).alias(key))
+    return rest.unionByName(none)

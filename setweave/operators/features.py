@@ -114,3 +114,18 @@ def hashed_text_embedding(text: Column, dim: int = 64) -> Column:
     sign = lambda w: F.when(F.xxhash64(w, F.lit(1)) % 2 == 0, 1.0).otherwise(-1.0)
     counted = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(F.filter(words, lambda w: slot(w) == i), F.lit(0.0), lambda s, w: s + sign(w)))
     return V.l2_normalized(counted)
+
+
+def missing_ids(ids: DataFrame, sources: dict[str, DataFrame], key: str = "id") -> DataFrame:
+    """(source, key) of the ids that each source lacks."""
+    parts = [ids.select(key).distinct().join(d.select(key), key, "left_anti").select(F.lit(name).alias("source"), key) for name, d in sources.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def scatter(points: DataFrame, label: str, palette: list[str], key: str = "id", point: str = "p") -> DataFrame:
+    """(key, x, y, label, colour): what a scatter plot draws; labels take the palette's colours in turn."""
+    colour = F.get(F.array(*map(F.lit, palette)), F.pmod(F.col(label), F.lit(len(palette))).cast("int"))
+    return points.select(key, F.col(point)[0].alias("x"), F.col(point)[1].alias("y"), F.col(label).alias("label"), colour.alias("colour"))
