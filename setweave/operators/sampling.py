@@ -38,12 +38,12 @@ def permuted(df: DataFrame, key: str, column: str, seed: int | str | Column, by:
 def negative_edges(nodes: DataFrame, edges: DataFrame, n: int, seed: int, tries: int = 4) -> DataFrame:
     """n pairs u < v of node numbers (columns i 0..m-1, id) that aren't edges (u, v); no self loops; pairs may repeat.
 
-    Draws are numbered, so that drawing more keeps the first ones; they double until n fit.  ValueError if every pair is an edge.
+    Draws are numbered, so that drawing more keeps the first ones; they double until n fit.  Where every pair is an edge there is none, and no row.
     """
     m = nodes.count()
     known = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u <> v").distinct()
     if m * (m - 1) // 2 <= known.count():
-        raise ValueError("every pair of nodes is an edge")
+        return known.limit(0)
     spark = nodes.sparkSession
     draw = lambda s: F.conv(F.substring(hash_key(f"{seed}{s}", F.col("k")), 1, 8), 16, 10).cast("long") % m
     ids = nodes.select(F.col("i"), F.col("id"))
