@@ -93,10 +93,10 @@ class OffsetNormalizer:
         while self.squeeze and out and out[-1] == 32:
             out.pop()
             source.pop()
-        if not out:
+        if not out and (self.squeeze or not self.prefix):
             return b"", np.array([len(data)])
-        if self.prefix:
-            out[:0], source[:0] = b" ", [source[0]]
+        if self.prefix:  # also where the map leaves nothing of the text
+            out[:0], source[:0] = b" ", [source[0] if source else 0]
         return self._escape(np.frombuffer(bytes(out), np.uint8), np.array([*source, len(data)]))
 
     def _identity(self, data: bytes) -> tuple[bytes, np.ndarray]:
