@@ -252,3 +252,46 @@ def test_link_prediction_learns(spark):
     f = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
     run, ids = linkpred.holdout(nodes, f, edge_frame(spark, pairs), config=linkpred.Config(epochs=40, hidden=16, out=8))
     assert run.embedding.shape == (len(ids), 8) and max(r["val_auc"] for r in run.curve) > 0.8
+
+
+def test_tails_against_exact_sums(spark):
+    from math import comb, log
+
+    from setweave.functions import combinatorics as C
+
+    cases = [(60, 20, 15, k) for k in range(0, 16)] + [(3000, 400, 300, k) for k in (0, 1, 20, 40, 41, 80, 299, 300)] + [(30, 25, 20, k) for k in range(14, 21)]
+    d = spark.createDataFrame(cases, "n long, a long, b long, x long")
+    c = [F.col(k) for k in ("x", "n", "a", "b")]
+    for r in d.select("n", "a", "b", "x", C.log_survival(*c).alias("s"), C.log_cdf(*c).alias("c")).collect():
+        ways = [comb(r["a"], i) * comb(r["n"] - r["a"], r["b"] - i) if r["b"] - i >= 0 else 0 for i in range(min(r["a"], r["b"]) + 1)]
+        total, up, down = sum(ways), sum(ways[r["x"] :]), sum(ways[: r["x"] + 1])
+        assert r["s"] == pytest.approx(log(up) - log(total), abs=1e-9, rel=1e-9)
+        assert (r["c"] == float("-inf") and not down) or r["c"] == pytest.approx(log(down) - log(total), abs=1e-9, rel=1e-9)
+
+
+def test_rank_gauss_through_the_quantile_map(spark):
+    import numpy as np
+
+    from setweave.operators import ranking
+
+    g = np.random.default_rng(1)
+    for n in (40, 1500):
+        x = np.round(g.normal(size=n), 2)
+        shares = np.linspace(0, 1, min(n, 1000))
+        points = np.percentile(x, shares * 100)
+        p = 0.5 * (np.interp(x, points, shares) - np.interp(-x, -points[::-1], -shares[::-1]))
+        from statistics import NormalDist
+
+        want = [max(-5.19934, min(5.19934, NormalDist().inv_cdf(min(max(v, 1e-7), 1 - 1e-7)))) for v in p]
+        d = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "id int, x double")
+        got = [r["y"] for r in ranking.rank_gauss(d, "x", "y").orderBy("id").collect()]
+        assert got == pytest.approx(want, abs=1e-4)
+    few = ranking.rank_gauss(spark.createDataFrame([(1.0,), (3.0,)], "x double"), "x", "y")
+    assert sorted(r["y"] for r in few.collect()) == [-1.0, 1.0]
+
+
+def test_running_sums_in_ranges(spark):
+    from setweave.operators import ranking
+
+    d = spark.range(1000).select((F.col("id") * 7 % 1000).alias("v"), F.lit(2).alias("w"))
+    assert all(r["s"] == 2 * (r["v"] + 1) for r in ranking.running(d, "v", {"s": "w"}).collect())
