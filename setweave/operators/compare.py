@@ -77,6 +77,39 @@ def metric_table(long: DataFrame, keys: list[str], methods: list[str]) -> DataFr
     return long.groupBy(*keys).pivot("method", methods).agg(F.first("value"))
 
 
+def search(trials: DataFrame, baseline: DataFrame, key: str, weights: dict[str, tuple[float, bool]], guards: dict[str, bool], relative: float = 0.03, floor: float = 0.01) -> DataFrame:
+    """A grid search's outcome: (key, score, n_violations, feasible, place) of trials (key, one column a metric), best first.
+
+    ``weights``: metric -> (weight, higher is better), scored against the one baseline row.  ``guards``: metric ->
+    one-sided; it may not drift from the baseline beyond max(floor, relative * |base|), or only not rise if one-sided.
+    A trial that lacks a guarded metric breaks that guard.  Feasible trials come first, then higher scores, then lesser keys.
+    """
+    names = [*dict.fromkeys([*weights, *guards])]
+    d = trials.select(key, *names).crossJoin(F.broadcast(baseline.select(*[F.col(m).alias(f"base_{m}") for m in names])))  # one row
+    broken = F.lit(0)
+    for m, one_sided in guards.items():
+        drift = F.col(m) - F.col(f"base_{m}")
+        most = F.greatest(F.lit(floor), relative * F.abs(F.col(f"base_{m}")))
+        broken = broken + F.coalesce(((drift if one_sided else F.abs(drift)) > most).cast("int"), F.lit(1))
+    d = d.select(key, F.round(improvement(weights), 9).alias("score"), broken.alias("n_violations")).withColumn("feasible", F.col("n_violations") == 0)
+    # as many rows as the grid has points
+    return d.withColumn("place", F.row_number().over(W.orderBy(F.desc("feasible"), F.desc("score"), key)).cast("int"))
+
+
+def over_seeds(runs: DataFrame, chosen_by: str, keys: list[str] = (), seed: str = "seed") -> DataFrame:
+    """[keys], metric, n, mean, std (sample; 0 for one), representative: long (keys, seed, metric, value) over the seeds.
+
+    The representative is the seed whose value of ``chosen_by`` is nearest to the median (ties: least seed).
+    """
+    keys = list(keys)
+    own = runs.filter(F.col("metric") == chosen_by)
+    middle = own.groupBy(*keys).agg(F.median("value").alias("_m"))
+    near = own.join(middle, keys) if keys else own.crossJoin(F.broadcast(middle))  # one row
+    pick = near.groupBy(*keys).agg(F.min_by(seed, F.struct(F.round(F.abs(F.col("value") - F.col("_m")), 9), F.col(seed))).alias("representative"))
+    s = runs.groupBy(*keys, "metric").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std"))
+    return s.join(pick, keys, "left") if keys else s.crossJoin(F.broadcast(pick))  # one row
+
+
 def representative(df: DataFrame, key: str, value: str) -> DataFrame:
     """The row nearest to the median (ties: least key)."""
     m = df.agg(F.median(value).alias("_m"))

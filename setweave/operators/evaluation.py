@@ -172,11 +172,48 @@ def tfidf(df: DataFrame, key: str = "id", text: str = "text", min_df: int = 2, m
     Terms are runs of two or more letters or digits in lower case; of ``max_features`` terms the most
     frequent stay (ties: first in the alphabet).  Texts without a term give no rows.
     """
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 2)
-    tf = df.select(F.col(key).alias("k"), F.explode(words).alias("term"))
-    if stop:
-        tf = tf.filter(~F.col("term").isin(list(stop)))
-    tf = tf.groupBy("k", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return _weighted(df, key, _words(F.col(text), stop), min_df, max_features)
+
+
+def ngram_tfidf(
+    df: DataFrame, key: str = "id", text: str = "text", words: tuple[int, int] = (1, 2), chars: tuple[int, int] = (3, 5),
+    min_df: int = 2, max_features: int | None = None, stop: list[str] = (),
+) -> DataFrame:
+    """(key, term, w): weights of word n-grams (terms "w:...") beside those of character n-grams within words ("c:..."), each part of unit length."""
+    own = _words(F.col(text), stop)
+    runs = F.flatten(F.transform(F.sequence(F.lit(words[0]), F.lit(words[1])), lambda n: _joined_runs(own, n)))
+    by_word = _weighted(df, key, runs, min_df, max_features)
+    by_char = _weighted(df, key, _chars(F.col(text), *chars), min_df, max_features)
+    tagged = lambda d, t: d.withColumn("term", F.concat(F.lit(t), "term"))
+    return tagged(by_word, "w:").unionByName(tagged(by_char, "c:"))
+
+
+def _words(text: Column, stop: list[str] = ()) -> Column:
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 2)
+    return F.filter(words, lambda w: ~w.isin(list(stop))) if stop else words
+
+
+def _joined_runs(words: Column, n: Column) -> Column:
+    """Runs of n words, joined by spaces."""
+    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+
+
+def _chars(text: Column, least: int, most: int) -> Column:
+    """Runs of ``least`` to ``most`` characters of each word between two spaces; a word that is no longer than a run gives itself, once."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
+
+    def of(w: Column, n: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w) - n + 1)), lambda i: F.substring(w, i, n))
+        return F.when((n == least) | (F.length(w) >= n), runs).otherwise(F.array().cast("array<string>"))
+
+    padded = F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+    return F.flatten(F.transform(padded, lambda w: F.flatten(F.transform(F.sequence(F.lit(least), F.lit(most)), lambda n: of(w, n)))))
+
+
+def _weighted(df: DataFrame, key: str, terms: Column, min_df: int, max_features: int | None) -> DataFrame:
+    """(key, term, w) of arrays of terms."""
+    tf = df.select(F.col(key).alias("k"), F.explode(terms).alias("term")).groupBy("k", "term").agg(F.count(F.lit(1)).alias("tf"))
     terms = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).filter(F.col("df") >= min_df)
     if max_features:
         terms = terms.orderBy(F.desc("cf"), "term").limit(max_features)
@@ -188,13 +225,16 @@ def tfidf(df: DataFrame, key: str = "id", text: str = "text", min_df: int = 2, m
 
 
 def coherence(weights: DataFrame, labels: DataFrame, key: str = "id", label: str = "label") -> DataFrame:
-    """One row: mean cosine of each row with its cluster's centroid, over all rows of ``labels``.
+    """One row: mean cosine of each row with its cluster's centroid, over all rows of ``labels``; a row without terms counts 0.
 
-    Rows are of unit length, so a cluster's cosines sum to |sum of its rows|: no centroid is joined back.
+    With s the sum of a cluster's rows and u that of its rows at unit length, its cosines sum to u . s / |s|:
+    no centroid is joined back.
     """
     n = labels.agg(F.count(F.lit(1)).alias("n"))
-    sums = weights.join(labels.select(key, label), key).groupBy(label, "term").agg(F.sum("w").alias("w"))
-    total = sums.groupBy(label).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("s")).agg(F.sum("s").alias("s"))
+    length = weights.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
+    own = weights.join(labels.select(key, label), key).join(length, key)
+    sums = own.groupBy(label, "term").agg(F.sum("w").alias("w"), F.sum(F.try_divide(F.col("w"), F.col("len"))).alias("u"))
+    total = sums.groupBy(label).agg(F.try_divide(F.sum(F.col("u") * F.col("w")), F.sqrt(F.sum(F.col("w") * F.col("w")))).alias("s")).agg(F.sum("s").alias("s"))
     return total.crossJoin(n).select((F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("coherence"))  # one row each
 
 

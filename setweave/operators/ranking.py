@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 RANGES = 32
 
 
-def _range_of(df: DataFrame, column: str) -> Column:
+def range_of(df: DataFrame, column: str) -> Column:
     """A number of the range that a value lies in, growing with the value; cut at approximate quantiles (at most RANGES numbers on the driver)."""
     if dict(df.dtypes)[column] not in ("double", "float", "bigint", "int", "smallint", "tinyint") and not dict(df.dtypes)[column].startswith("decimal"):
         return F.lit(0)
@@ -27,7 +27,7 @@ def running(df: DataFrame, column: str, sums: dict[str, str], by: list[str] = ()
     if by:
         w = W.partitionBy(*by).orderBy(column).rowsBetween(W.unboundedPreceding, 0)
         return df.withColumns({new: F.sum(old).over(w) for new, old in sums.items()})
-    d = df.withColumn("_range", _range_of(df, column))
+    d = df.withColumn("_range", range_of(df, column))
     totals = d.groupBy("_range").agg(*[F.sum(old).alias(f"_t_{new}") for new, old in sums.items()])
     before = W.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # at most RANGES rows
     totals = totals.select(F.col("_range").alias("_own"), *[F.coalesce(F.sum(f"_t_{new}").over(before), F.lit(0)).alias(f"_b_{new}") for new in sums])
@@ -36,6 +36,23 @@ def running(df: DataFrame, column: str, sums: dict[str, str], by: list[str] = ()
     return d.withColumns({new: F.sum(old).over(w) + F.col(f"_b_{new}") for new, old in sums.items()}).drop("_range", "_own", *[f"_b_{new}" for new in sums])
 
 
+def numbered(df: DataFrame, order: list[Column], part: Column, by: list[str] = (), out: str = "i") -> DataFrame:
+    """Adds the place, from 1, of each row in ``order`` (within groups).
+
+    ``part`` must not fall along the order: each part has its own window, and adds the rows of the parts before it.
+    """
+    by = list(by)
+    d = df.withColumn("_part", part)
+    before = W.partitionBy(*(by or [F.lit(0)])).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # one row a part
+    counts = d.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_c"))
+    counts = counts.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_part").alias("_own"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_b"))
+    on = F.col("_part") == F.col("_own")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    rank = F.row_number().over(W.partitionBy(*by, "_part").orderBy(*order))
+    return d.join(counts, on).withColumn(out, rank + F.col("_b")).drop("_part", "_own", "_b", *[f"_by_{c}" for c in by])
+
+
 def benjamini_hochberg(df: DataFrame, p: str = "p", by: list[str] = (), tests: str | None = None, out: str = "q") -> DataFrame:
     """q = min over larger p of p * n / rank, cut at 1; n is the rows of the group, or the column ``tests``.
 

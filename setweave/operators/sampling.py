@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from . import ranking
 
 
 def hash_key(seed: int | str | Column, *keys: Column) -> Column:
@@ -22,15 +24,16 @@ def split(df: DataFrame, key: str, test: float, validation: float, seed: int) ->
     n_test, n_val = max(1, int(test * n)), max(1, int(validation * n))
     if n - n_test - n_val <= 0:
         raise ValueError("no training rows left")
-    rank = F.row_number().over(W.orderBy(hash_key(seed, F.col(key)), key))
-    return df.withColumn("_r", rank).withColumn("part", F.when(F.col("_r") <= n_test, "test").when(F.col("_r") <= n_test + n_val, "val").otherwise("train")).drop("_r")
+    order = hash_key(seed, F.col(key))
+    return ranking.numbered(df, [order, F.col(key)], F.substring(order, 1, 2), out="_r").withColumn("part", F.when(F.col("_r") <= n_test, "test").when(F.col("_r") <= n_test + n_val, "val").otherwise("train")).drop("_r")
 
 
 def permuted(df: DataFrame, key: str, column: str, seed: int | str | Column, by: list[str] = (), out: str | None = None) -> DataFrame:
     """``column`` dealt anew over the rows (within groups): the i-th row by key gets the i-th value by hash."""
     g = list(by)
-    rows = df.withColumn("_i", F.row_number().over(W.partitionBy(*g).orderBy(key)))
-    dealt = df.select(*g, F.col(column).alias("_v"), F.row_number().over(W.partitionBy(*g).orderBy(hash_key(seed, F.col(key)), key)).alias("_i"))
+    rows = ranking.numbered(df, [F.col(key)], ranking.range_of(df, key), g, "_i")
+    hashed = df.select(*g, F.col(key).alias("_k"), F.col(column).alias("_v"), hash_key(seed, F.col(key)).alias("_h"))
+    dealt = ranking.numbered(hashed, [F.col("_h"), F.col("_k")], F.substring("_h", 1, 2), g, "_i").select(*g, "_v", "_i")
     joined = rows.join(dealt, [*g, "_i"])
     return joined.withColumn(out or column, F.col("_v")).drop("_v", "_i")
 

@@ -106,7 +106,11 @@ def root_labels(spark, sf):
     return roots.unionByName(near.join(roots.select("id"), "id", "left_anti"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {WHOLE}, {NODES}, a AS (SELECT u, v FROM s UNION ALL SELECT v, u FROM s),
+r(step, id, k, moved) AS (SELECT 0, n.id, count(a.v)::BIGINT, true FROM n LEFT JOIN a ON a.u = n.id GROUP BY n.id
+UNION ALL SELECT step + 1, id, least(k, coalesce(h, 0))::BIGINT, bool_or(least(k, coalesce(h, 0)) < k) OVER () FROM (
+  SELECT x.step, x.id, x.k, (SELECT max(least(i, y)) FROM (SELECT r.k AS y, row_number() OVER (ORDER BY r.k DESC) AS i FROM a JOIN r ON r.id = a.v WHERE a.u = x.id)) AS h FROM r x WHERE x.moved))
+SELECT id, k AS core FROM r WHERE step = (SELECT max(step) FROM r)""")
 def core_numbers(spark, sf):
     return graph.core_numbers(nodes_of(spark, sf), whole(spark, sf))
 
@@ -161,7 +165,15 @@ def group_kg_stats(spark, sf):
     return rounded(kg.statistics(*_grouped(spark, sf)))
 
 
-@query()
+@query(f"""WITH RECURSIVE {GROUPED}, se AS (SELECT DISTINCT group_id, a AS u, b AS v FROM ge), b AS (SELECT group_id, u, v FROM se UNION ALL SELECT group_id, v, u FROM se),
+p(group_id, s, id, d, k) AS (SELECT group_id, id, id, 0, 1.0::DOUBLE FROM gm
+UNION ALL SELECT group_id, s, v, d + 1, sum(k) FROM (SELECT p.group_id, p.s, b.v, p.d, p.k FROM p JOIN b ON b.group_id = p.group_id AND b.u = p.id) WHERE d < 8 GROUP BY ALL),
+q AS (SELECT group_id, s, id, d, k FROM p QUALIFY d = min(d) OVER (PARTITION BY group_id, s, id)), z AS (SELECT group_id, count(*) AS n FROM gm GROUP BY 1),
+cl AS (SELECT group_id, s AS id, CASE WHEN sum(d) > 0 THEN (count(*) - 1) / sum(d) * (count(*) - 1) / (max(n) - 1) ELSE 0.0 END AS closeness FROM q JOIN z USING (group_id) GROUP BY ALL),
+bt AS (SELECT x.group_id, x.id, sum(x.k * y.k / t.k) AS b FROM q x JOIN q y ON y.group_id = x.group_id AND y.s = x.id JOIN q t ON t.group_id = x.group_id AND t.s = x.s AND t.id = y.id AND t.d = x.d + y.d WHERE x.s <> x.id AND y.id <> x.id GROUP BY ALL),
+dg AS (SELECT group_id, u AS id, count(*) AS d FROM b GROUP BY ALL)
+SELECT gm.group_id, gm.id, CASE WHEN n > 1 THEN round(coalesce(dg.d, 0) / (n - 1), 6) ELSE 0.0 END AS degree, round(closeness, 6) AS closeness,
+CASE WHEN n > 2 THEN round(coalesce(bt.b, 0) / ((n - 1) * (n - 2)), 6) ELSE 0.0 END AS betweenness FROM gm JOIN z USING (group_id) JOIN cl USING (group_id, id) LEFT JOIN dg USING (group_id, id) LEFT JOIN bt USING (group_id, id)""")
 def group_centrality(spark, sf):
     members, e = _grouped(spark, sf)
     simple = e.select("group_id", F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()

@@ -11,7 +11,7 @@ from ..operators import clustering, graph, setsim
 
 EDGE_TYPES = ("gene_overlap", "pubmed", "mesh", "pathway", "tf", "go_bp")
 #: Columns of an edge; a relation leaves those that it lacks null.
-ATTRIBUTES = {"weight": "double", "n_shared": "bigint", "shared": "array<string>", "min_pval": "double"}
+ATTRIBUTES = {"weight": "double", "n_shared": "bigint", "shared": "array<string>", "names": "array<string>", "sources": "array<string>", "min_pval": "double"}
 
 
 def relation(df: DataFrame, edge_type: str) -> DataFrame:
@@ -40,6 +40,40 @@ def shared_terms(terms: DataFrame, key: str, term: str, pval: str, edge_type: st
     return relation(setsim.shared_value_pairs(d, key, term, [least]).withColumn("shared", F.col("values").cast("array<string>")), edge_type)
 
 
+def costudy(meta: DataFrame, key: str = "gs_id", pmids: str = "pmids", found: DataFrame | None = None) -> DataFrame:
+    """Items with a common article; ``found`` (key, pmid) of a later look-up only adds pairs, with one article each (the least)."""
+    own = meta.select(key, F.explode(T.parse_pmids(F.col(pmids))).alias("pmid"))
+    direct = shared_values(own, key, "pmid", "pubmed_costudy")
+    if found is None:
+        return direct
+    every = shared_values(own.unionByName(found.select(key, F.col("pmid").cast("string").alias("pmid"))), key, "pmid", "pubmed_costudy")
+    extra = only_new(every, direct).withColumn("n_shared", F.lit(1).cast("long")).withColumn("shared", F.slice("shared", 1, 1))
+    return direct.unionByName(extra)
+
+
+def named_terms(annotations: DataFrame, edge_type: str, key: str = "gs_id", term: str = "term", name: str = "name") -> DataFrame:
+    """Items with common annotations (key, term, name), and the terms' names; a term without a name goes by its id, one with several by the least."""
+    called = annotations.groupBy(term).agg(F.coalesce(F.min(name), F.col(term)).alias("_name"))
+    d = annotations.select(key, term).join(called, term)
+    names = F.array_sort(F.collect_set("x._name")).alias("names")
+    return relation(setsim.shared_value_pairs(d, key, term, [names]).withColumn("shared", F.col("values").cast("array<string>")), edge_type)
+
+
+def pathways(annotations: DataFrame, key: str = "gs_id", term: str = "term", name: str = "name") -> DataFrame:
+    """Items with common pathways: ids, names and the databases that they come from."""
+    d = named_terms(annotations, "shared_pathway", key, term, name)
+    source = lambda t: F.when(t.startswith("path:"), "KEGG").otherwise("Reactome")
+    return d.withColumn("sources", F.array_sort(F.array_distinct(F.transform("shared", source))))
+
+
+def diseases(meta: DataFrame, annotations: DataFrame | None = None, key: str = "gs_id", mesh: str = "mesh_descriptors") -> DataFrame:
+    """Items with common diseases; without disease annotations, with common subject headings of the metadata."""
+    if annotations is not None:
+        return named_terms(annotations, "shared_disease", key)
+    headings = meta.select(key, F.explode(T.split_values(F.col(mesh), ";")).alias("term")).withColumn("name", F.col("term"))
+    return named_terms(headings, "shared_mesh_term", key)
+
+
 def only_new(pairs: DataFrame, old: DataFrame) -> DataFrame:
     """Pairs that ``old`` doesn't have yet; what it has isn't added to."""
     return pairs.join(old.select("a", "b"), ["a", "b"], "left_anti")

@@ -8,7 +8,7 @@ from ..functions import numbers as N, text as T, vectors as V
 from ..operators import compare, evaluation, features
 from ..schema import table
 from ..sources import readers, sinks
-from . import kg
+from . import kg, study
 from .registry import query, rounded
 from .run_queries import WIDE, wide
 from .source_queries import scratch
@@ -145,3 +145,68 @@ def modality_summary(spark, sf):
             F.percentile("c", 0.05).alias("row_cos_p05"), F.percentile("c", 0.5).alias("row_cos_p50"), F.percentile("c", 0.95).alias("row_cos_p95"),
         )
     )
+
+
+PATHWAYS = """a AS (SELECT DISTINCT l_suppkey AS id, CASE WHEN l_partkey % 2 = 0 THEN 'path:' || l_partkey ELSE l_partkey::VARCHAR END AS term, p_name AS name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R')"""
+
+
+def _pathways(spark, sf):
+    d = table(spark, sf, "lineitem").filter("l_returnflag = 'R'").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    term = F.concat(F.when(F.col("l_partkey") % 2 == 0, "path:").otherwise(""), F.col("l_partkey").cast("string"))
+    return d.select(F.col("l_suppkey").alias("gs_id"), term.alias("term"), F.col("p_name").alias("name")).distinct()
+
+
+@query(f"""WITH {PATHWAYS}, d AS (SELECT x.id AS a, y.id AS b, x.term, x.name, CASE WHEN x.term LIKE 'path:%' THEN 'KEGG' ELSE 'Reactome' END AS src FROM a x JOIN a y ON x.term = y.term AND x.id < y.id)
+SELECT a, b, edge_type, n_shared, shared, names, sources FROM (SELECT a, b, 'shared_pathway' AS edge_type, count(*) AS n_shared, string_agg(term, ';' ORDER BY term) AS shared,
+array_to_string(list_sort(list(DISTINCT name)), ';') AS names, array_to_string(list_sort(list(DISTINCT src)), ';') AS sources FROM d GROUP BY ALL)""")
+def shared_pathways(spark, sf):
+    d = kg.pathways(_pathways(spark, sf))
+    return d.select("a", "b", "edge_type", "n_shared", *[F.array_join(c, ";").alias(c) for c in ("shared", "names", "sources")])
+
+
+def _mesh(spark, sf):
+    d = table(spark, sf, "lineitem").filter("l_returnflag = 'A'").groupBy(F.col("l_suppkey").alias("gs_id")).agg(F.collect_list(F.concat(F.lit(" Heading "), F.col("l_partkey").cast("string"))).alias("m"))
+    return d.select("gs_id", F.array_join("m", ";").alias("mesh_descriptors"))
+
+
+@query(f"""WITH {PATHWAYS}, m AS (SELECT DISTINCT l_suppkey AS id, 'Heading ' || l_partkey AS term, 'Heading ' || l_partkey AS name FROM lineitem WHERE l_returnflag = 'A'),
+e AS (SELECT 'shared_disease' AS edge_type, * FROM a UNION ALL SELECT 'shared_mesh_term', * FROM m)
+SELECT x.edge_type, x.id AS a, y.id AS b, count(*) AS n_shared, array_to_string(list_sort(list(DISTINCT x.name)), ';') AS names FROM e x JOIN e y ON x.edge_type = y.edge_type AND x.term = y.term AND x.id < y.id GROUP BY ALL""")
+def shared_diseases(spark, sf):
+    meta = _mesh(spark, sf)
+    d = kg.diseases(meta, _pathways(spark, sf)).unionByName(kg.diseases(meta))
+    return d.select("edge_type", "a", "b", "n_shared", F.array_join("names", ";").alias("names"))
+
+
+@query("""WITH o AS (SELECT DISTINCT l_suppkey AS id, l_orderkey::VARCHAR AS x, l_returnflag <> 'R' AS later FROM lineitem WHERE l_returnflag <> 'N'),
+d AS (SELECT a.id AS a, b.id AS b, count(*) AS n, string_agg(a.x, ';' ORDER BY a.x) AS shared FROM o a JOIN o b ON a.x = b.x AND a.id < b.id WHERE NOT a.later AND NOT b.later GROUP BY ALL),
+v AS (SELECT a.id AS a, b.id AS b, min(a.x) AS x FROM (SELECT DISTINCT id, x FROM o) a JOIN (SELECT DISTINCT id, x FROM o) b ON a.x = b.x AND a.id < b.id GROUP BY ALL)
+SELECT a, b, n AS n_shared, shared FROM d UNION ALL SELECT a, b, 1, x FROM v WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.a = v.a AND d.b = v.b)""")
+def pubmed_costudy(spark, sf):
+    """Orders as articles: those of returned lines are listed in the metadata, those of accepted ones are found by a later look-up."""
+    d = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("gs_id"), F.col("l_orderkey").cast("string").alias("pmid"), "l_returnflag")
+    meta = d.filter("l_returnflag = 'R'").groupBy("gs_id").agg(F.array_join(F.collect_list("pmid"), "; ").alias("pmids"))
+    edges = kg.costudy(meta, found=d.filter("l_returnflag = 'A'"))
+    return edges.select("a", "b", "n_shared", F.array_join("shared", ";").alias("shared"))
+
+
+@query(f"""WITH {WIDE}, d AS (SELECT w.run, round(0.6 * coalesce((w.a - b.a) / abs(b.a), 0) - 0.4 * coalesce((w.n - b.n) / abs(b.n), 0), 9) AS score,
+CASE WHEN w.a IS NULL OR abs(w.a - b.a) > greatest(0.01, 0.03 * abs(b.a)) THEN 1 ELSE 0 END + CASE WHEN w.r IS NULL OR w.r - b.r > greatest(0.01, 0.03 * abs(b.r)) THEN 1 ELSE 0 END AS n_violations FROM w, (SELECT * FROM w WHERE run = 1) b)
+SELECT run, round(score, 6) + 0.0 AS score, n_violations::INT AS n_violations, n_violations = 0 AS feasible, row_number() OVER (ORDER BY n_violations = 0 DESC, score DESC, run)::INT AS place FROM d""")
+def grid_search(spark, sf):
+    d = wide(spark, sf)
+    out = compare.search(d, d.filter("run = 1"), "run", {"a": (0.6, True), "n": (0.4, False)}, {"a": False, "r": True})
+    return out.select("run", (F.round("score", 6) + 0.0).alias("score"), "n_violations", "feasible", "place")
+
+
+@query("""WITH r AS (SELECT l_linenumber AS k, l_suppkey AS seed, l_returnflag AS metric, round(avg(l_discount) * 100, 6) AS value FROM lineitem GROUP BY ALL), m AS (SELECT k, median(value) AS m FROM r WHERE metric = 'A' GROUP BY 1),
+p AS (SELECT k, seed FROM r JOIN m USING (k) WHERE metric = 'A' QUALIFY row_number() OVER (PARTITION BY k ORDER BY round(abs(value - m), 9), seed) = 1)
+SELECT k, metric, count(value) AS n, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS std, max(p.seed) AS representative FROM r LEFT JOIN p USING (k) GROUP BY ALL""")
+def seed_summary(spark, sf):
+    runs = table(spark, sf, "lineitem").groupBy(F.col("l_linenumber").alias("k"), F.col("l_suppkey").alias("seed"), F.col("l_returnflag").alias("metric")).agg(F.round(F.avg("l_discount") * 100, 6).alias("value"))
+    return rounded(compare.over_seeds(runs, "A", ["k"]))
+
+
+@query()
+def cluster_sweep(spark, sf):
+    return rounded(study.sweep(vectors(spark, sf), [4, 8], [11, 12, 13]), 4)

@@ -198,7 +198,15 @@ def negative_edges(spark, sf):
     return sampling.negative_edges(nodes, graph.canonical(edges(spark, sf)), 200, 7)
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT s_nationkey % 5 AS cluster, p_brand AS term, -count(*) AS rank FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey GROUP BY ALL),
+t AS (SELECT cluster, term, row_number() OVER (PARTITION BY cluster ORDER BY rank, term) AS i FROM d QUALIFY i <= 10),
+e AS (SELECT p_brand AS term, list(DISTINCT p_type || p_size) AS x FROM part GROUP BY 1),
+m AS (SELECT a.term, list(b.term) AS alike FROM e a JOIN e b ON a.term <> b.term
+  AND (len(list_intersect(a.x, b.x)) / (len(a.x) + len(b.x) - len(list_intersect(a.x, b.x))) >= 0.3 OR len(list_intersect(a.x, b.x)) / least(len(a.x), len(b.x)) >= 0.5) GROUP BY 1),
+r(cluster, i, kept, term, like_) AS (SELECT cluster, 1::BIGINT, [term], term, NULL::VARCHAR FROM t WHERE i = 1
+UNION ALL SELECT cluster, i, CASE WHEN hit IS NULL THEN list_append(kept, term) ELSE kept END, term, hit FROM (
+  SELECT r.cluster, t.i, r.kept, t.term, list_filter(r.kept, lambda k: list_contains(coalesce(m.alike, []), k))[1] AS hit FROM r JOIN t ON t.cluster = r.cluster AND t.i = r.i + 1 LEFT JOIN m ON m.term = t.term))
+SELECT cluster, term, coalesce(like_, term) AS kept_as, like_ IS NOT NULL AS is_redundant FROM r""")
 def redundancy_collapse(spark, sf):
     """Brands as terms, ranked by size within a region's suppliers, with the parts' types as elements."""
     d = table(spark, sf, "lineitem").join(table(spark, sf, "supplier"), F.col("s_suppkey") == F.col("l_suppkey")).join(table(spark, sf, "part"), F.col("p_partkey") == F.col("l_partkey"))

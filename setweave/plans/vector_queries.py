@@ -167,6 +167,20 @@ def text_coherence(spark, sf):
     return rounded(evaluation.coherence(evaluation.tfidf(d), d), 5)
 
 
+@query(r"""WITH p AS (SELECT p_partkey AS id, p_brand AS label, lower(p_name || ' ' || p_type) AS t FROM part), n AS (SELECT count(*) AS n FROM p),
+w AS (SELECT id, list_filter(regexp_split_to_array(t, '[^\p{L}\p{N}]+'), lambda y: length(y) >= 2 AND y NOT IN ('of', 'the')) AS w, list_filter(regexp_split_to_array(t, '\s+'), lambda y: y <> '') AS c FROM p),
+g AS (SELECT id, 'w' AS part, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w
+  UNION ALL SELECT id, 'c', x[i:i + k - 1] FROM (SELECT id, ' ' || unnest(c) || ' ' AS x FROM w), (VALUES (3), (4), (5)) ks(k), unnest(range(1, greatest(1, length(x) - k + 1) + 1)) r(i) WHERE k = 3 OR length(x) >= k),
+tf AS (SELECT id, part, term, count(*) AS tf FROM g GROUP BY ALL), idf AS (SELECT part, term, ln((1 + n) / (1 + count(*))) + 1 AS idf FROM tf, n GROUP BY part, term, n HAVING count(*) >= 2),
+raw AS (SELECT id, part, term, tf * idf AS w FROM tf JOIN idf USING (part, term)), len AS (SELECT id, part, sqrt(sum(w * w)) AS l FROM raw GROUP BY ALL), x AS (SELECT id, part || term AS term, w / l AS w FROM raw JOIN len USING (id, part)),
+own AS (SELECT id, sqrt(sum(w * w)) AS l FROM x GROUP BY 1), c AS (SELECT label, term, sum(w) AS w FROM x JOIN p USING (id) GROUP BY ALL), cl AS (SELECT label, sqrt(sum(w * w)) AS l FROM c GROUP BY 1),
+s AS (SELECT x.id, sum(x.w * c.w) / (max(own.l) * max(cl.l)) AS s FROM x JOIN p USING (id) JOIN c ON c.label = p.label AND c.term = x.term JOIN own ON own.id = x.id JOIN cl ON cl.label = p.label GROUP BY 1)
+SELECT round(sum(s) / max(n), 5) AS coherence FROM s, n""")
+def text_coherence_ngrams(spark, sf):
+    d = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("text"), F.col("p_brand").alias("label"))
+    return rounded(evaluation.coherence(evaluation.ngram_tfidf(d, stop=["of", "the"]), d), 5)
+
+
 def _weighed(v: str) -> str:
     """A checksum of a list in SQL: its entries times their places."""
     return f"round(list_sum(list_transform({v}, lambda x, i: x * i)), 4) + 0.0"
@@ -215,6 +229,17 @@ def hungarian(spark, sf):
     return clustering.matched(evaluation.contingency(d, "label", "other"), "label", "other")
 
 
+@query("""WITH RECURSIVE c AS (SELECT label, vec_id % 10 AS b, count(*) AS n FROM embeddings GROUP BY ALL), l AS (SELECT label, row_number() OVER (ORDER BY label) AS i FROM c GROUP BY 1),
+r(i, used, total) AS (SELECT 0::BIGINT, 0::BIGINT, 0::BIGINT
+UNION ALL SELECT i, used, max(total)::BIGINT FROM (SELECT l.i, r.used + x.bit AS used, r.total + coalesce(c.n, 0) AS total FROM r JOIN l ON l.i = r.i + 1,
+  (SELECT b, (2 ** b)::BIGINT AS bit FROM range(0, 10) q(b)) x LEFT JOIN c ON c.label = l.label AND c.b = x.b WHERE (r.used // x.bit) % 2 = 0) GROUP BY ALL)
+SELECT (SELECT count(*) FROM l) AS pairs, max(total) AS overlap FROM r WHERE i = (SELECT count(*) FROM l)""")
+def matched_total(spark, sf):
+    """What a matching is defined by: several may reach the same total."""
+    d = table(spark, sf, "embeddings").select("label", (F.col("vec_id") % 10).cast("int").alias("other"))
+    return clustering.matched(evaluation.contingency(d, "label", "other"), "label", "other").agg(F.count(F.lit(1)).alias("pairs"), F.sum("overlap").alias("overlap"))
+
+
 @query()
 def remapped_labels(spark, sf):
     d = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", (F.col("vec_id") % 10).cast("int").alias("other"))

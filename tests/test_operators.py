@@ -295,3 +295,54 @@ def test_running_sums_in_ranges(spark):
 
     d = spark.range(1000).select((F.col("id") * 7 % 1000).alias("v"), F.lit(2).alias("w"))
     assert all(r["s"] == 2 * (r["v"] + 1) for r in ranking.running(d, "v", {"s": "w"}).collect())
+
+
+def test_numbers_in_parts(spark):
+    from setweave.operators import ranking
+
+    d = spark.range(500).select((F.col("id") % 3).alias("g"), (F.col("id") * 11 % 500).alias("v"))
+    by_value = ranking.numbered(d, [F.col("v")], ranking.range_of(d, "v"))
+    assert sorted((r["v"], r["i"]) for r in by_value.collect()) == [(v, v + 1) for v in range(500)]
+    for g in range(3):
+        own = [r for r in ranking.numbered(d, [F.col("v")], F.floor(F.col("v") / 100), ["g"]).collect() if r["g"] == g]
+        assert [r["i"] for r in sorted(own, key=lambda r: r["v"])] == list(range(1, len(own) + 1))
+    assert ranking.numbered(d.limit(0), [F.col("v")], F.lit(0)).count() == 0
+
+
+def test_word_and_character_runs(spark):
+    from setweave.operators import evaluation
+
+    d = spark.createDataFrame([(1, "The red fox a"), (2, "red fox"), (3, None), (4, "  ")], "id int, text string")
+    w = evaluation.ngram_tfidf(d, stop=["the"], min_df=1)
+    terms = {r["term"] for r in w.filter("id = 1").collect()}
+    assert {"w:red", "w:fox", "w:red fox", "c: a ", "c: re", "c: red "} <= terms
+    assert not {"w:the", "w:the red", "w:a"} & terms and {r["id"] for r in w.select("id").distinct().collect()} == {1, 2}
+    length = w.groupBy("id", F.substring("term", 1, 1).alias("part")).agg(F.sum(F.col("w") * F.col("w")).alias("l"))
+    assert all(r["l"] == pytest.approx(1) for r in length.collect())
+    short = evaluation.ngram_tfidf(d.filter("id = 1"), chars=(3, 5), min_df=1).filter("term = 'c: a '")
+    assert short.count() == 1
+
+
+def test_later_articles_only_add_pairs(spark):
+    meta = spark.createDataFrame([(1, "a, b;c"), (2, "a;b"), (3, ""), (4, None)], "gs_id int, pmids string")
+    found = spark.createDataFrame([(3, "c"), (3, "a"), (4, "z"), (2, "c")], "gs_id int, pmid string")
+    assert rows(kg.costudy(meta), "a", "b", "n_shared") == [(1, 2, 2)]
+    assert rows(kg.costudy(meta, found=found), "a", "b", "n_shared") == [(1, 2, 2), (1, 3, 1), (2, 3, 1)]
+    named = spark.createDataFrame([(1, "path:x", "X"), (2, "path:x", None), (1, "y", None), (2, "y", None)], "gs_id int, term string, name string")
+    (p,) = kg.pathways(named).collect()
+    assert (p["shared"], p["names"], p["sources"]) == (["path:x", "y"], ["X", "y"], ["KEGG", "Reactome"])
+
+
+def test_search_over_a_grid(spark):
+    from setweave.plans import study
+
+    def trial(p):
+        return spark.createDataFrame([("up", float(p["x"])), ("held", 1.0 if p["y"] == "a" else 2.0)], "metric string, value double")
+
+    base = spark.createDataFrame([("up", 1.0), ("held", 1.0)], "metric string, value double")
+    out = study.tune(spark, {"x": [1, 2, 3], "y": ["a", "b"]}, trial, base, {"up": (1.0, True)}, {"held": False})
+    best = out.orderBy("place").collect()
+    assert [(r["x"], r["y"], r["score"], r["feasible"]) for r in best][:4] == [(3, "a", 2.0, True), (2, "a", 1.0, True), (1, "a", 0.0, True), (3, "b", 2.0, False)]
+    runs = spark.createDataFrame([(s, "m", float(v)) for s, v in ((1, 1), (2, 5), (3, 6))] + [(1, "n", None)], "seed int, metric string, value double")
+    (m, n) = compare.over_seeds(runs, "m").orderBy("metric").collect()
+    assert (m["n"], m["mean"], m["representative"]) == (3, 4.0, 2) and (n["n"], n["mean"], n["representative"]) == (0, None, 2)
