@@ -13,7 +13,8 @@ chosen by the hash of its first GRAM bytes (the least in the window), alike wher
    merge-scanned against the levels of the family so far, then joins it; equal-sized levels merge.
 3. Runs found in 1 and 2 are joined back to their documents and cut out.
 
-Grams with very many different neighbourhoods are split by fingerprint over several tasks.
+Grams with very many different neighbourhoods are taken apart: their windows are dealt by fingerprint,
+so that the rows moved grow with the windows.  Windows that a task sees twice are settled there.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from . import shared
 
 LENGTH, GRAM = 100, 32
 MULTIPLIER = 0x9E3779B97F4A7C15
-#: Rows of a batch of the family; and of one gram, beyond which its windows are split over tasks.
+#: Rows of a batch of the family; and of one gram, beyond which its windows are dealt by fingerprint.
 BATCH, HOT = 2048, 100_000
 
 
@@ -246,26 +247,40 @@ class Family:
             self.levels[-2:] = [np.unique(np.concatenate(self.levels[-2:]))]
 
 
+def _windows(g, pos, data: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, fingerprint, start) of every window of ``length`` bytes that holds its row's gram."""
+    reach = length - gram
+    rows = np.zeros((len(g), length + reach), np.uint8)
+    left = np.minimum(pos, reach)
+    size = np.array([len(x) for x in data], np.int64)
+    for i, x in enumerate(data):
+        rows[i, reach - left[i] : reach - left[i] + len(x)] = np.frombuffer(x, np.uint8)
+    h = _mixed(rolling(rows, length) + _mixed(g.view(np.uint64))[:, None])
+    offset = np.arange(reach + 1)[None, :]  # the window starts at pos - reach + offset
+    r, c = np.nonzero((offset >= (reach - left)[:, None]) & (offset + length <= (reach - left + size)[:, None]))
+    return r, h[r, c], pos[r] - reach + c
+
+
+def _as_runs(doc: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc_id, start, end) of windows whose starts follow one another."""
+    if not len(doc):
+        return doc, start, start
+    o = np.lexsort((start, doc))
+    d, s = doc[o], start[o]
+    cut = np.flatnonzero((d[1:] != d[:-1]) | (s[1:] > s[:-1] + 1))
+    lo, hi = np.append(0, cut + 1), np.append(cut, len(d) - 1)
+    return d[lo], s[lo], s[hi] + length
+
+
 class Scanner:
     """Runs of repeats among the open suffixes of whole grams, which come in the order (g, doc_id, pos)."""
 
     def __init__(self, length: int, gram: int):
-        self.length, self.reach, self.family = length, length - gram, Family()
-
-    def __call__(self, g, part, parts, doc, pos, data: list[bytes], same_next: bool):
-        """(doc_id, start, end) of repeats in this batch; ``same_next``: the next batch begins with its last gram."""
-        n, w, reach = len(g), self.length + self.reach, self.reach
-        rows = np.zeros((n, w), np.uint8)
-        left = np.minimum(pos, reach)
-        size = np.array([len(x) for x in data])
-        for i, x in enumerate(data):
-            rows[i, reach - left[i] : reach - left[i] + len(x)] = np.frombuffer(x, np.uint8)
-        h = _mixed(rolling(rows, self.length) + _mixed(g.view(np.uint64))[:, None])
-        offset = np.arange(reach + 1)[None, :]  # the window starts at pos - reach + offset
-        valid = (offset >= (reach - left)[:, None]) & (offset + self.length <= (reach - left + size)[:, None])
-        valid &= (h % parts[:, None].astype(np.uint64)) == part[:, None].astype(np.uint64)
-        r, c = np.nonzero(valid)
-        keys, start = h[r, c], pos[r] - reach + c
+        self.length, self.gram, self.family = length, gram, Family()
+
+    def __call__(self, g, doc, pos, data: list[bytes], same_next: bool):
+        """(doc_id, start) of repeats in this batch; ``same_next``: the next batch begins with its last gram."""
+        r, keys, start = _windows(g, pos, data, self.length, self.gram)
         _, rank = np.unique(doc, return_inverse=True)
         order = (rank[r].astype(np.int64) << 34) | start
         # the batch's suffix array
@@ -295,25 +310,84 @@ def _repeats(opened: DataFrame, length: int, gram: int, batch_rows: int, hot: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(length, gram)
         for block, same_next in _blocks(batches, batch_rows):
-            g, part, parts, doc, pos = (block.column(i).to_numpy() for i in range(5))
+            g, doc, pos = (block.column(i).to_numpy() for i in range(3))
             with np.errstate(over="ignore"):
-                d, s = scanner(g, part, parts, doc, pos.astype(np.int64), block.column(5).to_pylist(), same_next)
-            if not len(d):
-                continue
-            o = np.lexsort((s, d))
-            d, s = d[o], s[o]
-            cut = np.flatnonzero((d[1:] != d[:-1]) | (s[1:] > s[:-1] + 1))
-            lo, hi = np.append(0, cut + 1), np.append(cut, len(d) - 1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(d[lo]), pa.array(s[lo].astype(np.int32)), pa.array((s[hi] + length).astype(np.int32))], names=["doc_id", "start", "end"]
-            )
+                d, s = scanner(g, doc, pos.astype(np.int64), block.column(3).to_pylist(), same_next)
+            if len(d):
+                yield _runs_batch(*_as_runs(d, s, length))
 
     # every gram has two open rows or more, so the table of hot ones has at most rows / hot rows
-    counts = opened.groupBy("g").count().filter(F.col("count") > hot).select("g", F.ceil(F.col("count") / hot).cast("int").alias("parts"))
-    rows = opened.join(counts, "g", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("g", "part", "parts", "doc_id", "pos", "bytes")
-    rows = rows.repartition("g", "part").sortWithinPartitions("g", "part", "doc_id", "pos")
-    return rows.mapInArrow(run, "doc_id long, start int, end int")
+    many = shared.materialize(opened.groupBy("g").count().filter(F.col("count") > hot).select("g"), "hot_grams")
+    if many.isEmpty():
+        shared.discard(many)
+        rest = opened
+    else:
+        rest = shared.rows_without(opened, many, "g")
+    found = rest.repartition("g").sortWithinPartitions("g", "doc_id", "pos").mapInArrow(run, RUN)
+    return found if rest is opened else found.unionByName(_repeats_by_window(shared.rows_with(opened, many, "g"), length, gram, batch_rows))
+
+
+RUN = "doc_id long, start int, end int"
+
+
+def _runs_batch(doc, start, end) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["doc_id", "start", "end"])
+
+
+def _repeats_by_window(opened: DataFrame, length: int, gram: int, batch_rows: int) -> DataFrame:
+    """The same for hot grams: each window goes by its fingerprint; all but the first of a fingerprint are repeats.
+
+    Those that are later than an equal one in their batch need no comparison; they are dealt by their own place.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, batch_rows):
+                block = batch.slice(at, batch_rows)
+                g, doc, pos = (block.column(i).to_numpy() for i in range(3))
+                with np.errstate(over="ignore"):
+                    r, h, start = _windows(g, pos.astype(np.int64), block.column(3).to_pylist(), length, gram)
+                if not len(r):
+                    continue
+                own = doc[r]
+                o = np.lexsort((start, own, h))
+                h, own, start = h[o], own[o], start[o]
+                head = np.append(True, h[1:] != h[:-1])
+                first = np.maximum.accumulate(np.where(head, np.arange(len(h)), 0))
+                later = (own != own[first]) | (start != start[first])
+                d, s, e = _as_runs(own[later], start[later], length)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.append(np.zeros(len(d), np.int64), h[head].view(np.int64))), pa.array(np.append(d, own[head])),
+                        pa.array(np.append(s, start[head]).astype(np.int32)), pa.array(np.append(e, start[head] + length).astype(np.int32)),
+                        pa.array(np.append(np.ones(len(d), bool), np.zeros(head.sum(), bool))),
+                    ],
+                    names=["h", "doc_id", "start", "end", "known"],
+                )
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None  # fingerprint, doc_id and start of the first window of the fingerprint that is being read
+        for batch in batches:
+            h, doc, start, end = (batch.column(i).to_numpy() for i in range(4))
+            known = batch.column(4).to_numpy(zero_copy_only=False)
+            if not len(h):
+                continue
+            repeated = known.copy()
+            new = np.flatnonzero(~known)
+            if len(new):
+                k, d, s = h[new], doc[new], start[new]
+                carried = now is not None and now[0] == k[0]
+                head = np.append(not carried, k[1:] != k[:-1])
+                first = np.maximum.accumulate(np.where(head, np.arange(len(k)), -1))
+                fd, fs = np.where(first < 0, now[1] if carried else 0, d[first]), np.where(first < 0, now[2] if carried else 0, s[first])
+                repeated[new] = (d != fd) | (s != fs)
+                now = (k[-1], fd[-1], fs[-1])
+            if repeated.any():
+                yield _runs_batch(doc[repeated], start[repeated], end[repeated])
+
+    windows = opened.mapInArrow(spread, "h long, doc_id long, start int, end int, known boolean")
+    sent = F.when(F.col("known"), F.xxhash64("doc_id", "start")).otherwise(F.col("h"))
+    return windows.repartition(sent).sortWithinPartitions("known", "h", "doc_id", "start").mapInArrow(settle, RUN)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Table, bool]]:
@@ -323,8 +397,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.T
         table = pa.Table.from_batches([batch])
         rest = table if rest is None else pa.concat_tables([rest, table])
         while rest.num_rows > size:
-            g, part, doc = (rest.column(i).to_numpy() for i in (0, 1, 3))
-            other = (g[1:] != g[:-1]) | (part[1:] != part[:-1])
+            g, doc = (rest.column(i).to_numpy() for i in (0, 1))
+            other = g[1:] != g[:-1]
             ends = np.flatnonzero(other | (doc[1:] != doc[:-1])) + 1
             ends = ends[ends >= size]
             if not len(ends):

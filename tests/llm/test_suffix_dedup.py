@@ -36,7 +36,7 @@ def texts():
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize(("length", "gram", "batch", "hot"), [(20, 8, 2048, 10**6), (20, 8, 3, 4), (12, 5, 7, 10**6)])
+@pytest.mark.parametrize(("length", "gram", "batch", "hot"), [(20, 8, 2048, 10**6), (20, 8, 3, 4), (20, 8, 5, 0), (12, 5, 7, 10**6)])
 def test_against_all_windows(spark, monkeypatch, length, gram, batch, hot):
     pairs = texts()
     docs = make(spark, pairs).repartition(5)
