@@ -1,12 +1,22 @@
 """Line removal by an exact set-similarity join (operator 4), in DataFrame functions only.
 
 Lines of equal words (A-Z and others in lower case) are one class; of fewer than five words, nothing
-else is alike.  A longer line's tokens are its five-word shingles.  They are ordered by rarity: by how
-often the first word's hash bucket occurs in the corpus (a shingle is no more frequent than its words),
-then by hash.  Two lines of Jaccard 0.75 or more share SHARED tokens (fewer if they are shorter) in the
-first n - ceil(0.75 n) + SHARED, so only those are sent; pairs that meet there so often must also pass
-the length and positional bounds, and are then verified on their whole token sets.  A line goes if it
-is alike an earlier one.
+else is alike.  A longer line's tokens are its five-word shingles.  Two passes find the lines of Jaccard
+0.75 or more.
+
+The first finds the lines that may be alike another, with no shingle computed.  If two lines share a
+shingle, one has at most as many distinct grams (runs of GRAM words) that the other lacks as it has such
+shingles: each gram before the shared one begins a shingle that the other lacks, each after it ends one,
+and by first places no two of these are the same.  Of n shingles a line of a pair has at most n / 4 that
+the other lacks.  So in any fixed order of grams, SHARED grams of a pair (one, if a line has too few)
+are among the first n / 4 + SHARED of both.  The order takes grams that begin with a long word first,
+then goes by hash.  A line of which other lines' first grams hold fewer than SHARED (none, if it has
+fewer than n / 4 + SHARED in all) is alike no other.
+
+Only the rest have their shingles computed.  These are ordered by rarity: by how often the first word's
+hash bucket occurs in these lines (a shingle is no more frequent than its words), then by hash.  Pairs
+meet in the first n - ceil(0.75 n) + SHARED, must also pass the length and positional bounds, and are
+then verified on their whole token sets.  A line goes if it is alike an earlier one.
 
 Each line is first held against two others: the one that most often is the earliest of its tokens,
 and the one that most often is their hub (the line with the most widely shared tokens, such as the
@@ -17,33 +27,75 @@ enough bits: each differing bit is a token that one of the two lacks, so the bou
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from . import pieces, shared
 
 #: Words of a shingle.
 WORDS = 5
+#: Words of a gram, at most WORDS, and the letters of a first word that is long.
+GRAM = 4
+LONG = 6
 #: Buckets of the word counts: a table of this many bytes, whatever the corpus.
 BUCKETS = 1 << 14
 #: Tokens that a pair's prefixes must have in common.
 SHARED = 3
 #: Longs of a line's token bitmap.
 BITMAP = 4
+#: Lines of one token, on the side that has fewer, up to which its pairs are made.
+FEW = 64
 #: Open lines of one token that a task compares with that token's others.
 BLOCK = 1000
 
 
-def normalized(text: Column) -> Column:
-    """In lower case, words one space apart; lines that are so already are spared the pattern."""
-    low = F.lower(text)
+def _odd(low: Column, *more: str) -> Column:
+    """Whether white space is other than one space between words."""
     odd = low.startswith(" ") | low.endswith(" ")
-    for c in ("  ", *shared.WHITESPACE[1:]):
+    for c in ("  ", *more):
         odd = odd | low.contains(c)
-    return F.when(odd, F.btrim(F.regexp_replace(low, shared.WORD_SPLIT, " "))).otherwise(low)
+    return odd
 
 
-def normal_lines(lines: DataFrame) -> DataFrame:
-    return lines.select("id", normalized(F.col("text")).alias("t")).filter("t <> ''")
+def normal_lines(numbered: DataFrame) -> DataFrame:
+    """(id, t) of the lines of (no, text) that have a word: in lower case, words one space apart.
+
+    Documents, then lines, that are so already are spared the pattern.
+    """
+    others = [c for c in shared.WHITESPACE[1:] if c != "\n"]
+    d = numbered.select("no", F.lower("text").alias("low"))
+    d = d.select("no", "low", _odd(F.col("low"), " \n", "\n ", *others).alias("odd"))  # on its own, or each line would look through the document
+    d = d.select("no", "odd", F.posexplode(F.split("low", "\n")).alias("place", "x"))
+    t = F.when(F.col("odd") & _odd(F.col("x"), *others), F.btrim(F.regexp_replace("x", shared.WORD_SPLIT, " "))).otherwise(F.col("x"))
+    return d.select(pieces.piece_id(F.col("no"), F.col("place")).alias("id"), t.alias("t")).filter("t <> ''")
+
+
+def _grams_after(first: str) -> Column:
+    """Hashes of the distinct grams of t whose first word is ``first``, in order."""
+    pattern = f" (?=({first}{' [^ ]++' * (GRAM - 1)}))"
+    found = F.regexp_extract_all(F.concat(F.lit(" "), F.col("t")), F.lit(pattern), 1)
+    return F.sort_array(F.array_distinct(F.transform(found, lambda g: F.xxhash64(g))))
+
+
+def first_grams(lines: DataFrame) -> DataFrame:
+    """(id, k, k2, grams, full): a key of 128 bits, the line's first grams (null under WORDS words), and whether they are as many as wanted."""
+    n = F.octet_length("t") - F.octet_length(F.replace("t", F.lit(" "), F.lit(""))) + 2 - WORDS  # shingles, repeats counted
+    d = lines.select("id", "t", F.xxhash64("t").alias("k"), F.xxhash64(F.lit(WORDS), "t").alias("k2"), F.when(n > 0, F.floor(n / 4).cast("int")).alias("most"))
+    d = d.select("*", F.when(F.col("most").isNotNull(), _grams_after(f"[^ ]{{{LONG},}}+")).alias("long"))  # most: grams that a line that is alike can lack
+    every = F.concat("long", _grams_after(f"[^ ]{{1,{LONG - 1}}}+"))
+    grams = F.slice(F.when(F.size("long") >= F.col("most") + SHARED, F.col("long")).otherwise(every), F.lit(1), F.col("most") + SHARED)
+    d = d.select("id", "k", "k2", "most", F.when(F.col("most").isNotNull(), grams).alias("grams"))
+    return d.select("id", "k", "k2", "grams", (F.size("grams") == F.col("most") + SHARED).alias("full"))
+
+
+def may_be_alike(table: DataFrame, copies: DataFrame) -> DataFrame:
+    """id of the lines that hold enough grams of other lines; the lines of equal words are left out but for the first."""
+    rows = shared.rows_without(table.filter("grams is not null").select("id", "full", "grams"), copies, "id")
+    signed = F.when(F.col("full"), F.bitwise_not("id")).otherwise(F.col("id"))  # below 0 if SHARED grams are needed, else one
+    rows = rows.select(signed.alias("line"), F.explode("grams").alias("gram"))
+    same = Window.partitionBy("gram")  # one exchange; a hot gram's rows are passed through, spilled if need be
+    met = rows.select("line", F.min("line").over(same).alias("a"), F.max("line").over(same).alias("b")).filter("a < b")
+    held = met.groupBy("line").agg(F.count(F.lit(1)).alias("c")).filter((F.col("line") >= 0) | (F.col("c") >= SHARED))
+    return shared.materialize(held.select(F.when(F.col("line") < 0, F.bitwise_not("line")).otherwise(F.col("line")).alias("id")), "open")
 
 
 def _bucket(word_hash: Column) -> Column:
@@ -51,7 +103,7 @@ def _bucket(word_hash: Column) -> Column:
 
 
 def word_classes(lines: DataFrame) -> bytes:
-    """For each bucket of words, a byte that grows with the logarithm of its count over all lines."""
+    """For each bucket of words, a byte that grows with the logarithm of its count over these lines."""
     words = lines.select(F.explode(F.split("t", " ")).alias("w"))
     counts = words.groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.least(F.lit(127), F.round(F.log2(F.count(F.lit(1))) * 3)).cast("int").alias("c"))
     table = bytearray(BUCKETS)
@@ -60,8 +112,8 @@ def word_classes(lines: DataFrame) -> bytes:
     return bytes(table)
 
 
-def token_sets(lines: DataFrame, classes: bytes, *columns: Column) -> DataFrame:
-    """(id, columns, tokens): distinct tokens of every line, rarest first; a token is its class byte and 56 bits of its hash."""
+def token_sets(lines: DataFrame, classes: bytes) -> DataFrame:
+    """(id, tokens): distinct tokens of every line, rarest first; a token is its class byte and 56 bits of its hash."""
     rarity = F.lit(classes)
 
     def tokens(words: Column) -> Column:
@@ -74,7 +126,7 @@ def token_sets(lines: DataFrame, classes: bytes, *columns: Column) -> DataFrame:
         return F.when(F.size(words) >= WORDS, made).otherwise(F.array().cast("array<bigint>"))
 
     hashes = F.transform(F.split("t", " "), lambda w: F.xxhash64(w))
-    return lines.select("id", *columns, F.sort_array(F.array_distinct(pieces.let(hashes, tokens))).alias("tokens"))
+    return lines.select("id", F.sort_array(F.array_distinct(pieces.let(hashes, tokens))).alias("tokens"))
 
 
 def _least_overlap(n: Column) -> Column:
@@ -82,11 +134,11 @@ def _least_overlap(n: Column) -> Column:
     return F.floor((n * 3 + 3) / 4).cast("int")
 
 
-def prefixes(sets: DataFrame, *columns: str) -> DataFrame:
-    """(id, columns, n, prefix): how many tokens each line has, and the first n - ceil(3n/4) + SHARED of them."""
+def prefixes(sets: DataFrame) -> DataFrame:
+    """(id, n, prefix): how many tokens each line has, and the first n - ceil(3n/4) + SHARED of them."""
     n = F.size("tokens")
     length = n - _least_overlap(n) + F.least(F.lit(SHARED), _least_overlap(n))
-    return sets.select("id", *columns, n.alias("n"), F.slice("tokens", F.lit(1), length).alias("prefix"))
+    return sets.select("id", n.alias("n"), F.slice("tokens", F.lit(1), length).alias("prefix"))
 
 
 def _can_match(n: Column, at: Column, m: Column, to: Column) -> Column:
@@ -142,54 +194,42 @@ def _copies(table: DataFrame) -> DataFrame:
     return out
 
 
-def _sets_of(numbered: DataFrame, ids: DataFrame, classes: bytes) -> DataFrame:
-    """(id, tokens) of the lines in ``ids``; texts travel as whole documents, beside the places that are wanted."""
+def _lines_of(numbered: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, t) of the lines in ``ids``; texts travel as whole documents, beside the places that are wanted."""
     texts = numbered.join(pieces.places_of(ids).withColumnRenamed("no", "own"), F.col("no") == F.col("own"))
-    d = texts.select("no", F.posexplode(pieces.let(F.split("text", "\n"), lambda x: F.transform("places", lambda i: F.struct(i.alias("i"), F.get(x, i).alias("x"))))).alias("k", "p"))
-    lines = d.select(pieces.piece_id(F.col("no"), F.col("p.i")).alias("id"), F.col("p.x").alias("text"))
-    return shared.materialize(token_sets(normal_lines(lines).distinct(), classes), "line-sets")
+    wanted = pieces.let(F.split(F.lower("text"), "\n"), lambda x: F.transform("places", lambda i: F.struct(i.alias("i"), F.get(x, i).alias("x"))))
+    lines = texts.select("no", F.explode(wanted).alias("p")).select(pieces.piece_id(F.col("no"), F.col("p.i")).alias("id"), F.col("p.x").alias("x"))
+    return lines.select("id", F.btrim(F.regexp_replace("x", shared.WORD_SPLIT, " ")).alias("t")).distinct()
 
 
 def later_matches(numbered: DataFrame) -> DataFrame:
     """id of every line of (no, text) that is equal or alike to an earlier one."""
     spark = numbered.sparkSession
-    lines = normal_lines(pieces.lines(numbered))
-    classes = word_classes(lines)
-    table = token_sets(lines, classes, F.xxhash64("t").alias("k"), F.xxhash64(F.lit(WORDS), "t").alias("k2"))
-    table = shared.materialize(prefixes(table, "k", "k2"), "prefixes")
+    table = shared.materialize(first_grams(normal_lines(numbered)), "grams")
     copies = _copies(table)
     shared.release(spark)
-
-    rows = table.filter("n > 0").select("id", "n", F.posexplode("prefix").alias("at", "token"))
-    met = shared.materialize(rows.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token"), "met")
-    shared.release(spark)
-    least = F.least(F.lit(SHARED), _least_overlap(F.col("n")))
-    # met grows with the corpus, so that it is shuffled at any size
-    held = rows.join(met, "token", "left_semi").groupBy("id", "n").agg(F.collect_list(F.struct("token", "at")).alias("held"))  # as many as one line has
-    held = shared.materialize(shared.rows_without(held.filter(F.size("held") >= least), copies, "id"), "held")
-    shared.discard(table, met)
-    shared.release(spark)
-    rest = held.select("id", "n", F.explode("held").alias("h")).select("h.token", "id", "n", "h.at")
-    counts = rest.groupBy("token").agg(F.min(F.struct("id", "n")).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    first = shared.materialize(counts.select("token", F.col("first.id").alias("x"), F.col("first.n").alias("m"), "c"), "first")
+    ids = may_be_alike(table, copies)
+    shared.discard(table)
     shared.release(spark)
-    table = shared.materialize(rest.join(first, "token"), "rest")
-    shared.discard(held, first)
+    lines = shared.materialize(_lines_of(numbered, ids), "line-texts")
+    sets = shared.materialize(token_sets(lines, word_classes(lines)), "line-sets")
+    shared.discard(ids, lines)
     shared.release(spark)
 
-    width = shared.materialize(table.groupBy("id").agg(F.sum("c").alias("w")), "width")
-    stars = shared.materialize(_most_often(table), "stars")
+    rows = prefixes(sets).select("id", "n", F.posexplode("prefix").alias("at", "token"))
+    same = Window.partitionBy("token")
+    table = rows.select("*", F.min(F.struct("id", "n")).over(same).alias("first"), F.count(F.lit(1)).over(same).alias("c")).filter("c > 1")
+    table = shared.materialize(table.select("token", "id", "n", "at", F.col("first.id").alias("x"), F.col("first.n").alias("m"), "c"), "rest")
     shared.release(spark)
+
     rest = table.select("token", "id", "n", "at")
-    hub = rest.join(width, "id").groupBy("token").agg(F.max_by(F.struct("id", "n"), F.struct(F.col("w"), -F.col("id"))).alias("h"))
-    hub = shared.materialize(hub.select("token", F.col("h.id").alias("x"), F.col("h.n").alias("m")), "hub")
-    shared.discard(width)
+    wide = table.select("token", "id", "n", F.sum("c").over(Window.partitionBy("id")).alias("w"))
+    hubs = wide.select("token", "id", "n", F.max(F.struct("w", (-F.col("id")).alias("x"), F.col("n").alias("m"))).over(same).alias("h"))
+    others = shared.materialize(_most_often(hubs.select("id", "n", (-F.col("h.x")).alias("x"), "h.m")), "stars")
     shared.release(spark)
-    others = shared.materialize(_most_often(rest.join(hub, "token")), "stars")
-    shared.release(spark)
-    sets = _sets_of(numbered, rest.select("id").distinct(), classes)
+    stars = shared.materialize(_most_often(table), "stars")
     shared.release(spark)
-    both = [stars, others, hub]
+    both = [stars, others]
     stars = stars.unionByName(others).distinct()
     settled = _verified(stars, sets)
     shared.discard(*both)
@@ -206,10 +246,17 @@ def later_matches(numbered: DataFrame) -> DataFrame:
     sooner = shared.materialize(_beside(earlier, later, meet, "x"), "sooner")
     shared.discard(marked, still)
     shared.release(spark)
-    left = later.join(sets.select("id", F.col("tokens").alias("s")), "id")
-    right = sooner.join(sets.select(F.col("id").alias("x"), F.col("tokens").alias("t")), "x")
-    alike = 7 * F.size(F.array_intersect("s", "t")) >= 3 * (n + m)
-    found = shared.materialize(_beside(left, right, meet & alike).select("id").distinct(), "found")
+    # a token of few lines on one side makes pairs, each verified once; of many on both, lines with their token sets, but no pairs
+    sides = later.groupBy("token").agg(F.count(F.lit(1)).alias("a")).join(sooner.groupBy("token").agg(F.count(F.lit(1)).alias("b")), "token")
+    crowded = shared.materialize(sides.filter(F.least("a", "b") > FEW).select("token"), "crowded")
+    those = sooner.join(crowded, "token", "left_anti").withColumnRenamed("token", "same")
+    pairs = later.join(crowded, "token", "left_anti").join(those, (F.col("token") == F.col("same")) & meet).select("id", "x").distinct()
+    found = _verified(pairs, sets)
+    if not crowded.isEmpty():
+        left = later.join(crowded, "token", "left_semi").join(sets.select("id", F.col("tokens").alias("s")), "id")
+        right = sooner.join(crowded, "token", "left_semi").join(sets.select(F.col("id").alias("x"), F.col("tokens").alias("t")), "x")
+        alike = 7 * F.size(F.array_intersect("s", "t")) >= 3 * (n + m)
+        found = found.unionByName(shared.materialize(_beside(left, right, meet & alike).select("id").distinct(), "found"))
     shared.discard(later, sooner, sets)
     shared.release(spark)
     return copies.unionByName(settled).unionByName(found)
