@@ -1,10 +1,12 @@
 """Steps that used to write a row, or a copied block, for every pair."""
 
+from itertools import combinations
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from setweave.operators import evaluation
+from setweave.operators import evaluation, graph
 
 from .conftest import rows
 
@@ -44,3 +46,23 @@ def test_silhouette_over_parts_of_blocks(points, monkeypatch):
     b = mean.min(1)
     got = [r[1] for r in rows(evaluation.silhouette(d), "id", "silhouette")]
     assert got == pytest.approx((b - own) / np.maximum(own, b))
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_triangles_by_three_groups_of_nodes(spark, monkeypatch, kind):
+    monkeypatch.setattr(graph, "GROUP_EDGES", 20)
+    monkeypatch.setattr(graph, "WEDGES", 50)
+    g = np.random.default_rng(3)
+    w = {e: g.random() for e in combinations(range(40), 2) if g.random() < 0.3}
+    d = spark.createDataFrame([(*e, r) for e, r in w.items()], "u long, v long, r double").select(F.col("u").cast(kind).alias("u"), F.col("v").cast(kind).alias("v"), "r")
+    want: dict = {}
+    for a, b, c in combinations(range(40), 3):
+        if (a, b) in w and (b, c) in w and (a, c) in w:
+            for i in (a, b, c):
+                n, s = want.get(i, (0, 0.0))
+                want[i] = n + 1, s + w[a, b] * w[b, c] * w[a, c]
+    sums = graph.triangle_sums(d, "r")
+    assert "Join" not in plan(sums)
+    got = {int(r["id"]): (r["triangles"], r["s"]) for r in sums.collect()}
+    assert {i: t for i, (t, _) in got.items()} == {i: t for i, (t, _) in want.items()}
+    assert all(got[i][1] == pytest.approx(want[i][1]) for i in want)
