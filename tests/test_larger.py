@@ -66,3 +66,14 @@ def test_triangles_by_three_groups_of_nodes(spark, monkeypatch, kind):
     got = {int(r["id"]): (r["triangles"], r["s"]) for r in sums.collect()}
     assert {i: t for i, (t, _) in got.items()} == {i: t for i, (t, _) in want.items()}
     assert all(got[i][1] == pytest.approx(want[i][1]) for i in want)
+
+
+def test_clustering_joins_every_two_suppliers_of_an_order(spark, tmp_path):
+    from setweave.catalog import QUERIES
+
+    # one order of three suppliers: a triangle, of which the first line's pairs are but two sides
+    lines = [(1, s, k, 8.0) for k, s in enumerate((10, 20, 30), 1)]
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(10,), (20,), (30,)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert rows(QUERIES["avg_clustering"](spark, str(tmp_path))) == [(1.0,)]
+    assert rows(QUERIES["weighted_clustering"](spark, str(tmp_path))) == [(10, 1.0), (20, 1.0), (30, 1.0)]
