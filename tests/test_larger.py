@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from setweave.operators import evaluation, graph
+from setweave.functions import combinatorics
+from setweave.operators import evaluation, graph, setsim
 
 from .conftest import rows
 
@@ -77,3 +78,28 @@ def test_clustering_joins_every_two_suppliers_of_an_order(spark, tmp_path):
     spark.createDataFrame([(10,), (20,), (30,)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
     assert rows(QUERIES["avg_clustering"](spark, str(tmp_path))) == [(1.0,)]
     assert rows(QUERIES["weighted_clustering"](spark, str(tmp_path))) == [(10, 1.0), (20, 1.0), (30, 1.0)]
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_overlaps_by_blocks_of_sets(spark, monkeypatch, kind):
+    monkeypatch.setattr(setsim, "BLOCK_SETS", 4)
+    monkeypatch.setattr(setsim, "MOST_CELLS", 50)
+    g = np.random.default_rng(2)
+    sets = {str(k): set(g.integers(0, 12, 4).tolist()) for k in range(30)}
+    d = spark.createDataFrame([(k, e) for k, s in sets.items() for e in s], "gs_id string, gene long").select(F.col("gs_id").cast(kind).alias("gs_id"), "gene")
+    before = (lambda k: int(k)) if kind == "long" else str
+    want = sorted((before(a), before(b), len(sets[a] & sets[b])) for a in sets for b in sets if before(a) < before(b) and sets[a] & sets[b])
+    found = setsim.overlaps(d)
+    assert "gs_id" not in plan(found).split("FlatMapGroupsInArrow")[0] and "FlatMapGroupsInArrow" in plan(found)
+    assert rows(found) == want
+
+
+def test_statistics_of_batches_are_those_of_rows(spark):
+    cells = spark.createDataFrame([(o, u, a, b) for u in (40, 5000) for a in (1, 20, 35) for b in (3, 30) for o in range(max(0, a + b - u), min(a, b) + 1)], "o long, u long, a long, b long")
+    o, u, a, b = (F.col(c) for c in "ouab")
+    d = cells.withColumn("s", combinatorics.pair_statistics(o, u, a, b)).select(
+        "s.*", (-combinatorics.log_pmf(o, u, a, b)).alias("x"), combinatorics.cdf(o - 1, u, a, b).alias("y"),
+        (-combinatorics.log_cdf(F.least(a, b) - o, u, a, b)).alias("z"), (-combinatorics.log_survival(o, u, a, b)).alias("w"),
+    )
+    for r in d.collect():
+        assert tuple(r)[:4] == pytest.approx(tuple(r)[4:], rel=1e-9, abs=1e-12)
