@@ -103,3 +103,14 @@ def test_statistics_of_batches_are_those_of_rows(spark):
     )
     for r in d.collect():
         assert tuple(r)[:4] == pytest.approx(tuple(r)[4:], rel=1e-9, abs=1e-12)
+
+
+def test_degrees_of_shared_values_are_counted_without_edges(spark):
+    from setweave.plans import kg
+
+    g = np.random.default_rng(4)
+    values = spark.createDataFrame([(i, int(v)) for i in range(40) for v in set(g.integers(0, 9, 1 + i % 3).tolist())] + [(3, None)], "id long, v long")
+    members = spark.createDataFrame([(p, i) for i in range(40) for p in (f"A{i % 2}", f"B{i % 5}")], "group_id string, id long")
+    made = kg.edge_degrees(kg.group_edges(kg.shared_values(values, "id", "v", "mesh"), members))
+    counted = kg.shared_degrees(values, "id", "v", "mesh", members)
+    assert rows(counted, "group_id", "id", "edge_type", "d") == rows(made, "group_id", "id", "edge_type", "d")
