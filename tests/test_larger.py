@@ -114,3 +114,12 @@ def test_degrees_of_shared_values_are_counted_without_edges(spark):
     made = kg.edge_degrees(kg.group_edges(kg.shared_values(values, "id", "v", "mesh"), members))
     counted = kg.shared_degrees(values, "id", "v", "mesh", members)
     assert rows(counted, "group_id", "id", "edge_type", "d") == rows(made, "group_id", "id", "edge_type", "d")
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+def test_cores_without_ranking_every_edge(spark, monkeypatch, most):
+    monkeypatch.setattr(graph, "MOST_BROADCAST_NODES", most)
+    pairs = [*combinations(range(5), 2), (4, 5), (5, 6), (6, 7), (5, 7), (7, 8)]
+    d = spark.createDataFrame([(*e, 1.0) for e in pairs], "u long, v long, w double")
+    got = rows(graph.core_numbers(spark.range(10), d))
+    assert got == [(0, 4), (1, 4), (2, 4), (3, 4), (4, 4), (5, 2), (6, 2), (7, 2), (8, 1), (9, 0)]
