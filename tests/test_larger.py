@@ -123,3 +123,35 @@ def test_cores_without_ranking_every_edge(spark, monkeypatch, most):
     d = spark.createDataFrame([(*e, 1.0) for e in pairs], "u long, v long, w double")
     got = rows(graph.core_numbers(spark.range(10), d))
     assert got == [(0, 4), (1, 4), (2, 4), (3, 4), (4, 4), (5, 2), (6, 2), (7, 2), (8, 1), (9, 0)]
+
+
+def test_training_in_chunks_of_edges(monkeypatch):
+    from setweave.operators import linkpred
+
+    g, n = np.random.default_rng(1), 60
+    e = np.array([p for p in combinations(range(n), 2) if g.random() < 0.2])
+    x, w, held = g.standard_normal((n, 8)), g.random(len(e)), {"val": (e[:30], g.integers(0, n, (30, 2)))}
+    run = lambda: linkpred.train(x, e[30:], w[30:], e[30:], held, linkpred.Config(epochs=10, hidden=8, out=4)).curve
+    whole = run()
+    monkeypatch.setattr(linkpred, "CHUNK", 17)
+    for a, b in zip(whole, run(), strict=True):
+        assert a == pytest.approx(b)
+
+
+def test_link_prediction_sees_every_two_suppliers_of_an_order(spark, tmp_path, monkeypatch):
+    from setweave.catalog import QUERIES
+    from setweave.operators import linkpred
+
+    lines = [(1, s, k, 8.0) for k, s in enumerate((10, 20, 30), 1)]
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(10,), (20,), (30,)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(i, [1.0, 0.0]) for i in (10, 20, 30)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    seen, row = [], {"epoch": 1, "train_loss": 0.0, "val_auc": 0.5, "val_ap": 0.5, "test_auc": 0.5, "test_ap": 0.5}
+
+    def holdout(nodes, features, edges, config=None):
+        seen.extend(rows(graph.canonical(edges), "u", "v"))
+        return linkpred.Run(curve=[row]), []
+
+    monkeypatch.setattr(linkpred, "holdout", holdout)
+    QUERIES["gnn_linkpred"](spark, str(tmp_path))
+    assert seen == [(10, 20), (10, 30), (20, 30)]
